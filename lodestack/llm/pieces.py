@@ -25,12 +25,29 @@ _DROPPING = re.compile(f"[{_LATIN}]+{_AFTER}|[^{_BLANK}]+")
 #: White space counts: a word takes one space before it; of a longer run the last one is left to the next piece.
 _KEEPING = re.compile(f" ?[{_LATIN}]+{_AFTER}| ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]")
 
+#: A piece that is one pre-token by itself: the model can encode it without the pipeline before it.
+_ONE = re.compile(f" ?[{_LATIN}]+")
+#: Its lower case has two characters of different kinds.
+_ODD = "\u0130"
+
 #: Longer pieces are encoded each time, so that the cache's memory has a bound.
 PIECE_CHARS = 40
-#: Entries of a worker's cache; a full cache is emptied.
-CACHE_PIECES = 400_000
-#: Unseen pieces are encoded in batches of this many.
-BATCH = 512
+#: Entries of one of a worker's two generations; when the young one is full it becomes the old one, which is dropped.
+GENERATION = 500_000
+
+
+def byte_letters() -> dict[int, str]:
+    """What a byte-level tokenizer's model sees for the space and for each letter of _LATIN that takes two bytes.
+
+    Printable Latin-1 bytes stand for themselves, the others for the characters from 256 on, in order.
+    """
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    shown = {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+    return {c: "".join(shown[b] for b in chr(c).encode()) for c in (32, *range(0xC0, 0x180))}
+
+
+_SHOWN = byte_letters()
 
 
 def split_kind(spec: dict) -> re.Pattern | None:
@@ -58,7 +75,9 @@ class Pieces:
             spec = json.load(f)
         self.pattern = split_kind(spec)
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
-        self.cache: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -69,33 +88,38 @@ class Pieces:
             return None
         return self.pattern.findall(text)
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encodes the pieces that the cache lacks."""
-        cache = self.cache
-        new = [p for p in dict.fromkeys(pieces) if p not in cache]
-        if len(cache) + len(new) > CACHE_PIECES:
-            cache.clear()
-            new = list(dict.fromkeys(pieces))
-        for i in range(0, len(new), BATCH):
-            some = new[i : i + BATCH]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                cache[p] = array("I", e.ids).tobytes()
+    def encode(self, piece: str) -> list[int]:
+        """The ids of one piece."""
+        if _ONE.fullmatch(piece) and _ODD not in piece and self.pattern is not None:
+            shown = (piece if self.pattern is _KEEPING else piece.lower()).translate(_SHOWN)
+            return [t.id for t in self.model.tokenize(shown)]
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+
+    def seen(self, piece: str) -> bytes:
+        """The ids' bytes of a piece that the young generation lacks, which takes it in."""
+        out = self.old.get(piece)
+        if out is None:
+            out = array("I", self.encode(piece)).tobytes()
+        if len(piece) <= PIECE_CHARS:
+            if len(self.young) >= GENERATION:
+                self.young, self.old = {}, self.young
+            self.young[piece] = out
+        return out
 
     def ids(self, text: str) -> bytes:
         pieces = self.cut(text) if text else []
         if pieces is None:
             return self.whole(text)
-        get = self.cache.get
-        found = list(map(get, pieces))
+        found = list(map(self.young.get, pieces))
         if None in found:
-            missing = [p for p, x in zip(pieces, found) if x is None]
-            long = {p: self.whole(p) for p in missing if len(p) > PIECE_CHARS}
-            short = [p for p in missing if len(p) <= PIECE_CHARS]
-            for i in range(0, len(short), CACHE_PIECES // 4):
-                part = short[i : i + CACHE_PIECES // 4]
-                self.learn(part)
-                long |= {p: self.cache[p] for p in part}
-            found = [long[p] if x is None else x for p, x in zip(pieces, found)]
+            at, young = 0, self.young
+            try:
+                while True:
+                    at = found.index(None, at)
+                    found[at] = young.get(pieces[at]) or self.seen(pieces[at])
+                    young = self.young
+            except ValueError:
+                pass
         return b"".join(found)
 
 

@@ -10,14 +10,13 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.pieces import PIECE_CHARS, pieces_of
+from lodestack.llm.pieces import GENERATION, PIECE_CHARS, pieces_of
 
 #: Pre-tokens in the broadcast table: at most this many of at most PIECE_CHARS characters.
 FREQUENT = 20_000
@@ -59,40 +58,37 @@ def frequent_pieces(docs: DataFrame, tokenizer: str, text_column: str = "text",
 
 
 class Counts:
-    """A worker's two tiers for one tokenizer and one table."""
+    """A worker's two tiers for one tokenizer and one table; the second in two generations of a fixed size."""
 
     def __init__(self, tokenizer: str, table: FrequentTable):
         self.own, self.first = pieces_of(tokenizer), table.lookup()
-        self.rest: dict[str, int] = {}
+        self.young: dict[str, int] = {}
+        self.old: dict[str, int] = {}
 
     def count(self, text: str) -> int:
         pieces = self.own.cut(text) if text else []
         if pieces is None:
             return len(self.own.whole(text)) // 4
-        first = self.first
-        total, missing = 0, []
-        found = list(map(first.get, pieces))
-        if None not in found:
-            return sum(found)
-        for n, p in zip(found, pieces):
-            if n is None:
-                missing.append(p)
-            else:
-                total += n
-        rest = self.rest
-        for p, n in zip(missing, map(rest.get, missing)):
-            total += self.miss(p) if n is None else n
-        return total
+        found = list(map(self.first.get, pieces))
+        if None in found:
+            at = 0
+            try:
+                while True:
+                    at = found.index(None, at)
+                    n = self.young.get(pieces[at])
+                    found[at] = self.miss(pieces[at]) if n is None else n
+            except ValueError:
+                pass
+        return sum(found)
 
     def miss(self, piece: str) -> int:
-        n = self.rest.get(piece)
+        n = self.old.get(piece)
         if n is None:
-            n = len(self.own.tokenizer.encode(piece, add_special_tokens=False))
-            if len(piece) <= PIECE_CHARS:
-                if len(self.rest) >= 400_000:
-                    for old in list(islice(self.rest, 100_000)):
-                        del self.rest[old]
-                self.rest[piece] = n
+            n = len(self.own.encode(piece))
+        if len(piece) <= PIECE_CHARS:
+            if len(self.young) >= GENERATION:
+                self.young, self.old = {}, self.young
+            self.young[piece] = n
         return n
 
 
