@@ -20,12 +20,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestack.llm.ngram import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestack.llm.packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), SEQUENCE_TOKENS, 1)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestack.llm.rules import judged
+
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+
+
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestack.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestack.llm.tokencount import token_counts
 
