@@ -33,7 +33,7 @@ _ODD = "\u0130"
 #: Longer pieces are encoded each time, so that the cache's memory has a bound.
 PIECE_CHARS = 40
 #: Entries of one of a worker's two generations; when the young one is full it becomes the old one, which is dropped.
-GENERATION = 500_000
+GENERATION = 250_000
 
 
 def byte_letters() -> dict[int, str]:
