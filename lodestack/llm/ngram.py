@@ -1,10 +1,10 @@
 """Quality classifier: an interpolated modified Kneser-Ney word trigram model trained on trusted text.
 
 Training is DataFrame aggregation over a bounded, documented sample of trusted documents: n-gram counts, continuation
-counts, counts of counts, discounts, context weights and interpolated probabilities, each language for itself. The
-model is dealt by hash into shards of sorted keys; its size is bounded by the sample (at most three n-grams for each
-training word). Scoring joins the n-grams of each block of documents with the shards where the documents are, so no
-n-gram of the corpus is shuffled: a row per document leaves the task. Thresholds are quantiles for each language over
+counts and context totals, each language for itself. The counts are dealt by hash into shards of sorted keys; their
+size is bounded by the sample (at most three n-grams for each training word). Scoring joins the n-grams of each block
+of documents with the shards where the documents are, and discounts and interpolates there, so no n-gram of the corpus
+is shuffled: a row per document leaves the task. Thresholds are quantiles for each language over
 all trusted documents that were not trained on.
 """
 
@@ -16,8 +16,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lodestack.llm.common import words_of, write_table
@@ -35,209 +36,210 @@ SPREAD = 4.0
 LEAST_WORDS = 10
 #: Ids of words take this many bits of an n-gram's key; 0 is the unknown word.
 BITS = 21
+MARKS = ("<s>", "</s>")
 BLOCK_WORDS = 400_000
 
 
-def training_sample(docs: DataFrame, documents: int = TRAIN_DOCUMENTS, words: int = TRAIN_WORDS) -> DataFrame:
-    """doc_id, lang, w (words) of the trusted documents to train on, whole texts; equal texts once."""
-    ids = docs.select(F.col("doc_id").alias("_id")).distinct().withColumn("_h", F.xxhash64("_id", F.lit(7))).orderBy("_h", "_id").limit(documents)
+def training_sample(docs: DataFrame, trusted: DataFrame, documents: int = TRAIN_DOCUMENTS, words: int = TRAIN_WORDS) -> DataFrame:
+    """doc_id, lang, w (words) of the trusted documents to train on, whole texts; equal texts once. trusted: _id."""
+    ids = docs.select(F.col("doc_id").alias("_id")).join(trusted, "_id", "left_semi").distinct()
+    ids = ids.withColumn("_h", F.xxhash64("_id", F.lit(7))).orderBy("_h", "_id").limit(documents)
     first = docs.join(F.broadcast(ids), docs.doc_id == ids._id)  # at most ``documents`` ids
     own = first.select("doc_id", "lang", "_h", words_of(F.col("text")).alias("w")).where("size(w) > 0").dropDuplicates(["w"])
     running = F.sum(F.size("w")).over(Window.orderBy("_h", "doc_id"))
     return own.withColumn("_sum", running).where(F.col("_sum") <= words).select("doc_id", "lang", "w")
 
 
-def ngrams(sample: DataFrame) -> DataFrame:
-    """lang, a, b, c, n: trigram counts; sentences are documents, padded with two starts (1) and an end (2)."""
-    padded = F.concat(F.array(F.lit("<s>"), F.lit("<s>")), F.col("w"), F.array(F.lit("</s>")))
-    rows = sample.select("lang", padded.alias("p"))
-    grams = F.expr("transform(sequence(0, size(p) - 3), i -> struct(p[i] AS a, p[i + 1] AS b, p[i + 2] AS c))")
-    return rows.select("lang", F.explode(grams).alias("g")).groupBy("lang", "g.a", "g.b", "g.c").agg(F.count(F.lit(1)).alias("n"))
+def vocabulary(sample: DataFrame) -> pa.Table:
+    """lang, word, id of every word of the sample and each language's <s> and </s>; ids of a language follow each other.
+
+    At most TRAIN_WORDS words and two marks for each language.
+    """
+    words = sample.select("lang", F.explode("w").alias("word")).union(sample.select("lang", F.explode(F.array(*map(F.lit, MARKS))))).distinct().toArrow()
+    words = words.sort_by([("lang", "ascending"), ("word", "ascending")])
+    return words.append_column("id", pa.array(np.arange(1, len(words) + 1, dtype=np.int64)))
 
 
-def discounts(counts: DataFrame) -> DataFrame:
-    """lang, d1, d2, d3: modified Kneser-Ney discounts from counts of counts; each within 0 and its count."""
-    n = counts.groupBy("lang").agg(*[F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
-    y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
+def by_language(words: pa.Table) -> dict[str, dict[bytes, int]]:
+    out: dict[str, dict[bytes, int]] = {}
+    for lang, word, n in zip(*(words.column(c).to_pylist() for c in ("lang", "word", "id"))):
+        out.setdefault(lang, {})[word.encode()] = n
+    return out
 
-    def d(k: int) -> Column:
-        raw = k - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}")
-        return F.when(F.col(f"n{k}") > 0, F.greatest(F.lit(0.05), F.least(raw, F.lit(k - 0.05)))).otherwise(F.lit(0.5 * k))
 
-    return n.select("lang", d(1).alias("d1"), d(2).alias("d2"), d(3).alias("d3"))
+def trigram_counts(sample: DataFrame, words: dict[str, dict[bytes, int]]) -> DataFrame:
+    """key, n: counts of the sample's trigrams by packed word ids; documents are padded with two starts and an end.
+
+    Each task counts its own part first; only distinct keys are shuffled.
+    """
+    sent = sample.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [np.zeros(0, np.int64)]
+            for lang, own in zip(*(batch.column(k).to_pylist() for k in range(2))):
+                known = sent.value[lang]
+                ids = np.array([known[b"<s>"], known[b"<s>"], *[known[w.encode()] for w in own], known[b"</s>"]], np.int64)
+                keys.append((ids[:-2] << (2 * BITS)) | (ids[1:-1] << BITS) | ids[2:])
+            key, n = np.unique(np.concatenate(keys), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
 
+    return sample.select("lang", "w").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
-def smoothed(counts: DataFrame, context: list[str]) -> tuple[DataFrame, DataFrame]:
-    """counts with ``own`` (the discounted share) and, by context, ``gamma`` (the share left to the lower order)."""
-    with_d = counts.join(discounts(counts), "lang")
-    d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    by = ["lang", *context]
-    total = with_d.withColumn("d", d).groupBy(*by).agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
-    own = with_d.withColumn("d", d).join(total, by).select(*counts.columns, ((F.col("n") - F.col("d")) / F.col("total")).alias("own"))
-    return own, total.select(*by, (F.col("left") / F.col("total")).alias("gamma"))
 
+def contexts(counts: DataFrame) -> DataFrame:
+    """key (of all words but the last), total, n1, n2, n3: the sum of a context's counts, and how many are 1, 2, more."""
+    own = counts.groupBy(F.shiftright("key", BITS).alias("key"))
+    return own.agg(F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.count_if(F.col("n") > 2).alias("n3"))
 
-def model_tables(sample: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(words, grams). words: lang, word, id. grams: key, logp, logb of every n-gram seen, keyed by packed word ids.
 
-    Lower orders count different left neighbours (n-grams at a document's start keep their own counts, as nothing
-    varies before them); the unigrams are interpolated with a uniform share for each word and the unknown one.
+def count_tables(sample: DataFrame, words: dict[str, dict[bytes, int]]) -> dict[str, DataFrame]:
+    """c3, c2, c1 (key, n) and the contexts x3, x2, x1 of trigrams, bigrams and unigrams.
+
+    Lower orders count different left neighbours; bigrams at a document's start keep their own counts, as nothing
+    varies before them.
     """
-    c3 = write_table(ngrams(sample), "trigrams")
-    c2 = c3.groupBy("lang", F.col("b"), F.col("c")).agg(F.when(F.col("b") == "<s>", F.sum("n")).otherwise(F.count(F.lit(1))).alias("n"))
-    c1 = c2.groupBy("lang", "c").agg(F.count(F.lit(1)).alias("n"))
-    names = c3.select("lang", "c").union(sample.select("lang", F.lit("<s>").alias("c")).distinct()).distinct()
-    words = write_table(names.select("lang", F.col("c").alias("word"), F.row_number().over(Window.orderBy("lang", "c")).cast("long").alias("id")), "words")
-    s1, g1 = smoothed(c1, [])
-    size = words.groupBy("lang").agg(F.count(F.lit(1)).alias("size"))
-    uniform = g1.join(size, "lang").select("lang", (F.col("gamma") / (F.col("size") + 1)).alias("base"))
-    p1 = s1.join(uniform, "lang").select("lang", "c", (F.col("own") + F.col("base")).alias("p1"))
-    s2, g2 = smoothed(c2, ["b"])
-    p2 = s2.join(g2, ["lang", "b"]).join(p1, ["lang", "c"]).select("lang", "b", "c", (F.col("own") + F.col("gamma") * F.col("p1")).alias("p2"))
-    s3, g3 = smoothed(c3, ["a", "b"])
-    p3 = s3.join(g3, ["lang", "a", "b"]).join(p2, ["lang", "b", "c"]).select("lang", "a", "b", "c", (F.col("own") + F.col("gamma") * F.col("p2")).alias("p3"))
-
-    def ids(df: DataFrame, *columns: str) -> DataFrame:
-        for c in columns:
-            df = df.join(words.select("lang", F.col("word").alias(c), F.col("id").alias(f"{c}_id")), ["lang", c])
-        return df
-
-    def key(*columns: str) -> Column:
-        out = F.lit(0).cast("long")
-        for c in columns:
-            out = F.shiftleft(out, BITS).bitwiseOR(F.col(f"{c}_id"))
-        return out
+    starts = [w[b"<s>"] for w in words.values()]
+    low = lambda key, n: F.col(key).bitwiseAND(F.lit((1 << (n * BITS)) - 1))
+    c3 = write_table(trigram_counts(sample, words), "trigrams")
+    at_start = F.shiftright(low("key", 2), BITS).isin(starts)
+    c2 = c3.groupBy(low("key", 2).alias("key")).agg(F.when(F.first(at_start), F.sum("n")).otherwise(F.count(F.lit(1))).alias("n"))
+    c2 = write_table(c2, "bigrams")
+    c1 = c2.groupBy(low("key", 1).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return {"c3": c3, "c2": c2, "c1": c1, "x3": contexts(c3), "x2": contexts(c2)}
+
 
-    zero = F.lit(0.0)
-    first = ids(p1.join(g2.withColumnRenamed("b", "c"), ["lang", "c"], "full"), "c").select(key("c").alias("key"), F.log("p1").alias("logp"), F.coalesce(F.log("gamma"), zero).alias("logb"))
-    second = ids(p2.join(g3.select("lang", F.col("a").alias("b"), F.col("b").alias("c"), "gamma"), ["lang", "b", "c"], "full"), "b", "c").select(key("b", "c").alias("key"), F.log("p2").alias("logp"), F.coalesce(F.log("gamma"), zero).alias("logb"))
-    third = ids(p3, "a", "b", "c").select(key("a", "b", "c").alias("key"), F.log("p3").alias("logp"), zero.alias("logb"))
-    unknown = uniform.join(words.where("word = '</s>'").select("lang", "id"), "lang").select((-F.col("id")).alias("key"), F.log("base").alias("logp"), zero.alias("logb"))
-    grams = first.union(second).union(third).union(unknown)
-    return words, grams.select("key", F.col("logp").cast("float"), F.col("logb").cast("float"))
+def discounts(n: np.ndarray) -> np.ndarray:
+    """Discounts of counts 0 (none), 1, 2 and more, by modified Kneser-Ney from counts of counts, within 0 and the count."""
+    n1, n2, n3, n4 = (float(np.count_nonzero(n == k)) for k in (1, 2, 3, 4))
+    y = n1 / max(n1 + 2 * n2, 1.0)
+    raw = [k - (k + 1) * y * more / own if own else 0.5 * k for k, own, more in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
+    return np.array([0.0, *[min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1)]])
 
 
 @dataclass
 class Shard:
-    """Sorted keys of one shard and their values; ``find`` joins it with n-grams."""
+    """One shard of the counts: bigrams (with what they are as a context: total and discounted mass), trigrams."""
 
-    keys: np.ndarray
-    logp: np.ndarray
-    logb: np.ndarray
+    pairs: np.ndarray
+    pair_values: np.ndarray  # n, total, left
+    triples: np.ndarray
+    triple_n: np.ndarray
 
 
-class Model:
-    """The shards of a worker, and each language's word ids. At most 3 x TRAIN_WORDS n-grams of 16 bytes."""
+def shard_of(keys: np.ndarray) -> np.ndarray:
+    """The shard of each key: the high bits of a multiplicative hash."""
+    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(61)).astype(np.int8)
 
-    def __init__(self, words: pa.Table, shards: list[Shard]):
-        self.shards = shards
-        self.words: dict[str, dict[bytes, int]] = {}
-        for lang, word, n in zip(*(words.column(c).to_pylist() for c in ("lang", "word", "id"))):
-            self.words.setdefault(lang, {})[word.encode()] = n
 
-    def find(self, keys: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log probability, log backoff) of each key; NaN and 0 where it is not in the model."""
-        logp, logb = np.full(len(keys), np.nan, np.float32), np.zeros(len(keys), np.float32)
+class Model:
+    """Counts in shards, each language's word ids, discounts and unigrams. At most 3 x TRAIN_WORDS n-grams."""
+
+    def __init__(self, words: dict[str, dict[bytes, int]], tables: dict[str, pa.Table]):
+        t = {k: {c: v.column(c).to_numpy() for c in v.column_names} for k, v in tables.items()}
+        self.words, self.low, self.one, self.back, self.d2, self.d3 = words, {}, {}, {}, {}, {}
+        size = max((max(w.values()) for w in words.values()), default=0) + 1
+        n1 = np.zeros(size, np.int64)
+        n1[t["c1"]["key"]] = t["c1"]["n"]
+        x2 = np.zeros((size, 4), np.int64)
+        x2[t["x2"]["key"]] = np.stack([t["x2"][c] for c in ("total", "n1", "n2", "n3")], axis=1).reshape(-1, 4)
+        mask = (1 << BITS) - 1
+        keys = np.union1d(t["c2"]["key"], t["x3"]["key"])
+        pairs = np.zeros((len(keys), 3), np.float32)
+        pairs[np.searchsorted(keys, t["c2"]["key"]), 0] = t["c2"]["n"]
+        at3 = np.searchsorted(keys, t["x3"]["key"])
+        pairs[at3, 1] = t["x3"]["total"]
+        for lang, own in words.items():
+            low, high = min(own.values()), max(own.values()) + 1
+            inside = lambda key: ((key & mask) >= low) & ((key & mask) < high)
+            d1 = discounts(n1[low:high])
+            self.d2[lang] = discounts(t["c2"]["n"][inside(t["c2"]["key"])])
+            self.d3[lang] = discounts(t["c3"]["n"][inside(t["c3"]["key"])])
+            counts = n1[low:high]
+            total = max(int(counts.sum()), 1)
+            share = np.maximum(counts - d1[np.minimum(counts, 3)], 0) / total
+            base = max(1.0 - share.sum(), 1e-9) / (high - low + 1)  # the rest, evenly with the unknown word
+            self.low[lang], self.one[lang] = low, np.concatenate(([base], share + base))
+            total2, left2 = x2[low:high, 0].astype(float), x2[low:high, 1:] @ self.d2[lang][1:]
+            self.back[lang] = np.concatenate(([[0.0, 1.0]], np.stack((total2, np.where(total2 > 0, left2 / np.maximum(total2, 1), 1.0)), axis=1)))
+            hit = inside(t["x3"]["key"])
+            pairs[at3[hit], 2] = np.stack([t["x3"][c][hit] for c in ("n1", "n2", "n3")], axis=1) @ self.d3[lang][1:]
+        order = np.argsort(t["c3"]["key"], kind="stable")
+        triples, triple_n = t["c3"]["key"][order], t["c3"]["n"][order].astype(np.float32)
+        of_pair, of_triple = shard_of(keys), shard_of(triples)
+        self.shards = [Shard(keys[of_pair == s], pairs[of_pair == s], triples[of_triple == s], triple_n[of_triple == s]) for s in range(SHARDS)]
+
+    def join(self, keys: np.ndarray, own: str, values: str, width: int) -> np.ndarray:
+        """The values (rows, width) of each key, shard by shard; 0 where the counts lack it."""
+        out, shard = np.zeros((len(keys), width), np.float32), shard_of(keys)
         by = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[by], np.arange(len(self.shards) + 1))
-        for s, own in enumerate(self.shards):
-            at = by[edges[s] : edges[s + 1]]
-            if len(at) and len(own.keys):
+        edges = np.searchsorted(shard[by], np.arange(SHARDS + 1))
+        for s, part in enumerate(self.shards):
+            at, table = by[edges[s] : edges[s + 1]], getattr(part, own)
+            if len(at) and len(table):
                 wanted = keys[at]
-                k = np.minimum(np.searchsorted(own.keys, wanted), len(own.keys) - 1)
-                hit = own.keys[k] == wanted
-                logp[at[hit]], logb[at[hit]] = own.logp[k[hit]], own.logb[k[hit]]
-        return logp, logb
+                k = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+                hit = table[k] == wanted
+                out[at[hit]] = getattr(part, values)[k[hit]].reshape(-1, width)
+        return out
 
-    def score(self, lang: str | None, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def score(self, lang: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(sum of log probabilities, words) of each text of one language; the end of a text counts as a word."""
         known = self.words.get(lang)
         split = [t.split() for t in texts]
         n = np.array([len(x) for x in split], np.int64)
         if known is None:
             return np.full(len(texts), np.nan), n
-        start, end = known[b"<s>"], known[b"</s>"]
+        start, end, low = known[b"<s>"], known[b"</s>"], self.low[lang]
         get, flat = known.get, []
         for x in split:
             flat += [start, start]
             flat += [get(w, 0) for w in x]
             flat.append(end)
-        ids = np.array(flat, np.int64)
+        c = np.array(flat, np.int64)
         first = np.concatenate(([0], np.cumsum(n + 3)))[:-1]
-        real = np.ones(len(ids), bool)
+        real = np.ones(len(c), bool)
         real[first] = real[first + 1] = False
-        c = ids
-        b, a = np.concatenate(([0], ids[:-1])), np.concatenate(([0, 0], ids[:-2]))
-        p1, b1 = self.unigram(lang)
-        low = self.low[lang]
-        logp = p1[np.where(c > 0, c - low + 1, 0)] + b1[np.where((b >= low) & (b < low + len(b1) - 1), b - low + 1, 0)]
+        b, a = np.concatenate(([0], c[:-1])), np.concatenate(([0, 0], c[:-2]))
+        within = lambda ids: np.where((ids >= low) & (ids < low + len(known)), ids - low + 1, 0)
+        back = self.back[lang][within(b)]
+        pair = np.zeros((len(c), 3), np.float32)
         two = np.flatnonzero((b > 0) & (c > 0))
-        pair_p, pair_b = np.full(len(ids), np.nan, np.float32), np.zeros(len(ids), np.float32)
-        pair = (b[two] << BITS) | c[two]
-        pair_p[two], pair_b[two] = self.find(pair, shard_of(pair))
-        logp = np.where(np.isnan(pair_p), logp, pair_p)
-        # a trigram can only be there where both of its bigrams are
-        context = np.concatenate(([0], pair_b[:-1]))
-        logp = logp + context
-        seen = ~np.isnan(pair_p)
-        three = np.flatnonzero(seen & np.concatenate(([False], seen[:-1] | (ids[:-1] == start))) & (a > 0))
-        triple = (a[three] << (2 * BITS)) | (b[three] << BITS) | c[three]
-        p3, _ = self.find(triple, shard_of(triple))
-        hit = ~np.isnan(p3)
-        logp[three[hit]] = p3[hit]
-        return np.add.reduceat(np.where(real, logp, 0.0).astype(np.float64), first) if len(first) else np.zeros(0), n
-
-    def unigram(self, lang: str) -> tuple[np.ndarray, np.ndarray]:
-        """Values of the language's words by id (its ids follow each other), the unknown word first."""
-        if not hasattr(self, "one"):
-            self.one, self.low = {}, {}
-        if lang not in self.one:
-            own = np.array(sorted(self.words[lang].values()), np.int64)
-            p, b = self.find(own, shard_of(own))
-            end = np.array([-self.words[lang][b"</s>"]], np.int64)
-            unknown, _ = self.find(end, shard_of(end))
-            self.low[lang] = int(own[0])
-            self.one[lang] = np.concatenate((unknown, np.where(np.isnan(p), unknown, p))), np.concatenate(([0.0], b))
-        return self.one[lang]
-
-
-def shard_of(keys: np.ndarray) -> np.ndarray:
-    """The shard of each key: the high bits of a multiplicative hash."""
-    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(61)).astype(np.int8)
-
-
-def load(words: DataFrame, grams: DataFrame) -> Model:
-    """The whole model (bounded by the training sample), shard by shard."""
-    table = grams.toArrow()
-    keys, logp, logb = (table.column(c).to_numpy() for c in ("key", "logp", "logb"))
-    shard, out = shard_of(keys), []
-    for s in range(SHARDS):
-        at = np.flatnonzero(shard == s)
-        at = at[np.argsort(keys[at], kind="stable")]
-        out.append(Shard(keys[at].copy(), logp[at].astype(np.float32), logb[at].astype(np.float32)))
-    return Model(words.toArrow(), out)
+        pair[two] = self.join((b[two] << BITS) | c[two], "pairs", "pair_values", 3)
+        seen = np.where(back[:, 0] > 0, pair[:, 0], 0)
+        p = np.maximum(seen - self.d2[lang][np.minimum(seen, 3).astype(int)], 0) / np.maximum(back[:, 0], 1) + back[:, 1] * self.one[lang][within(c)]
+        total, left = np.concatenate(([0], pair[:-1, 1])), np.concatenate(([0], pair[:-1, 2]))
+        # a trigram can only be there where its context and its last two words are
+        three = np.flatnonzero((total > 0) & (pair[:, 0] > 0) & (a > 0) & real)
+        n3 = np.zeros(len(c), np.float32)
+        n3[three] = self.join((a[three] << (2 * BITS)) | (b[three] << BITS) | c[three], "triples", "triple_n", 1)[:, 0]
+        share = np.maximum(n3 - self.d3[lang][np.minimum(n3, 3).astype(int)], 0)
+        p = np.where(total > 0, (share + left * p) / np.maximum(total, 1), p)
+        return np.add.reduceat(np.where(real, np.log(np.maximum(p, 1e-30)), 0.0), first) if len(first) else np.zeros(0), n
 
 
 def train(docs: DataFrame, labels: DataFrame, trusted: int = 1, label: str = "quality") -> tuple[Model | None, DataFrame]:
     """(model, ids trained on) from the documents labelled ``trusted``; None where there is none."""
     known = labels.where(F.col(label) == trusted).select(F.col("doc_id").alias("_id")).distinct()
-    own = docs.where("text IS NOT NULL").join(known, docs.doc_id == known._id, "left_semi")
-    sample = write_table(training_sample(own), "sample")
+    sample = write_table(training_sample(docs.where("text IS NOT NULL"), known), "sample")
     if sample.isEmpty():
         return None, sample.select("doc_id")
-    return load(*model_tables(sample)), sample.select("doc_id")
+    words = by_language(vocabulary(sample))
+    return Model(words, {k: v.toArrow() for k, v in count_tables(sample, words).items()}), sample.select("doc_id")
 
 
-def perplexities(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang, n_words, log_perplexity (null where the language has no model)."""
+def perplexities(docs: DataFrame, model: Model | None, carry: list[str]) -> DataFrame:
+    """The columns ``carry`` of docs with n_words and log_perplexity (null where the language has no model)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    kept = docs.select(*carry)
+    names = [*carry, "n_words", "log_perplexity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            langs = np.array([x or "" for x in batch.column(1).to_pylist()], dtype=object)
+            langs = np.array([x or "" for x in batch.column(0).to_pylist()], dtype=object)
             logs, n = np.full(len(langs), np.nan), np.zeros(len(langs), np.int64)
-            text = batch.column(2)
+            text = batch.column(1)
             length = pc.fill_null(pc.binary_length(text), 0).to_pylist()
             for lang in set(langs):
                 block, size = [], 0
@@ -252,26 +254,37 @@ def perplexities(docs: DataFrame, model: Model | None) -> DataFrame:
                         block, size = [], 0
                     block.append(i)
                     size += length[i]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(logs, from_pandas=True)], names=["doc_id", "lang", "n_words", "log_perplexity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(n), pa.array(logs, from_pandas=True)], names=names)
 
-    own = docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    return own.mapInArrow(run, "doc_id long, lang string, n_words long, log_perplexity double")
+    own = docs.select(F.col("lang").alias("_lang"), F.col("text").alias("_text"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
+    schema = T.StructType([*kept.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("log_perplexity", T.DoubleType())])
+    return own.mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, trusted: int = 1, label: str = "quality", quantile: float = QUANTILE) -> DataFrame:
-    """doc_id, lang, n_words, log_perplexity, threshold, kept of every document.
+def classify(docs: DataFrame, labels: DataFrame, trusted: int = 1, label: str = "quality", quantile: float = QUANTILE, carry: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
+    """The columns ``carry`` of docs with n_words, log_perplexity, threshold and kept, for every document.
 
-    docs need doc_id, lang and text; other columns are ignored. Null texts have no words; texts of fewer than
-    LEAST_WORDS words, of a language without trusted text, or with no label at all in the tables are kept. Null
-    languages are one language; repeated rows are judged alike; an empty table gives an empty result.
+    docs need doc_id, lang and text, and no column of these names. Null texts have no words; texts of fewer than
+    LEAST_WORDS words, of a language without trusted text, or with no trusted document at all are kept. Null languages
+    are one language; repeated rows are judged alike; an empty table gives an empty result.
     """
-    own = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    model, trained = train(own, labels, trusted, label)
-    scored = write_table(perplexities(own, model), "scored")
+    model, trained = train(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text"), labels, trusted, label)
+    scored = write_table(perplexities(docs, model, list(dict.fromkeys(["doc_id", "lang", *carry]))), "scored")
     known = labels.where(F.col(label) == trusted).select("doc_id").distinct()
-    held = scored.where(F.col("n_words") >= LEAST_WORDS).join(known, "doc_id", "left_semi").join(trained, "doc_id", "left_anti")
-    limits = held.groupBy("lang").agg(F.percentile_approx("log_perplexity", quantile, 10_000).alias("quantile"))
-    limit = F.col("quantile") + MARGIN + SPREAD / F.sqrt(F.greatest("n_words", F.lit(1)))
-    judged = scored.join(limits, "lang", "left").withColumn("threshold", limit)
+    lang = F.coalesce("lang", F.lit(""))
+    told = scored.select("doc_id", lang.alias("_lang"), "n_words", "log_perplexity")
+    held = told.where(F.col("n_words") >= LEAST_WORDS).join(known, "doc_id", "left_semi").join(trained, "doc_id", "left_anti")
+    limits = {r[0]: r[1] for r in held.groupBy("_lang").agg(F.percentile_approx("log_perplexity", quantile, 10_000)).collect() if r[1] is not None}
+    own = F.lit(None).cast("double")
+    for name, value in sorted(limits.items()):  # a row for each language
+        own = F.when(lang == name, F.lit(value)).otherwise(own)
+    limit = own + MARGIN + SPREAD / F.sqrt(F.greatest("n_words", F.lit(1)))
+    out = scored.withColumn("threshold", limit)
     fine = (F.col("n_words") < LEAST_WORDS) | F.col("log_perplexity").isNull() | F.col("threshold").isNull() | (F.col("log_perplexity") <= F.col("threshold"))
-    return judged.select("doc_id", "lang", "n_words", "log_perplexity", "threshold", fine.alias("kept"))
+    return out.select(*carry, "n_words", "log_perplexity", "threshold", fine.alias("kept"))
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without what ``classify`` rejects; rows are judged one by one, their columns stay."""
+    own = docs.select("doc_id", "lang", "text", F.struct(*docs.columns).alias("_row"))
+    return classify(own, labels, carry=("_row",)).where("kept").select("_row.*")

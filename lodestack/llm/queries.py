@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SEQUENCE_TOKENS = 4096
 TOKEN_LIMIT = 2048
+SHARDS = 40
 
 
 def tokenizer(name: str) -> str:
@@ -32,24 +33,54 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), SEQUENCE_TOKENS, 1)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestack.llm.warc import archive_and_read
+
+    return archive_and_read(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestack.llm.rules import judged
 
     return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
+def op5_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestack.llm.telephony import store_and_describe
+
+    return store_and_describe(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestack.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestack.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestack.llm.sharding import shard_documents
+
+    return shard_documents(table(spark, sf_dir, "documents"), SHARDS)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestack.llm.tokencount import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), TOKEN_LIMIT)
 
 
+def op10_rans_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestack.llm.rans import write_and_read
+
+    return write_and_read(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), 2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 

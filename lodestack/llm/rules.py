@@ -210,3 +210,12 @@ def judged(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text:
     taught = stats.join(known, stats.doc_id == known._id).where("NOT base_failed")
     rules = learn(taught)
     return stats.withColumn("kept", F.coalesce(~F.col("base_failed") & rules.column(), F.lit(False))), rules
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without what the base and the learned rules reject; rows are judged one by one, their columns stay."""
+    own = docs.select(F.struct(*docs.columns).alias("_row"))
+    stats = write_table(text_stats(own, "_row.text"), "stats")
+    known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("label"))
+    taught = stats.select(F.col("_row.doc_id").alias("_doc"), *FEATURE_STATS, "base_failed").join(known, F.col("_doc") == F.col("_id")).where("NOT base_failed")
+    return stats.where(~F.col("base_failed") & learn(taught).column()).select("_row.*")
