@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,8 +25,8 @@ from pyspark.sql.window import Window
 from lodestack.llm.common import words_of, write_table
 
 #: Bounds of the training sample: documents in the order of a hash of their ids, as long as their words fit.
-TRAIN_DOCUMENTS = 4_000
-TRAIN_WORDS = 1_500_000
+TRAIN_DOCUMENTS = 2_000
+TRAIN_WORDS = 600_000
 SHARDS = 8
 #: A document is rejected above this quantile of its language's trusted, held-out documents plus a margin in nats;
 #: the margin has a part that falls with the root of the document's words, as chance does.
@@ -37,7 +38,7 @@ LEAST_WORDS = 10
 #: Ids of words take this many bits of an n-gram's key; 0 is the unknown word.
 BITS = 21
 MARKS = ("<s>", "</s>")
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 100_000
 
 
 def training_sample(docs: DataFrame, trusted: DataFrame, documents: int = TRAIN_DOCUMENTS, words: int = TRAIN_WORDS) -> DataFrame:
@@ -67,12 +68,11 @@ def by_language(words: pa.Table) -> dict[str, dict[bytes, int]]:
     return out
 
 
-def trigram_counts(sample: DataFrame, words: dict[str, dict[bytes, int]]) -> DataFrame:
+def trigram_counts(sample: DataFrame, sent: Broadcast) -> DataFrame:
     """key, n: counts of the sample's trigrams by packed word ids; documents are padded with two starts and an end.
 
     Each task counts its own part first; only distinct keys are shuffled.
     """
-    sent = sample.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,7 +101,9 @@ def count_tables(sample: DataFrame, words: dict[str, dict[bytes, int]]) -> dict[
     """
     starts = [w[b"<s>"] for w in words.values()]
     low = lambda key, n: F.col(key).bitwiseAND(F.lit((1 << (n * BITS)) - 1))
-    c3 = write_table(trigram_counts(sample, words), "trigrams")
+    sent = sample.sparkSession.sparkContext.broadcast(words)
+    c3 = write_table(trigram_counts(sample, sent), "trigrams")
+    sent.destroy()
     at_start = F.shiftright(low("key", 2), BITS).isin(starts)
     c2 = c3.groupBy(low("key", 2).alias("key")).agg(F.when(F.first(at_start), F.sum("n")).otherwise(F.count(F.lit(1))).alias("n"))
     c2 = write_table(c2, "bigrams")
@@ -228,9 +230,11 @@ def train(docs: DataFrame, labels: DataFrame, trusted: int = 1, label: str = "qu
     return Model(words, {k: v.toArrow() for k, v in count_tables(sample, words).items()}), sample.select("doc_id")
 
 
-def perplexities(docs: DataFrame, model: Model | None, carry: list[str]) -> DataFrame:
-    """The columns ``carry`` of docs with n_words and log_perplexity (null where the language has no model)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+def perplexities(docs: DataFrame, sent: Broadcast, carry: list[str]) -> DataFrame:
+    """The columns ``carry`` of docs with n_words and log_perplexity (null where the language has no model).
+
+    sent: the broadcast model; of a bounded size, as its sample is.
+    """
     kept = docs.select(*carry)
     names = [*carry, "n_words", "log_perplexity"]
 
@@ -269,7 +273,9 @@ def classify(docs: DataFrame, labels: DataFrame, trusted: int = 1, label: str =
     are one language; repeated rows are judged alike; an empty table gives an empty result.
     """
     model, trained = train(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text"), labels, trusted, label)
-    scored = write_table(perplexities(docs, model, list(dict.fromkeys(["doc_id", "lang", *carry]))), "scored")
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    scored = write_table(perplexities(docs, sent, list(dict.fromkeys(["doc_id", "lang", *carry]))), "scored")
+    sent.destroy()  # the scores are written
     known = labels.where(F.col(label) == trusted).select("doc_id").distinct()
     lang = F.coalesce("lang", F.lit(""))
     told = scored.select("doc_id", lang.alias("_lang"), "n_words", "log_perplexity")
