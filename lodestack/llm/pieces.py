@@ -33,7 +33,7 @@ _ODD = "\u0130"
 #: Longer pieces are encoded each time, so that the cache's memory has a bound.
 PIECE_CHARS = 40
 #: Entries of one of a worker's two generations; when the young one is full it becomes the old one, which is dropped.
-GENERATION = 250_000
+GENERATION = 300_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -90,9 +90,14 @@ class Pieces:
 
     def encode(self, piece: str) -> list[int]:
         """The ids of one piece."""
-        if _ONE.fullmatch(piece) and _ODD not in piece and self.pattern is not None:
-            shown = (piece if self.pattern is _KEEPING else piece.lower()).translate(_SHOWN)
-            return [t.id for t in self.model.tokenize(shown)]
+        if self.pattern is not None:
+            bare = piece[1:] if piece[:1] == " " else piece
+            if bare.isascii() and bare.isalpha():
+                shown = bare.lower() if self.pattern is _DROPPING else piece.replace(" ", _SHOWN[32])
+                return [t.id for t in self.model.tokenize(shown)]
+            if _ONE.fullmatch(piece) and _ODD not in piece:
+                shown = (piece if self.pattern is _KEEPING else piece.lower()).translate(_SHOWN)
+                return [t.id for t in self.model.tokenize(shown)]
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
     def seen(self, piece: str) -> bytes:
