@@ -304,3 +304,95 @@ def find_or_create_actor(actors: DataFrame, wanted: DataFrame, first_id: int) ->
     got = wanted.select(F.col("auth_subject").alias("subject")).distinct().join(actors.select(F.col("auth_subject").alias("subject"), "id"), "subject", "left")
     made = got.where("id IS NULL").withColumn("id", F.row_number().over(Window.orderBy("subject")) + F.lit(first_id) - 1)
     return got.where("id IS NOT NULL").unionByName(made.withColumn("id", F.col("id").cast("long")))
+
+
+def controller_chains(actors: DataFrame, most: int = 8) -> DataFrame:
+    """actor, controller, distance: who controls an actor, through at most ``most`` steps (a cycle ends there)."""
+    edges = actors.where("controller_actor_id IS NOT NULL").select(F.col("id").alias("actor"), F.col("controller_actor_id").alias("controller"))
+    step = edges.withColumn("distance", F.lit(1))
+    out = step
+    up = edges.select(F.col("actor").alias("controller"), F.col("controller").alias("_next"))
+    for k in range(2, most + 1):
+        step = step.join(up, "controller").select("actor", F.col("_next").alias("controller"), F.lit(k).alias("distance"))
+        out = out.union(step)
+    return out.groupBy("actor", "controller").agg(F.min("distance").alias("distance"))
+
+
+# co-edited text ------------------------------------------------------------------------------------------------------
+
+
+def units(text: str) -> int:
+    """UTF-16 code units."""
+    return len(text) + sum(ord(c) > 0xFFFF for c in text)
+
+
+def inserted_ranges(old: str, new: str) -> list[tuple[int, int]]:
+    """(start, length) in UTF-16 units of the new text's stretches that a character difference inserts."""
+    kept = {j for _, j in common_lines(list(old), list(new))}
+    out: list[tuple[int, int]] = []
+    at = 0
+    for j, c in enumerate(new):
+        n = units(c)
+        if j not in kept:
+            if out and out[-1][0] + out[-1][1] == at:
+                out[-1] = (out[-1][0], out[-1][1] + n)
+            else:
+                out.append((at, n))
+        at += n
+    return out
+
+
+def spans_of_blame(text: str, runs: list[Run], fallback: tuple[int, int] = (0, 0)) -> list[tuple[str, int, int]]:
+    """(text, actor, session) stretches of a document for a co-editor: each character belongs to the run that holds its
+    first byte, and to the fallback author where none does."""
+    edges, at = [], 0
+    for actor, session, n in runs:
+        edges.append((at, at + n, actor, session))
+        at += n
+    out: list[tuple[str, int, int]] = []
+    at = k = 0
+    for c in text:
+        while k < len(edges) and edges[k][1] <= at:
+            k += 1
+        author = edges[k][2:] if k < len(edges) else fallback
+        if out and out[-1][1:] == author:
+            out[-1] = (out[-1][0] + c, *author)
+        else:
+            out.append((c, *author))
+        at += len(c.encode())
+    return out
+
+
+def insertions(pairs: DataFrame) -> DataFrame:
+    """path, start, length of the inserted stretches of pairs (path, old, new)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(p, a, n) for p, old, new in zip(*(batch.column(k).to_pylist() for k in range(3))) for a, n in inserted_ranges(old or "", new or "")]
+            columns = list(zip(*rows)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))], names=["path", "start", "length"])
+
+    return pairs.select("path", "old", "new").mapInArrow(run, "path string, start long, length long")
+
+
+def service_counters(ops: DataFrame, passages: DataFrame) -> DataFrame:
+    """writes, removes, renames of the op log, chunks put and deduplicated, bytes written: one row."""
+    kinds = ops.agg(*[F.count_if(F.col("op") == k).alias(name) for k, name in (("write", "writes"), ("remove", "removes"), ("rename", "renames"))])
+    by = passages.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("byte_end") - F.col("byte_start")).alias("len"))
+    put = by.agg(F.count(F.lit(1)).alias("chunks_put"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("chunks_deduped"), F.coalesce(F.sum(F.col("n") * F.col("len")), F.lit(0)).alias("bytes"))
+    return kinds.crossJoin(F.broadcast(put))  # one row each
+
+
+def derived_runs(rows: DataFrame, writer: tuple[int, int]) -> DataFrame:
+    """content_hash, runs of writes: rows of content_hash, _old (bytes before, null: none), data, runs (before, or null)."""
+    kind = pa.list_(pa.struct([("actor", pa.int64()), ("session", pa.int64()), ("len", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for old, data, runs in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                before = [(r["actor"], r["session"] or 0, r["len"]) for r in runs or []]
+                out.append([{"actor": a, "session": s, "len": n} for a, s, n in attribute(old or b"", before, data, writer)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["content_hash", "runs"])
+
+    return rows.select("content_hash", "_old", "data", "runs").mapInArrow(run, f"content_hash string, runs {RUNS}")

@@ -91,27 +91,29 @@ def feed_current_state_cleaned(spark, sf_dir):
     return feed.current_state(rows, text, ["sub"], cleaned=True)
 
 
-PRESENCE_SQL = f"""{X.FEED_SQL}, {X.ACTORS_SQL}, beats AS (SELECT actor_id % 40 AS session_id, actor_id, path, ts AS last_seen FROM feed),
+PRESENCE_SQL = f"""{X.FEED_SQL}, {X.ACTORS_SQL}, now AS (SELECT max(ts) AS now FROM feed), beats AS (SELECT actor_id AS session_id, actor_id, path, ts AS last_seen FROM feed),
 latest AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY last_seen DESC, path DESC, actor_id DESC) AS rn FROM beats),
 present AS (SELECT session_id, actor_id, path, last_seen FROM latest WHERE rn = 1)"""
 
 
 def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.feed(spark, sf_dir).select((F.col("actor_id") % 40).alias("session_id"), "actor_id", "path", F.col("ts").alias("last_seen"))
+    return X.feed(spark, sf_dir).select(F.col("actor_id").alias("session_id"), "actor_id", "path", F.col("ts").alias("last_seen"))
 
 
-NOW = 1_706_600_000
+def newest(spark: SparkSession, sf_dir: str) -> int:
+    """The time that presence is asked for: an argument, never the clock."""
+    return X.feed(spark, sf_dir).agg(F.max("ts")).first()[0]
 
 
-@query(f"WITH {PRESENCE_SQL} SELECT p.session_id, p.actor_id, p.path, p.last_seen, a.kind, a.display_name FROM present p JOIN actors a ON a.id = p.actor_id WHERE last_seen >= {NOW} - 86400")
+@query(f"WITH {PRESENCE_SQL} SELECT p.session_id, p.actor_id, p.path, p.last_seen, a.kind, a.display_name FROM present p JOIN actors a ON a.id = p.actor_id WHERE last_seen >= (SELECT now FROM now) - 43200")
 def presence_active(spark, sf_dir):
-    rows = workspace.active(workspace.presence(beats(spark, sf_dir)), X.actors(spark, sf_dir), NOW, 86_400)
+    rows = workspace.active(workspace.presence(beats(spark, sf_dir)), X.actors(spark, sf_dir), newest(spark, sf_dir), 43_200)
     return rows.select("session_id", "actor_id", "path", "last_seen", "kind", "display_name")
 
 
-@query(f"WITH {PRESENCE_SQL} SELECT session_id, actor_id, path, last_seen FROM present WHERE last_seen >= {NOW} - 300")
+@query(f"WITH {PRESENCE_SQL} SELECT session_id, actor_id, path, last_seen FROM present WHERE last_seen >= (SELECT now FROM now) - 7200")
 def presence_reaped(spark, sf_dir):
-    return workspace.reaped(workspace.presence(beats(spark, sf_dir)), NOW).select("session_id", "actor_id", "path", "last_seen")
+    return workspace.reaped(workspace.presence(beats(spark, sf_dir)), newest(spark, sf_dir), 7_200).select("session_id", "actor_id", "path", "last_seen")
 
 
 @query(
@@ -211,11 +213,11 @@ def passage_overlap(spark, sf_dir):
 
 
 @query(
-    f"WITH {X.FILES_SQL} SELECT path, size FROM files WHERE (path LIKE '/src1/%' OR path = '/src1') AND regexp_matches(path, '\\.[^./]*$') AND lower(regexp_extract(path, '\\.([^./]*)$', 1)) IN ('md', 'html') AND size > 0 AND size <= 4096 ORDER BY path"
+    f"WITH {X.FILES_SQL} SELECT path, size FROM files WHERE (path LIKE '/src0/%' OR path = '/src0') AND regexp_matches(path, '\\.[^./]*$') AND lower(regexp_extract(path, '\\.([^./]*)$', 1)) IN ('md', 'html') AND size > 0 AND size <= 4096 ORDER BY path"
 )
 def corpus_filtered(spark, sf_dir):
     own = X.files(spark, sf_dir)
-    return own.where(E.under(F.col("path"), "/src1/") & E.has_extension(F.col("path"), [".MD", "html"]) & E.within_size(F.col("size"), 4_096)).select("path", "size").orderBy("path")
+    return own.where(E.under(F.col("path"), "/src0/") & E.has_extension(F.col("path"), [".MD", "html"]) & E.within_size(F.col("size"), 4_096)).select("path", "size").orderBy("path")
 
 
 @query(
@@ -450,6 +452,32 @@ def attributed_history(spark, sf_dir):
     return own.select("path", F.octet_length("data").cast("long").alias("size"), E.encode_runs(F.col("runs")).alias("runs"))
 
 
+@query()
+def inserted_text(spark, sf_dir):
+    own = X.turns(spark, sf_dir).where("len < 3000")
+    new = F.concat(F.substring("text", 1, 10), F.lit("<\U0001f600>"), F.expr("substring(text, 15)"))
+    return attribution.insertions(own.select(F.concat_ws("#", "path", "ordinal").alias("path"), F.col("text").alias("old"), new.alias("new")))
+
+
+@query(
+    f"""WITH {X.FEED_SQL}, {X.FILES_SQL}, p AS ({fixed_sql(512, 0)}), b AS (SELECT hash, count(*) AS n, max(byte_end - byte_start) AS len FROM p GROUP BY hash),
+    o AS (SELECT count(*) FILTER (kind = 'write') AS writes, count(*) FILTER (kind = 'remove') AS removes, count(*) FILTER (kind = 'rename') AS renames FROM feed)
+    SELECT o.*, (SELECT count(*) FROM b) AS chunks_put, CAST((SELECT sum(n - 1) FROM b) AS BIGINT) AS chunks_deduped, CAST((SELECT sum(n * len) FROM b) AS BIGINT) AS bytes FROM o"""
+)
+def service_counters(spark, sf_dir):
+    return attribution.service_counters(X.feed(spark, sf_dir).withColumnRenamed("kind", "op"), content.cut_passages(X.files(spark, sf_dir), "fixed", 512))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT c_custkey AS actor, c_custkey // 3 AS controller FROM customer WHERE c_custkey % 4 <> 0),
+    r AS (SELECT actor, controller, 1 AS distance FROM e UNION ALL SELECT r.actor, e.controller, distance + 1 FROM r JOIN e ON e.actor = r.controller WHERE distance < 8)
+    SELECT actor, controller, min(distance) AS distance FROM r GROUP BY actor, controller"""
+)
+def controller_chains(spark, sf_dir):
+    own = X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 4 != 0, F.floor(F.col("c_custkey") / 3)).alias("controller_actor_id"))
+    return attribution.controller_chains(own)
+
+
 # trees -------------------------------------------------------------------------------------------------------------
 
 PATHS_SQL = f"""RECURSIVE {X.TREE_SQL}, p AS (SELECT d.ino, i.kind, i.size, '/' || d.name AS path, 1 AS depth FROM dentry d JOIN inode i USING (ino) WHERE parent_ino = 1
