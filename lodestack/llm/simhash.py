@@ -247,7 +247,8 @@ def first_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """
     own = near_duplicates(docs, id_column, text_column).where("doc_id = component_id").groupBy("doc_id").count()
     own = write_table(own.select(F.col("doc_id").alias("_first"), (F.col("count") > 1).alias("_again")), "firsts")
-    kept = docs.join(own, docs[id_column] == F.col("_first"))
+    # texts are dealt by id at every size: the kept ids grow with the corpus and are not for broadcasting
+    kept = docs.join(own.hint("shuffle_hash"), docs[id_column] == F.col("_first"))
     out = kept.where("not _again").select(*docs.columns)
     if not own.where("_again").isEmpty():
         out = out.union(kept.where("_again").select(*docs.columns).dropDuplicates([id_column]))
