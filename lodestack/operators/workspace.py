@@ -29,8 +29,10 @@ def mkdir_missing(tree: DataFrame, paths: DataFrame) -> DataFrame:
     """path, kind of the directories and ancestors that are missing; anything else in the way is an error."""
     wanted = ancestors_of(paths).select(F.col("ancestor").alias("path")).union(paths.select("path")).distinct()
     own = wanted.join(tree.select("path", F.col("kind").alias("_k")), "path", "left")
-    checked = own.select(failing(F.col("_k").isNotNull() & (F.col("_k") != "dir"), "not a directory", F.col("path")).alias("path"), "_k")
-    return checked.where("_k IS NULL").select("path", F.lit("dir").alias("kind"))
+    # the error is part of the filter: a filter above it would be pushed below and pass it by
+    wrong = F.raise_error(F.concat(F.lit("not a directory: "), "path")).cast("boolean")
+    missing = F.when(F.col("_k").isNotNull() & (F.col("_k") != "dir"), wrong).otherwise(F.col("_k").isNull())
+    return own.where(missing).select("path", F.lit("dir").alias("kind"))
 
 
 def missing_dirs(tree: DataFrame, paths: DataFrame) -> DataFrame:

@@ -157,7 +157,7 @@ def test_missing_actor_and_bad_lengths_are_errors(spark):
 
 
 def test_text_merges():
-    assert merge.merge_text("a\nb\nc\n", "a\nB\nc\n", "a\nb\nC\n") == ("a\nB\nC\n", False)
+    assert merge.merge_text("a\nb\nx\nc\n", "a\nB\nx\nc\n", "a\nb\nx\nC\n") == ("a\nB\nx\nC\n", False)
     text, conflict = merge.merge_text("a\nb\nc\n", "a\nX\nc\n", "a\nY\nc\n")
     assert conflict and "<<<<<<<" in text
     assert merge.merge_text("", "x\n", "x\n") == ("x\n", False)
