@@ -140,26 +140,27 @@ def purity(bad: int, good: int, weight: float) -> float:
     return (bad + 0.5) / (bad + weight * good + 1)
 
 
-def learn(labelled: DataFrame, reject: int = 0, most_rules: int = 8, most_tests: int = 3, bins: int = 48, least_precision: float = 0.9, least_covered: int = 5) -> DecisionList:
+def learn(labelled: DataFrame, reject: int = 0, most_rules: int = 8, most_tests: int = 3, bins: int = 48, least_precision: float = 0.9, least_covered: int = 5, most_failures: int = 3) -> DecisionList:
     """A decision list that rejects what ``label`` = reject marks. labelled: the statistics and ``label`` (rows with another null are left out).
 
-    Sequential covering: rules are grown on two thirds of the rows (by hash), pruned on the rest, kept only where
-    both parts have at least ``least_precision`` of rejected rows, and the rows that a rule covers are removed before
-    the next. An empty table, or one label only, gives the empty list (keep).
+    Sequential covering: rules are grown on two thirds of the rows (by a hash of the row), pruned on the rest, and kept
+    where all uncovered rows and the held-out ones have at least ``least_precision`` of rejected rows; the rows that a
+    rule covers are removed before the next. A rule that fails is grown again without its first test, up to
+    ``most_failures`` times in all. An empty table, or one label only, gives the empty list (keep).
     """
-    rows = labelled.where("label IS NOT NULL").select("label", F.pmod(F.xxhash64("label", *FEATURE_STATS), F.lit(3)).alias("part"), *[F.expr(e).alias(f) for f, e in FEATURES.items()])
+    rows = labelled.where("label IS NOT NULL").select("label", F.pmod(F.xxhash64(*labelled.columns), F.lit(3)).alias("part"), *[F.expr(e).alias(f) for f, e in FEATURES.items()])
     rows = write_table(rows, "labelled")
     cuts = candidates(rows, bins)
     rules: list[Rule] = []
-    left = rows
-    for _ in range(most_rules):
+    left, failed = rows, set()
+    while len(rules) < most_rules and len(failed) < most_failures:
         grow, hold = left.where("part < 2"), left.where("part = 2")
         tests: list[Test] = []
         best_score, own = 0.0, grow
         while len(tests) < most_tests:
             found = coverage(own, cuts, reject)
             total = max((b for b, _ in found.values()), default=0)
-            usable = {t: (b, g) for t, (b, g) in found.items() if b >= least_covered and b >= 0.02 * total}
+            usable = {t: (b, g) for t, (b, g) in found.items() if b >= least_covered and b >= 0.02 * total and t not in failed}
             if not usable:
                 break
             test = max(usable, key=lambda t: (round(purity(*usable[t], 3.0) * usable[t][0] ** 0.25, 9), t.feature, t.above, -t.at))
@@ -174,8 +175,10 @@ def learn(labelled: DataFrame, reject: int = 0, most_rules: int = 8, most_tests:
             break
         tests = prune(tests, hold, reject)
         bad, good = covered(left, tests, reject)
-        if bad < least_covered or bad / (bad + good) < least_precision:
-            break
+        held, spoilt = covered(hold, tests, reject)
+        if bad < least_covered or bad < least_precision * (bad + good) or held < least_precision * (held + spoilt):
+            failed.add(tests[0])
+            continue
         rules.append(Rule(tuple(tests), False))
         left = left.where(~reduce(and_, [t.on(t.feature) for t in tests]))
     return DecisionList(tuple(rules))

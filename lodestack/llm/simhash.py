@@ -8,8 +8,9 @@ anchors at most, one of them its home); the home anchor of either of a linked pa
 so comparing within anchors, at least one of the two being at home, finds every link.
 
 Equal fingerprints are one row from the start, so copies never meet. An anchor with very many different fingerprints
-is divided by exact thirds of the fingerprint (two that differ in 2 bits agree in one of three parts). Links leave an anchor as a spanning forest, never as all pairs, and components are found by label spreading
-over written tables; nothing that grows with the corpus reaches the driver.
+is divided by exact thirds of the fingerprint (two that differ in 2 bits agree in one of three parts), over tasks where
+it is crowded. Links leave an anchor as a spanning forest, never as all pairs, and components are found by label
+spreading over written tables; nothing that grows with the corpus reaches the driver.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ from lodestack.llm.common import write_table
 THRESHOLD = 2
 SEED = 42
 SHINGLE_WORDS = 3
+#: Anchors that are home to more different fingerprints are dealt to several tasks.
+CROWDED = 50_000
+#: First bit and bits of three parts of a fingerprint.
+THIRDS = ((0, 22), (22, 21), (43, 21))
 #: Different fingerprints of one anchor or part that are compared with each other directly.
 DIRECT = 2_048
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -100,8 +105,8 @@ def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def replicate(distinct: DataFrame) -> DataFrame:
-    """A row for each fingerprint and anchor near it: anchor (long; bit 32 tells the half), fp, home."""
+def replicate(distinct: DataFrame, homes: bool = False) -> DataFrame:
+    """A row for each fingerprint and anchor near it (its homes only): anchor (long; bit 32 tells the half), fp, home."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,6 +115,8 @@ def replicate(distinct: DataFrame) -> DataFrame:
                 fp = whole[at : at + 50_000]
                 for half in (0, 1):
                     rows, anchor, home = anchors(fp >> np.uint64(32 * half))
+                    if homes:
+                        rows, anchor, home = rows[home], anchor[home], home[home]
                     key = (anchor | np.uint64(half << 32)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[rows].view(np.int64)), pa.array(home)], names=["anchor", "fp", "home"])
 
@@ -147,7 +154,7 @@ def near(fp: np.ndarray, home: np.ndarray, threshold: int = THRESHOLD) -> list[t
     if len(fp) <= DIRECT:
         return forest(fp, home, threshold)
     out: list[tuple[int, int]] = []
-    for low, width in ((0, 22), (22, 21), (43, 21)):
+    for low, width in THIRDS:
         part = (fp >> np.uint64(low)) & np.uint64((1 << width) - 1)
         by = np.argsort(part, kind="stable")
         for g in np.split(by, np.flatnonzero(np.diff(part[by])) + 1):
@@ -156,10 +163,29 @@ def near(fp: np.ndarray, home: np.ndarray, threshold: int = THRESHOLD) -> list[t
     return out
 
 
+def crowded_anchors(distinct: DataFrame) -> DataFrame:
+    """anchor of those that are the home of more than CROWDED different fingerprints; a written table, mostly empty."""
+    count = replicate(distinct, homes=True).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    return write_table(count.where(F.col("n") > CROWDED).select("anchor"), "crowded")
+
+
+def divided(near_anchor: DataFrame, crowded: DataFrame) -> DataFrame:
+    """near_anchor with each crowded anchor's rows dealt to keys of their own by each third of their bits.
+
+    Two fingerprints that differ in 2 bits agree in one of the three parts, so they still meet; no task gets more of a
+    crowded anchor than shares a part. A key that falls together with another only adds comparisons.
+    """
+    if crowded.isEmpty():
+        return near_anchor
+    marked = near_anchor.join(crowded.withColumn("_crowded", F.lit(True)), "anchor", "left")
+    parts = [F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)) for low, width in THIRDS]
+    keys = F.array(*[F.xxhash64("anchor", F.lit(k), part) for k, part in enumerate(parts)])
+    return marked.select(F.explode(F.when(F.col("_crowded"), keys).otherwise(F.array("anchor"))).alias("anchor"), "fp", "home")
+
+
 def links(distinct: DataFrame) -> DataFrame:
     """a, b: links between different fingerprints that connect all that are linked (a spanning forest per anchor)."""
-    near_anchor = replicate(distinct)
-    dealt = near_anchor.repartition("anchor").sortWithinPartitions("anchor")
+    dealt = divided(replicate(distinct), crowded_anchors(distinct)).repartition("anchor").sortWithinPartitions("anchor")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(found: list[tuple[int, int]]) -> pa.RecordBatch:

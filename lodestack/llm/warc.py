@@ -110,6 +110,7 @@ class Stream:
     """Records of one open file, one at a time: ``headers()``, then ``block()`` or ``skip()``."""
 
     STEP = 4_096
+    LARGE = 1 << 20
 
     def __init__(self, file, size: int):
         self.file, self.size, self.at = file, size, 0
@@ -140,15 +141,15 @@ class Stream:
         self.length = int(found.get("content-length", 0))
         return found
 
-    def more(self) -> bool:
-        """Reads a step further in this record."""
+    def more(self, most: int = STEP) -> bool:
+        """Reads a step further in this record; inflates at most so many bytes."""
         if self.zipped and self.inflate.eof:
             return False
-        data = self.file.read(self.STEP)
+        data = (self.zipped and self.inflate.unconsumed_tail) or self.file.read(max(most, self.STEP))
         if not data:
             return False
         if self.zipped:
-            got = self.inflate.decompress(data)
+            got = self.inflate.decompress(data, most)
             self.inflated += len(got)
             self.over = self.inflate.unused_data
             self.ready += got
@@ -161,7 +162,7 @@ class Stream:
         parts, have = [self.ready], len(self.ready)
         while have < self.body + self.length:
             self.ready = b""
-            if not self.more():
+            if not self.more(self.body + self.length + 4 - have if self.zipped else self.LARGE):
                 raise ValueError("a record is cut")
             parts.append(self.ready)
             have += len(self.ready)
@@ -179,7 +180,7 @@ class Stream:
         else:
             while not self.inflate.eof:
                 self.ready = b""
-                if not self.more():
+                if not self.more(self.LARGE):
                     break
             self.at = self.file.tell() - len(self.over)
 
