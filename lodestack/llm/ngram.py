@@ -44,7 +44,8 @@ BLOCK_WORDS = 100_000
 def training_sample(docs: DataFrame, trusted: DataFrame, documents: int = TRAIN_DOCUMENTS, words: int = TRAIN_WORDS) -> DataFrame:
     """doc_id, lang, w (words) of the trusted documents to train on, whole texts; equal texts once. trusted: _id."""
     ids = docs.select(F.col("doc_id").alias("_id")).join(trusted, "_id", "left_semi").distinct()
-    ids = ids.withColumn("_h", F.xxhash64("_id", F.lit(7))).orderBy("_h", "_id").limit(documents)
+    # a quarter is never trained on: thresholds need documents that the model has not seen
+    ids = ids.withColumn("_h", F.xxhash64("_id", F.lit(7))).where(F.pmod("_h", F.lit(4)) != 0).orderBy("_h", "_id").limit(documents)
     first = docs.join(F.broadcast(ids), docs.doc_id == ids._id)  # at most ``documents`` ids
     own = first.select("doc_id", "lang", "_h", words_of(F.col("text")).alias("w")).where("size(w) > 0").dropDuplicates(["w"])
     running = F.sum(F.size("w")).over(Window.orderBy("_h", "doc_id"))

@@ -14,8 +14,9 @@ from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Letters that are one kind for every regex library and need no normalisation on their own.
-_LATIN = "A-Za-zÀ-ÖØ-öø-ſ"
+#: Letters that are one kind for every regex library and need no normalisation on their own (not U+0130, whose lower
+#: case has a second character that is no letter).
+_LATIN = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 #: White space as the tokenizer files' \s has it.
 _BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A run of letters ends safely before white space, ASCII punctuation, or the end.
@@ -27,8 +28,6 @@ _KEEPING = re.compile(f" ?[{_LATIN}]+{_AFTER}| ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_B
 
 #: A piece that is one pre-token by itself: the model can encode it without the pipeline before it.
 _ONE = re.compile(f" ?[{_LATIN}]+")
-#: Its lower case has two characters of different kinds.
-_ODD = "\u0130"
 
 #: Longer pieces are encoded each time, so that the cache's memory has a bound.
 PIECE_CHARS = 40
@@ -95,7 +94,7 @@ class Pieces:
             if bare.isascii() and bare.isalpha():
                 shown = bare.lower() if self.pattern is _DROPPING else piece.replace(" ", _SHOWN[32])
                 return [t.id for t in self.model.tokenize(shown)]
-            if _ONE.fullmatch(piece) and _ODD not in piece:
+            if _ONE.fullmatch(piece):
                 shown = (piece if self.pattern is _KEEPING else piece.lower()).translate(_SHOWN)
                 return [t.id for t in self.model.tokenize(shown)]
         return self.tokenizer.encode(piece, add_special_tokens=False).ids

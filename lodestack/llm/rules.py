@@ -64,7 +64,9 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     # windows whose hash equals a neighbour's in sorted order, back in text order
     row = row.select(*[c for c in row.columns if c != "_s"], F.expr("sort_array(transform(filter(_s, (x, k) -> (k > 0 AND _s[greatest(k - 1, 0)].h = x.h) OR (k + 1 < size(_s) AND _s[least(k + 1, size(_s) - 1)].h = x.h)), x -> x.i))").alias("_at"))
     repeated = F.expr(f"coalesce(aggregate(_at, named_struct('n', 0L, 'last', -{WINDOW_WORDS}), (a, i) -> named_struct('n', a.n + least({WINDOW_WORDS}, i - a.last), 'last', i), a -> a.n), 0L)")
-    row = row.select(*kept, F.col("_n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeated.alias("n_repeat_words"))
+    # always true, but not to the optimizer: a filter on the results must not be pushed into the steps above, where
+    # words would be split anew for each element
+    row = row.select(*kept, F.col("_n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.when(F.rand(0) + F.col("_n") >= 0, repeated).alias("n_repeat_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
     return row.withColumn("base_failed", failed)
 
