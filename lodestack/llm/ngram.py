@@ -1,11 +1,16 @@
-"""Quality classifier: an interpolated modified Kneser-Ney word trigram model trained on trusted text.
-
-Training is DataFrame aggregation over a bounded, documented sample of trusted documents: n-gram counts, continuation
-counts and context totals, each language for itself. The counts are dealt by hash into shards of sorted keys; their
-size is bounded by the sample (at most three n-grams for each training word). Scoring joins the n-grams of each block
-of documents with the shards where the documents are, and discounts and interpolates there, so no n-gram of the corpus
-is shuffled: a row per document leaves the task. Thresholds are quantiles for each language over
-all trusted documents that were not trained on.
+"""Quality classifier: an interpolated modified Kneser-Ney word trigram model trained on all trusted text.
+
+Training is DataFrame aggregation over every trusted document but the quarter that thresholds are taken from: n-gram
+counts, continuation counts and context totals, each language for itself, dealt by hash. No part of the model is held
+by the driver or whole by a worker: it becomes a table of additive weights by n-gram. With interpolation written as
+back-off, a word's log probability is
+
+    log p(c) + log g(b) + [log p(c|b) / (g(b) p(c))] + [log g(a, b)] + [log p(c|a, b) / (g(a, b) p(c|b))],
+
+g being the mass that a context leaves and a bracket zero where its n-gram was not counted. Every term hangs on one
+n-gram, so scoring deals the documents' n-grams (once for each block of documents) to the weights' shards and sums up
+by document. Words and n-grams are known by 64-bit hashes. Thresholds are quantiles for each language over all trusted
+documents that were not trained on.
 """
 
 from __future__ import annotations
@@ -15,19 +20,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from lodestack.llm.common import words_of, write_table
 
-#: Bounds of the training sample: documents in the order of a hash of their ids, as long as their words fit.
-TRAIN_DOCUMENTS = 2_000
-TRAIN_WORDS = 600_000
-SHARDS = 8
 #: A document is rejected above this quantile of its language's trusted, held-out documents plus a margin in nats;
 #: the margin has a part that falls with the root of the document's words, as chance does.
 QUANTILE = 0.995
@@ -35,235 +34,266 @@ MARGIN = 0.5
 SPREAD = 4.0
 #: Shorter documents are kept: their perplexity says little.
 LEAST_WORDS = 10
-#: Ids of words take this many bits of an n-gram's key; 0 is the unknown word.
-BITS = 21
-MARKS = ("<s>", "</s>")
-BLOCK_WORDS = 100_000
-
-
-def training_sample(docs: DataFrame, trusted: DataFrame, documents: int = TRAIN_DOCUMENTS, words: int = TRAIN_WORDS) -> DataFrame:
-    """doc_id, lang, w (words) of the trusted documents to train on, whole texts; equal texts once. trusted: _id."""
-    ids = docs.select(F.col("doc_id").alias("_id")).join(trusted, "_id", "left_semi").distinct()
-    # a quarter is never trained on: thresholds need documents that the model has not seen
-    ids = ids.withColumn("_h", F.xxhash64("_id", F.lit(7))).where(F.pmod("_h", F.lit(4)) != 0).orderBy("_h", "_id").limit(documents)
-    first = docs.join(F.broadcast(ids), docs.doc_id == ids._id)  # at most ``documents`` ids
-    own = first.select("doc_id", "lang", "_h", words_of(F.col("text")).alias("w")).where("size(w) > 0").dropDuplicates(["w"])
-    running = F.sum(F.size("w")).over(Window.orderBy("_h", "doc_id"))
-    return own.withColumn("_sum", running).where(F.col("_sum") <= words).select("doc_id", "lang", "w")
-
-
-def vocabulary(sample: DataFrame) -> pa.Table:
-    """lang, word, id of every word of the sample and each language's <s> and </s>; ids of a language follow each other.
-
-    At most TRAIN_WORDS words and two marks for each language.
-    """
-    words = sample.select("lang", F.explode("w").alias("word")).union(sample.select("lang", F.explode(F.array(*map(F.lit, MARKS))))).distinct().toArrow()
-    words = words.sort_by([("lang", "ascending"), ("word", "ascending")])
-    return words.append_column("id", pa.array(np.arange(1, len(words) + 1, dtype=np.int64)))
-
-
-def by_language(words: pa.Table) -> dict[str, dict[bytes, int]]:
-    out: dict[str, dict[bytes, int]] = {}
-    for lang, word, n in zip(*(words.column(c).to_pylist() for c in ("lang", "word", "id"))):
-        out.setdefault(lang, {})[word.encode()] = n
-    return out
-
-
-def trigram_counts(sample: DataFrame, sent: Broadcast) -> DataFrame:
-    """key, n: counts of the sample's trigrams by packed word ids; documents are padded with two starts and an end.
-
-    Each task counts its own part first; only distinct keys are shuffled.
-    """
+#: Marks of a text's start and end; no word holds a blank.
+START, END = b" <s>", b" </s>"
+#: Words of the documents whose n-grams are sorted together.
+BLOCK_WORDS = 300_000
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def spark_hash(*columns: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of long columns (seed 42), as unsigned."""
+    seed = np.full(len(columns[0]), 42, np.uint64)
+    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    for x in columns:
+        seed = seed + _P5 + np.uint64(8)
+        seed ^= turn(x.view(np.uint64) * _P2, 31) * _P1
+        seed = turn(seed, 27) * _P1 + _P4
+        seed ^= seed >> np.uint64(33)
+        seed *= _P2
+        seed ^= seed >> np.uint64(29)
+        seed *= _P3
+        seed ^= seed >> np.uint64(32)
+    return seed
+
+
+def language_seed(lang: str) -> int:
+    return xxhash.xxh64_intdigest(lang.encode())
+
+
+def word_key(word: bytes, lang: str) -> int:
+    """The hash of a language's word or mark, as a long."""
+    h = xxhash.xxh64_intdigest(word, language_seed(lang))
+    return h - (1 << 64) if h >> 63 else h
+
+
+def document_key(text: bytes, lang: str) -> int:
+    return xxhash.xxh3_64_intdigest(text, language_seed(lang))
+
+
+def blocks(batch: pa.RecordBatch) -> Iterator[tuple[list[str], list[bytes]]]:
+    """(languages, texts) of a batch of (lang, text), some BLOCK_WORDS words at a time."""
+    langs, texts, size = [], [], 0
+    for lang, text in zip(batch.column(0), batch.column(1)):
+        langs.append(lang.as_py())
+        texts.append((text.as_py() or "").encode())
+        size += len(texts[-1])
+        if size > 6 * BLOCK_WORDS:
+            yield langs, texts
+            langs, texts, size = [], [], 0
+    if texts:
+        yield langs, texts
+
+
+def padded(langs: list[str], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(word keys, places of the texts' first marks): texts one after the other, each behind two starts and before an end."""
+    flat: list[int] = []
+    first, digest = [], xxhash.xxh64_intdigest
+    for lang, text in zip(langs, texts):
+        seed = language_seed(lang)
+        start = digest(START, seed)
+        first.append(len(flat))
+        flat += [start, start]
+        flat += [digest(w, seed) for w in text.split()]
+        flat.append(digest(END, seed))
+    return np.array(flat, np.uint64), np.array(first, np.int64)
+
+
+def training_documents(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lang, text of what is trained on, equal texts of a language once; its doc_ids). docs: doc_id, lang, text."""
+    own = docs.join(trusted, docs.doc_id == trusted._id, "left_semi").withColumn("_words", F.array_join(words_of(F.col("text")), " ")).where("_words <> ''")
+    own = own.select("doc_id", "lang", "text", F.unhex(F.sha2(F.concat("lang", F.lit(" "), "_words"), 256)).alias("_digest"))
+    # a quarter is never trained on: thresholds need texts that the model has not seen; copies fall on one side
+    own = own.where(F.pmod(F.xxhash64("_digest"), F.lit(4)) != 0)
+    return own.dropDuplicates(["_digest"]).select("lang", "text"), own.select("doc_id").distinct()
+
+
+def trigram_counts(texts: DataFrame, numbers: dict[str, int]) -> DataFrame:
+    """l (the language's number), a, b, c, n: counts of all trigrams by word keys. Each block is counted where it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [np.zeros(0, np.int64)]
-            for lang, own in zip(*(batch.column(k).to_pylist() for k in range(2))):
-                known = sent.value[lang]
-                ids = np.array([known[b"<s>"], known[b"<s>"], *[known[w.encode()] for w in own], known[b"</s>"]], np.int64)
-                keys.append((ids[:-2] << (2 * BITS)) | (ids[1:-1] << BITS) | ids[2:])
-            key, n = np.unique(np.concatenate(keys), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
+            for langs, own in blocks(batch):
+                c, first = padded(langs, own)
+                of = np.repeat([numbers[x] for x in langs], np.diff(np.append(first, len(c)))).astype(np.int32)
+                real = np.ones(len(c), bool)
+                real[first] = real[first + 1] = False
+                at = np.flatnonzero(real)
+                _, place, n = np.unique(spark_hash(c[at - 2], c[at - 1], c[at]), return_index=True, return_counts=True)
+                at = at[place]
+                yield pa.RecordBatch.from_arrays([pa.array(of[at]), *[pa.array(c[at - k].view(np.int64)) for k in (2, 1, 0)], pa.array(n)], names=["l", "a", "b", "c", "n"])
 
-    return sample.select("lang", "w").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "l int, a long, b long, c long, n long").groupBy("l", "a", "b", "c").agg(F.sum("n").alias("n"))
 
 
-def contexts(counts: DataFrame) -> DataFrame:
-    """key (of all words but the last), total, n1, n2, n3: the sum of a context's counts, and how many are 1, 2, more."""
-    own = counts.groupBy(F.shiftright("key", BITS).alias("key"))
-    return own.agg(F.sum("n").alias("total"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2"), F.count_if(F.col("n") > 2).alias("n3"))
+def counts_of_counts(counts: DataFrame) -> dict[int, tuple[int, ...]]:
+    """By language (a row each): how many counts are 1, 2, 3, 4 and above 2; their sum; the rows."""
+    n = F.col("n")
+    own = counts.groupBy("l").agg(*[F.count_if(n == k) for k in (1, 2, 3, 4)], F.count_if(n > 2), F.sum("n"), F.count(F.lit(1)))
+    return {r[0]: tuple(r)[1:] for r in own.collect()}
 
 
-def count_tables(sample: DataFrame, words: dict[str, dict[bytes, int]]) -> dict[str, DataFrame]:
-    """c3, c2, c1 (key, n) and the contexts x3, x2, x1 of trigrams, bigrams and unigrams.
-
-    Lower orders count different left neighbours; bigrams at a document's start keep their own counts, as nothing
-    varies before them.
-    """
-    starts = [w[b"<s>"] for w in words.values()]
-    low = lambda key, n: F.col(key).bitwiseAND(F.lit((1 << (n * BITS)) - 1))
-    sent = sample.sparkSession.sparkContext.broadcast(words)
-    c3 = write_table(trigram_counts(sample, sent), "trigrams")
-    sent.destroy()
-    at_start = F.shiftright(low("key", 2), BITS).isin(starts)
-    c2 = c3.groupBy(low("key", 2).alias("key")).agg(F.when(F.first(at_start), F.sum("n")).otherwise(F.count(F.lit(1))).alias("n"))
-    c2 = write_table(c2, "bigrams")
-    c1 = c2.groupBy(low("key", 1).alias("key")).agg(F.count(F.lit(1)).alias("n"))
-    return {"c3": c3, "c2": c2, "c1": c1, "x3": contexts(c3), "x2": contexts(c2)}
-
-
-def discounts(n: np.ndarray) -> np.ndarray:
-    """Discounts of counts 0 (none), 1, 2 and more, by modified Kneser-Ney from counts of counts, within 0 and the count."""
-    n1, n2, n3, n4 = (float(np.count_nonzero(n == k)) for k in (1, 2, 3, 4))
+def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """Discounts of counts 1, 2 and more, by modified Kneser-Ney from counts of counts, within 0 and the count."""
     y = n1 / max(n1 + 2 * n2, 1.0)
     raw = [k - (k + 1) * y * more / own if own else 0.5 * k for k, own, more in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
-    return np.array([0.0, *[min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1)]])
+    return [min(max(d, 0.05), k - 0.05) for k, d in enumerate(raw, 1)]
 
 
-@dataclass
-class Shard:
-    """One shard of the counts: bigrams (with what they are as a context: total and discounted mass), trigrams."""
+def contexts(counts: DataFrame, *by: Column) -> DataFrame:
+    """by, total, n1, n2, n3: the sum of a context's counts, and how many are 1, 2, more."""
+    n = F.col("n")
+    return counts.groupBy("l", *by).agg(F.sum("n").alias("total"), F.count_if(n == 1).alias("n1"), F.count_if(n == 2).alias("n2"), F.count_if(n > 2).alias("n3"))
+
 
-    pairs: np.ndarray
-    pair_values: np.ndarray  # n, total, left
-    triples: np.ndarray
-    triple_n: np.ndarray
+def discounted(order: int) -> Column:
+    n = F.col("n")
+    return n - F.when(n == 1, F.col(f"d{order}")[0]).when(n == 2, F.col(f"d{order}")[1]).otherwise(F.col(f"d{order}")[2])
 
 
-def shard_of(keys: np.ndarray) -> np.ndarray:
-    """The shard of each key: the high bits of a multiplicative hash."""
-    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(61)).astype(np.int8)
+def left_mass(order: int) -> Column:
+    """The share of a context's mass that its discounts leave to the lower order."""
+    d = F.col(f"d{order}")
+    return (d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")) / F.col("total")
 
 
+@dataclass
 class Model:
-    """Counts in shards, each language's word ids, discounts and unigrams. At most 3 x TRAIN_WORDS n-grams."""
-
-    def __init__(self, words: dict[str, dict[bytes, int]], tables: dict[str, pa.Table]):
-        t = {k: {c: v.column(c).to_numpy() for c in v.column_names} for k, v in tables.items()}
-        self.words, self.low, self.one, self.back, self.d2, self.d3 = words, {}, {}, {}, {}, {}
-        size = max((max(w.values()) for w in words.values()), default=0) + 1
-        n1 = np.zeros(size, np.int64)
-        n1[t["c1"]["key"]] = t["c1"]["n"]
-        x2 = np.zeros((size, 4), np.int64)
-        x2[t["x2"]["key"]] = np.stack([t["x2"][c] for c in ("total", "n1", "n2", "n3")], axis=1).reshape(-1, 4)
-        mask = (1 << BITS) - 1
-        keys = np.union1d(t["c2"]["key"], t["x3"]["key"])
-        pairs = np.zeros((len(keys), 3), np.float32)
-        pairs[np.searchsorted(keys, t["c2"]["key"]), 0] = t["c2"]["n"]
-        at3 = np.searchsorted(keys, t["x3"]["key"])
-        pairs[at3, 1] = t["x3"]["total"]
-        for lang, own in words.items():
-            low, high = min(own.values()), max(own.values()) + 1
-            inside = lambda key: ((key & mask) >= low) & ((key & mask) < high)
-            d1 = discounts(n1[low:high])
-            self.d2[lang] = discounts(t["c2"]["n"][inside(t["c2"]["key"])])
-            self.d3[lang] = discounts(t["c3"]["n"][inside(t["c3"]["key"])])
-            counts = n1[low:high]
-            total = max(int(counts.sum()), 1)
-            share = np.maximum(counts - d1[np.minimum(counts, 3)], 0) / total
-            base = max(1.0 - share.sum(), 1e-9) / (high - low + 1)  # the rest, evenly with the unknown word
-            self.low[lang], self.one[lang] = low, np.concatenate(([base], share + base))
-            total2, left2 = x2[low:high, 0].astype(float), x2[low:high, 1:] @ self.d2[lang][1:]
-            self.back[lang] = np.concatenate(([[0.0, 1.0]], np.stack((total2, np.where(total2 > 0, left2 / np.maximum(total2, 1), 1.0)), axis=1)))
-            hit = inside(t["x3"]["key"])
-            pairs[at3[hit], 2] = np.stack([t["x3"][c][hit] for c in ("n1", "n2", "n3")], axis=1) @ self.d3[lang][1:]
-        order = np.argsort(t["c3"]["key"], kind="stable")
-        triples, triple_n = t["c3"]["key"][order], t["c3"]["n"][order].astype(np.float32)
-        of_pair, of_triple = shard_of(keys), shard_of(triples)
-        self.shards = [Shard(keys[of_pair == s], pairs[of_pair == s], triples[of_triple == s], triple_n[of_triple == s]) for s in range(SHARDS)]
-
-    def join(self, keys: np.ndarray, own: str, values: str, width: int) -> np.ndarray:
-        """The values (rows, width) of each key, shard by shard; 0 where the counts lack it."""
-        out, shard = np.zeros((len(keys), width), np.float32), shard_of(keys)
-        by = np.argsort(shard, kind="stable")
-        edges = np.searchsorted(shard[by], np.arange(SHARDS + 1))
-        for s, part in enumerate(self.shards):
-            at, table = by[edges[s] : edges[s + 1]], getattr(part, own)
-            if len(at) and len(table):
-                wanted = keys[at]
-                k = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
-                hit = table[k] == wanted
-                out[at[hit]] = getattr(part, values)[k[hit]].reshape(-1, width)
-        return out
+    """weights: k (n-gram's hash), w, s (1 at a text's start mark); a hash may have two rows, which add up.
+
+    base: by language, the log probability of an unknown word, which the weights of words are relative to.
+    """
+
+    weights: DataFrame
+    base: dict[str, float]
 
     def score(self, lang: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(sum of log probabilities, words) of each text of one language; the end of a text counts as a word."""
-        known = self.words.get(lang)
-        split = [t.split() for t in texts]
-        n = np.array([len(x) for x in split], np.int64)
-        if known is None:
-            return np.full(len(texts), np.nan), n
-        start, end, low = known[b"<s>"], known[b"</s>"], self.low[lang]
-        get, flat = known.get, []
-        for x in split:
-            flat += [start, start]
-            flat += [get(w, 0) for w in x]
-            flat.append(end)
-        c = np.array(flat, np.int64)
-        first = np.concatenate(([0], np.cumsum(n + 3)))[:-1]
-        real = np.ones(len(c), bool)
-        real[first] = real[first + 1] = False
-        b, a = np.concatenate(([0], c[:-1])), np.concatenate(([0, 0], c[:-2]))
-        within = lambda ids: np.where((ids >= low) & (ids < low + len(known)), ids - low + 1, 0)
-        back = self.back[lang][within(b)]
-        pair = np.zeros((len(c), 3), np.float32)
-        two = np.flatnonzero((b > 0) & (c > 0))
-        pair[two] = self.join((b[two] << BITS) | c[two], "pairs", "pair_values", 3)
-        seen = np.where(back[:, 0] > 0, pair[:, 0], 0)
-        p = np.maximum(seen - self.d2[lang][np.minimum(seen, 3).astype(int)], 0) / np.maximum(back[:, 0], 1) + back[:, 1] * self.one[lang][within(c)]
-        total, left = np.concatenate(([0], pair[:-1, 1])), np.concatenate(([0], pair[:-1, 2]))
-        # a trigram can only be there where its context and its last two words are
-        three = np.flatnonzero((total > 0) & (pair[:, 0] > 0) & (a > 0) & real)
-        n3 = np.zeros(len(c), np.float32)
-        n3[three] = self.join((a[three] << (2 * BITS)) | (b[three] << BITS) | c[three], "triples", "triple_n", 1)[:, 0]
-        share = np.maximum(n3 - self.d3[lang][np.minimum(n3, 3).astype(int)], 0)
-        p = np.where(total > 0, (share + left * p) / np.maximum(total, 1), p)
-        return np.add.reduceat(np.where(real, np.log(np.maximum(p, 1e-30)), 0.0), first) if len(first) else np.zeros(0), n
+        rows = [(k, lang, t.decode()) for k, t in enumerate(texts)]
+        docs = self.weights.sparkSession.createDataFrame(rows, "doc_id long, lang string, text string")
+        got = sorted(perplexities(docs, self, ["doc_id"]).collect())
+        n = np.array([r.n_words for r in got], np.int64)
+        return -np.array([np.nan if r.log_perplexity is None else r.log_perplexity for r in got]) * (n + 1), n
+
+
+def weigh(texts: DataFrame, langs: list[str]) -> Model:
+    """The model of the texts (lang, text): lower orders count different left neighbours; bigrams at a document's start
+    keep their own counts, as nothing varies before them."""
+    spark = texts.sparkSession
+    starts = [word_key(START, x) for x in langs]
+    c3 = write_table(trigram_counts(texts, {x: k for k, x in enumerate(langs)}), "trigrams")
+    c2 = c3.groupBy("l", "b", "c").agg(F.when(F.col("b").isin(starts), F.sum("n")).otherwise(F.count(F.lit(1))).alias("n"))
+    c2 = write_table(c2, "bigrams")
+    c1 = c2.groupBy("l", F.col("c").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    words = write_table(c1.join(contexts(c2, F.col("b").alias("k")), ["l", "k"], "full").na.fill(0), "words")
+    s1, s2, s3 = (counts_of_counts(x) for x in (words, c2, c3))
+    rows, base = [], {}
+    for k, lang in enumerate(langs):
+        d1, d2, d3 = (discounts(*s[k][:4]) for s in (s1, s2, s3))
+        n1, n2, _, _, more, total, size = s1[k]
+        rest = (d1[0] * n1 + d1[1] * n2 + d1[2] * more) / total / (size + 1)  # evenly with the unknown word
+        rows.append((k, d1, d2, d3, float(total), rest))
+        base[lang] = float(np.log(rest))
+    told = F.broadcast(spark.createDataFrame(rows, "l int, d1 array<double>, d2 array<double>, d3 array<double>, total1 double, base double"))  # a row for each language
+    p1 = F.when(F.col("n") > 0, discounted(1) / F.col("total1")).otherwise(0.0) + F.col("base")
+    one = write_table(words.join(told, "l").select("k", p1.alias("p1"), "base", "total", F.when(F.col("total") > 0, left_mass(2)).otherwise(1.0).alias("g2")), "unigrams")
+    two = c2.join(one.select(F.col("k").alias("b"), "total", "g2"), "b").join(one.select(F.col("k").alias("c"), "p1"), "c").join(told, "l")
+    two = two.select("b", "c", (F.col("g2") * F.col("p1")).alias("low"), (discounted(2) / F.col("total") + F.col("g2") * F.col("p1")).alias("p2"))
+    two = write_table(two, "pairs")
+    x3 = contexts(c3, F.col("a"), F.col("b")).join(told.select("l", "d3"), "l").select("a", "b", "total", left_mass(3).alias("g3"))
+    x3 = write_table(x3, "contexts")
+    three = c3.join(x3, ["a", "b"]).join(two.select("b", "c", "p2"), ["b", "c"]).join(told.select("l", "d3"), "l")
+    gain = F.log1p(discounted(3) / F.col("total") / (F.col("g3") * F.col("p2")))
+    row = lambda key, w, s: (key.alias("k"), w.cast("float").alias("w"), s.cast("int").alias("s"))
+    weights = (
+        one.select(*row(F.col("k"), F.log(F.col("p1") / F.col("base")) + F.log("g2"), F.col("k").isin(starts)))
+        .union(two.select(*row(F.xxhash64("b", "c"), F.log(F.col("p2") / F.col("low")), F.lit(0))))
+        .union(x3.select(*row(F.xxhash64("a", "b"), F.log("g3"), F.lit(0))))
+        .union(three.select(*row(F.xxhash64("a", "b", "c"), gain, F.lit(0))))
+    )
+    return Model(write_table(weights, "weights"), base)
 
 
 def train(docs: DataFrame, labels: DataFrame, trusted: int = 1, label: str = "quality") -> tuple[Model | None, DataFrame]:
     """(model, ids trained on) from the documents labelled ``trusted``; None where there is none."""
     known = labels.where(F.col(label) == trusted).select(F.col("doc_id").alias("_id")).distinct()
-    sample = write_table(training_sample(docs.where("text IS NOT NULL"), known), "sample")
-    if sample.isEmpty():
-        return None, sample.select("doc_id")
-    words = by_language(vocabulary(sample))
-    return Model(words, {k: v.toArrow() for k, v in count_tables(sample, words).items()}), sample.select("doc_id")
+    texts, ids = training_documents(docs.select("doc_id", "lang", "text").where("text IS NOT NULL"), known)
+    texts, ids = write_table(texts, "trusted"), write_table(ids, "trained")
+    langs = sorted(r[0] for r in texts.select("lang").distinct().collect())  # a row for each language
+    return (weigh(texts, langs) if langs else None), ids
 
 
-def perplexities(docs: DataFrame, sent: Broadcast, carry: list[str]) -> DataFrame:
-    """The columns ``carry`` of docs with n_words and log_perplexity (null where the language has no model).
+def document_ngrams(docs: DataFrame, langs: set[str]) -> DataFrame:
+    """k, docs: n-grams of all orders of (lang, text), each once for a block, with the keys of the documents (8 bytes
+    for each time) that hold it; equal texts of a block are one document."""
 
-    sent: the broadcast model; of a bounded size, as its sample is.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch):
+                own = {document_key(t, x): (x, t) for x, t in zip(*block) if x in langs}
+                if not own:
+                    continue
+                c, first = padded(*map(list, zip(*own.values())))
+                key = np.repeat(np.array(list(own), np.uint64), np.diff(np.append(first, len(c))))
+                real = np.ones(len(c), bool)
+                real[first] = False
+                at2 = np.flatnonzero(real)
+                real[first + 1] = False
+                at3 = np.flatnonzero(real)
+                ngrams = np.concatenate((c[at2], spark_hash(c[at2 - 1], c[at2]), spark_hash(c[at3 - 2], c[at3 - 1], c[at3])))
+                by = np.argsort(ngrams, kind="stable")
+                ngrams, holders = ngrams[by], key[np.concatenate((at2, at2, at3))[by]]
+                edges = np.flatnonzero(np.concatenate(([True], ngrams[1:] != ngrams[:-1])))
+                offsets = pa.py_buffer((8 * np.append(edges, len(ngrams))).astype(np.int32))
+                held = pa.Array.from_buffers(pa.binary(), len(edges), [None, offsets, pa.py_buffer(holders)])
+                ends = [*range(0, len(edges), 50_000), len(edges)]
+                for i, j in zip(ends, ends[1:]):
+                    yield pa.RecordBatch.from_arrays([pa.array(ngrams[edges[i:j]].view(np.int64)), held[i:j]], names=["k", "docs"])
+
+    return docs.mapInArrow(run, "k long, docs binary")
+
+
+def sums(met: DataFrame) -> DataFrame:
+    """d, w, s: the sums of the weights by document key; met: docs, w, s."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column(0).to_pylist()
+            many = [len(x) // 8 for x in held]
+            d, to = np.unique(np.frombuffer(b"".join(held), np.int64), return_inverse=True)
+            w, s = (np.bincount(to, np.repeat(batch.column(k).to_numpy(), many), len(d)) for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(w), pa.array(s.astype(np.int64))], names=["d", "w", "s"])
+
+    return met.mapInArrow(run, "d long, w double, s long").groupBy("d").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+
+
+def perplexities(docs: DataFrame, model: Model | None, carry: list[str]) -> DataFrame:
+    """The columns ``carry`` of docs with n_words and log_perplexity (null where the language has no model)."""
     kept = docs.select(*carry)
-    names = [*carry, "n_words", "log_perplexity"]
+    lang = F.coalesce("lang", F.lit(""))
+    names = [*carry, "_lang", "_d", "n_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
         for batch in batches:
-            langs = np.array([x or "" for x in batch.column(0).to_pylist()], dtype=object)
-            logs, n = np.full(len(langs), np.nan), np.zeros(len(langs), np.int64)
-            text = batch.column(1)
-            length = pc.fill_null(pc.binary_length(text), 0).to_pylist()
-            for lang in set(langs):
-                block, size = [], 0
-                for i in [*np.flatnonzero(langs == lang).tolist(), -1]:
-                    if block and (i < 0 or size > 6 * BLOCK_WORDS):
-                        texts = [(text[k].as_py() or "").encode() for k in block]
-                        if model is None:
-                            n[block] = [len(x.split()) for x in texts]
-                        else:
-                            total, n[block] = model.score(lang, texts)
-                            logs[block] = -total / (n[block] + 1)
-                        block, size = [], 0
-                    block.append(i)
-                    size += length[i]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(n), pa.array(logs, from_pandas=True)], names=names)
-
-    own = docs.select(F.col("lang").alias("_lang"), F.col("text").alias("_text"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
-    schema = T.StructType([*kept.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("log_perplexity", T.DoubleType())])
-    return own.mapInArrow(run, schema)
+            n, d = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.uint64)
+            for i, (x, t) in enumerate(zip(batch.column(0), batch.column(1))):
+                text = (t.as_py() or "").encode()
+                n[i], d[i] = len(text.split()), document_key(text, x.as_py())
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(0), pa.array(d.view(np.int64)), pa.array(n)], names=names)
+
+    own = docs.select(lang.alias("_lang"), F.col("text").alias("_text"), *[F.col(c).alias(f"_{k}") for k, c in enumerate(carry)])
+    schema = T.StructType([*kept.schema.fields, T.StructField("_lang", T.StringType()), T.StructField("_d", T.LongType()), T.StructField("n_words", T.LongType())])
+    told = own.mapInArrow(run, schema)
+    if model is None:
+        return told.select(*carry, "n_words", F.lit(None).cast("double").alias("log_perplexity"))
+    met = document_ngrams(docs.select(lang.alias("lang"), "text"), set(model.base)).join(model.weights, "k").select("docs", "w", "s")
+    scores = write_table(sums(met), "sums")
+    base = F.lit(None).cast("double")
+    for name, value in model.base.items():  # a row for each language
+        base = F.when(F.col("_lang") == name, F.lit(value)).otherwise(base)
+    # a text of several blocks was summed up in each of them: s tells how often
+    log = F.col("w") / F.col("s") + (F.col("n_words") + 1) * base
+    return told.join(scores, told._d == scores.d, "left").select(*carry, "n_words", (-log / (F.col("n_words") + 1)).alias("log_perplexity"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, trusted: int = 1, label: str = "quality", quantile: float = QUANTILE, carry: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:
@@ -274,9 +304,7 @@ def classify(docs: DataFrame, labels: DataFrame, trusted: int = 1, label: str =
     are one language; repeated rows are judged alike; an empty table gives an empty result.
     """
     model, trained = train(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text"), labels, trusted, label)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    scored = write_table(perplexities(docs, sent, list(dict.fromkeys(["doc_id", "lang", *carry]))), "scored")
-    sent.destroy()  # the scores are written
+    scored = write_table(perplexities(docs, model, list(dict.fromkeys(["doc_id", "lang", *carry]))), "scored")
     known = labels.where(F.col(label) == trusted).select("doc_id").distinct()
     lang = F.coalesce("lang", F.lit(""))
     told = scored.select("doc_id", lang.alias("_lang"), "n_words", "log_perplexity")

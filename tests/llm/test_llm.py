@@ -306,6 +306,22 @@ def test_classifier_separates(spark):
     assert all(got[k] == (k % 5 != 0) for k in got)
 
 
+def test_classifier_trains_every_language_on_all_its_trusted_text(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(300)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(k, text(12), "en") for k in range(2_900)] + [(k, text(12), "fr") for k in range(2_900, 2_930)] + [(3_000 + k, text(610_000), "en") for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model, trained = ngram.train(df, df.select("doc_id", F.lit(1).alias("quality")))
+    ids = {r.doc_id for r in trained.collect()}
+    assert len(ids) > 2_000 and 10 < len([i for i in ids if 2_900 <= i < 2_930]) < 30
+    own = [(x, [t.split() for i, t, g in rows if i in ids and g == x]) for x in ("en", "fr")]
+    for lang, train in own:
+        mine = [text(20).split() for _ in range(5)]
+        total, n = model.score(lang, [" ".join(w).encode() for w in mine])
+        assert np.allclose(-total / (n + 1), list(brute_kneser_ney(train, mine)), rtol=1e-4)
+
+
 # near duplicates ----------------------------------------------------------------------------------------------------
 
 
