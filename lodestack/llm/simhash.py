@@ -15,7 +15,7 @@ spreading over written tables; nothing that grows with the corpus reaches the dr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -266,12 +266,12 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     return own.join(by, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs with one document of each component: that with the smallest id; one row of it where the row is repeated.
+def first_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
+    """docs with one document of each component of ``groups``: that with the smallest id; one row of it where the row is repeated.
 
     Rows without an id cannot be compared by id and stay as they are.
     """
-    own = near_duplicates(docs, id_column, text_column).where("doc_id = component_id").groupBy("doc_id").count()
+    own = groups(docs, id_column, text_column).where("doc_id = component_id").groupBy("doc_id").count()
     own = write_table(own.select(F.col("doc_id").alias("_first"), (F.col("count") > 1).alias("_again")), "firsts")
     # texts are dealt by id at every size: the kept ids grow with the corpus and are not for broadcasting
     kept = docs.join(own.hint("shuffle_hash"), docs[id_column] == F.col("_first"))

@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestack.llm import mixing, ngram, packing, pieces, rans, rules, sharding, simhash, telephony, tokencount, warc
+from lodestack.llm import mixing, nearcopies, ngram, packing, pieces, rans, rules, sharding, simhash, telephony, tokencount, warc
 from lodestack.llm.queries import tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -584,6 +584,47 @@ def test_ids_written_and_read(docs, empty):
     assert rans.write_and_read(empty, tokenizer("byte_bpe_50k.json")).count() == 0
 
 
+def test_near_copies_equal_brute_force(spark, empty, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(4_000)}"
+    line = [word() for _ in range(12)]
+    rows = []
+    for k in range(40):
+        w = [word() for _ in range(rng.randrange(8, 160))] + line
+        rows.append(w)
+        for _ in range(rng.randrange(4)):
+            rows.append([word() if rng.random() < 0.015 else x for x in w])
+    rows = [(k, None if k == 5 else " " if k == 6 else " ".join(w)) for k, w in enumerate(rows)]
+    df = spark.createDataFrame([*rows, rows[3], (None, "no id")], "doc_id long, text string")
+    sets = []
+    for _, t in rows:
+        w = (t or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(rows)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    wide = 0
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+                wide += (simhash.fingerprint(rows[i][1]) ^ simhash.fingerprint(rows[j][1])).bit_count() > 2
+    assert wide > 5  # the setting of near_duplicates would miss these
+    want = {k: find(k) for k in range(len(rows))}
+    for common in (nearcopies.COMMON, 5):
+        monkeypatch.setattr(nearcopies, "COMMON", common)
+        got = nearcopies.near_copies(df)
+        assert {r.doc_id: r.component_id for r in got.collect()} == want
+    import corpus_pipeline
+
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, df, "")
+    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == [-1, *sorted(set(want.values()))]
+    assert nearcopies.near_copies(empty).count() == 0
+
+
 # pipeline -----------------------------------------------------------------------------------------------------------
 
 
