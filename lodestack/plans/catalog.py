@@ -454,7 +454,7 @@ def attributed_history(spark, sf_dir):
 
 @query()
 def inserted_text(spark, sf_dir):
-    own = X.turns(spark, sf_dir).where("len < 3000")
+    own = X.turns(spark, sf_dir)
     new = F.concat(F.substring("text", 1, 10), F.lit("<\U0001f600>"), F.expr("substring(text, 15)"))
     return attribution.insertions(own.select(F.concat_ws("#", "path", "ordinal").alias("path"), F.col("text").alias("old"), new.alias("new")))
 
