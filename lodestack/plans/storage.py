@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (one machine), a temporary folder that is set as such."""
+    """spark.checkpoint.dir; where it is unset, a local master gets a temporary folder that is set as such, and any
+    other is refused: a machine's own folder is not seen by the others."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lodestack-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -24,6 +29,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_missing(error: AnalysisException) -> bool:
+    """Whether a read failed as nothing has been written there yet; any other failure must not pass for that."""
+    return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 class SnapshotStore:
     """Named tables of immutable snapshots: each version is a folder, and one small table names the newest.
 
@@ -36,7 +46,9 @@ class SnapshotStore:
     def pointer(self) -> DataFrame | None:
         try:
             return self.spark.read.schema("name string, version long, folder string").json(f"{self.root}/pointer")
-        except Exception:  # noqa: BLE001  no pointer has been written yet
+        except AnalysisException as e:
+            if not is_missing(e):
+                raise
             return None
 
     def version(self, name: str) -> tuple[int, str | None]:

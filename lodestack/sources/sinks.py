@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.operators import feed
+from lodestack.plans.storage import is_missing
 
 
 class JsonlSink:
@@ -42,8 +44,9 @@ class WarehouseSink:
         try:
             old = spark.read.parquet(f"{self.path}/content").where(F.col("batch") != batch_id).select("sha256")
             new = new.join(old, "sha256", "left_anti")
-        except Exception:  # noqa: BLE001  no content has been written yet
-            pass
+        except AnalysisException as e:
+            if not is_missing(e):
+                raise
         new.write.mode("overwrite").parquet(f"{self.path}/content/batch={batch_id}")
         upserts.select(*columns).unionByName(rest.select(*columns)).write.mode("overwrite").parquet(f"{self.path}/events/batch={batch_id}")
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.operators.content import integrity_failures
+from lodestack.plans.storage import is_missing
 from lodestack.schema import CHUNKS
 
 
@@ -18,7 +20,9 @@ class ChunkStore:
     def all(self) -> DataFrame:
         try:
             return self.spark.read.parquet(self.path)
-        except Exception:  # noqa: BLE001  nothing has been put yet
+        except AnalysisException as e:
+            if not is_missing(e):
+                raise
             return self.spark.createDataFrame([], CHUNKS).withColumn("shard", F.substring("hash", 1, 2))
 
     def put(self, chunks: DataFrame) -> None:

@@ -2,6 +2,8 @@ import glob
 import os
 import sys
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 HERE = os.path.dirname(os.path.abspath(__file__))
@@ -42,14 +44,23 @@ def duck():
 
 def rows(df) -> list[tuple]:
     """All rows as comparable tuples with columns by name, sorted."""
-    names = sorted(df.columns)
+    names = sorted(df.column_names if isinstance(df, pa.Table) else df.columns)
 
     def plain(v):
-        if v is None or v != v:
-            return ""
-        if isinstance(v, float) and v == int(v):
-            return str(int(v))
-        return str(bytes(v)) if isinstance(v, bytes | bytearray) else str(v)
-
-    own = df.toPandas() if hasattr(df, "toPandas") else df
-    return sorted(tuple(plain(v) for v in r) for r in own[names].astype(object).itertuples(index=False))
+        """(kind, value): null, an empty string, a whole number and a fraction all differ; 1 and 1.0 of numeric types too."""
+        if v is None:
+            return ("null", "")
+        if isinstance(v, bool | np.bool_):
+            return ("bool", str(bool(v)))
+        if isinstance(v, int | np.integer):
+            return ("whole", str(int(v)))
+        if isinstance(v, float | np.floating):
+            return ("fraction", "nan" if v != v else repr(round(float(v), 9)))
+        if isinstance(v, bytes | bytearray):
+            return ("bytes", bytes(v).hex())
+        return (type(v).__name__, str(v))
+
+    if hasattr(df, "collect"):
+        return sorted(tuple(plain(r[c]) for c in names) for r in df.collect())
+    # DuckDB's rows as an Arrow table: pandas would turn whole numbers beside nulls into fractions
+    return sorted(tuple(plain(v) for v in r) for r in zip(*(df.column(c).to_pylist() for c in names)))
