@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,25 +12,48 @@ from pyspark.sql.window import Window
 
 #: The white space between words, as a Java character class body: space and \t \n \v \f \r.
 SPACE = r"\x20\x09-\x0D"
+#: Shuffle files of a written table are removed at the end of its execution.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows that one rank window holds at most on average (see gapless_rank).
 RANK_BUCKET_ROWS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder's URI under spark.checkpoint.dir; where that is unset (tests, one machine), under a temporary folder."""
+    """A new folder's URI under spark.checkpoint.dir. Where that is unset, a local master (tests, one machine) gets a
+    temporary folder; on a cluster no folder is shared by itself, so that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lodestack-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/lodestack/{uuid.uuid4().hex}"
 
 
 def write_table(df: DataFrame, label: str) -> DataFrame:
-    """df, written once as Parquet into the shared folder and read again: later stages do not recompute it, lost executors cost nothing."""
+    """df, written once as Parquet into the shared folder and read again: later stages do not recompute it, lost executors cost nothing.
+
+    Its shuffle files go when the table is there; ``drop_tables`` removes the table.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Removes tables that write_table made and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to.rpartition("/")[0])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def gapless_rank(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:

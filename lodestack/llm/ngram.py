@@ -1,22 +1,27 @@
 """Quality classifier: an interpolated modified Kneser-Ney word trigram model trained on all trusted text.
 
-Training is DataFrame aggregation over every trusted document but the quarter that thresholds are taken from: n-gram
-counts, continuation counts and context totals, each language for itself, dealt by hash. No part of the model is held
-by the driver or whole by a worker: it becomes a table of additive weights by n-gram. With interpolation written as
-back-off, a word's log probability is
+With interpolation written as back-off, a word's log probability is
 
     log p(c) + log g(b) + [log p(c|b) / (g(b) p(c))] + [log g(a, b)] + [log p(c|a, b) / (g(a, b) p(c|b))],
 
 g being the mass that a context leaves and a bracket zero where its n-gram was not counted. Every term hangs on one
-n-gram, so scoring deals the documents' n-grams (once for each block of documents) to the weights' shards and sums up
-by document. Words and n-grams are known by 64-bit hashes. Thresholds are quantiles for each language over all trusted
-documents that were not trained on.
+n-gram, so the model is a table of additive weights by n-gram, and scoring is a join of the documents' n-grams with it,
+summed up by document. No part of the model is held by the driver or whole by a worker.
+
+All counts are taken over every trusted document but the quarter that thresholds come from. Trigrams are counted, weighed
+and joined in ROUNDS by their middle word: contexts (a, b) and lower orders (b, c) of a trigram lie in its round. So
+what is on disk at one time is one round's n-grams; texts are read again in each round, which costs no disk. A round's
+document n-grams are packed by block (keys once each, with the documents that hold them) and dealt to shards of the
+hash space together with the weights; shards are equal parts of the hash space, so no n-gram's frequency makes one task
+larger by more than its holders' 2 bytes each. Words and n-grams are known by 64-bit hashes. Thresholds are quantiles for
+each language over all trusted documents that were not trained on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.llm.common import words_of, write_table
+from lodestack.llm.common import drop_tables, words_of, write_table
 
 #: A document is rejected above this quantile of its language's trusted, held-out documents plus a margin in nats;
 #: the margin has a part that falls with the root of the document's words, as chance does.
@@ -36,15 +41,32 @@ SPREAD = 4.0
 LEAST_WORDS = 10
 #: Marks of a text's start and end; no word holds a blank.
 START, END = b" <s>", b" </s>"
-#: Words of the documents whose n-grams are sorted together.
-BLOCK_WORDS = 300_000
+#: Bytes of the texts whose n-grams are sorted together.
+BLOCK_BYTES = 6_000_000
+#: Texts of a block: their places are 16 bits wide.
+BLOCK_TEXTS = 60_000
+#: Parts by middle word that are counted and joined one after the other.
+ROUNDS = 12
+#: Weights of one shard, which a task holds at a time.
+SHARD_WEIGHTS = 4_000_000
+#: Keys of a block that travel as one row.
+ROW_KEYS = 16_384
+#: The key that each block sends for each of its texts in each round: it tells how many blocks hold the text.
+MARK = 1
+#: Longer words are hashed one by one.
+LONG_WORD = 64
 _P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+
+
+def turn(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
 
 
 def spark_hash(*columns: np.ndarray) -> np.ndarray:
     """Spark's xxhash64 of long columns (seed 42), as unsigned."""
     seed = np.full(len(columns[0]), 42, np.uint64)
-    turn = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
     for x in columns:
         seed = seed + _P5 + np.uint64(8)
         seed ^= turn(x.view(np.uint64) * _P2, 31) * _P1
@@ -61,42 +83,82 @@ def language_seed(lang: str) -> int:
     return xxhash.xxh64_intdigest(lang.encode())
 
 
-def word_key(word: bytes, lang: str) -> int:
-    """The hash of a language's word or mark, as a long."""
-    h = xxhash.xxh64_intdigest(word, language_seed(lang))
-    return h - (1 << 64) if h >> 63 else h
+def mark_key(mark: bytes, lang: str) -> int:
+    """The key of a language's START or END, unsigned."""
+    return xxhash.xxh64_intdigest(mark, language_seed(lang))
 
 
 def document_key(text: bytes, lang: str) -> int:
     return xxhash.xxh3_64_intdigest(text, language_seed(lang))
 
 
+def round_of(word: np.ndarray, rounds: int) -> np.ndarray:
+    return (word >> np.uint64(40)) % np.uint64(rounds)
+
+
+def in_round(word: Column, k: int, rounds: int) -> Column:
+    return F.shiftrightunsigned(word, 40) % rounds == k
+
+
 def blocks(batch: pa.RecordBatch) -> Iterator[tuple[list[str], list[bytes]]]:
-    """(languages, texts) of a batch of (lang, text), some BLOCK_WORDS words at a time."""
+    """(languages, texts) of a batch of (lang, text), some BLOCK_BYTES at a time."""
     langs, texts, size = [], [], 0
-    for lang, text in zip(batch.column(0), batch.column(1)):
-        langs.append(lang.as_py())
-        texts.append((text.as_py() or "").encode())
+    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+        langs.append(lang)
+        texts.append(text.as_py() or b"")
         size += len(texts[-1])
-        if size > 6 * BLOCK_WORDS:
+        if size > BLOCK_BYTES or len(texts) >= BLOCK_TEXTS:
             yield langs, texts
             langs, texts, size = [], [], 0
     if texts:
         yield langs, texts
 
 
+def word_keys(langs: list[str], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(key of every word of the texts in order, words of each text). Words are hashed 8 bytes at a time, all together."""
+    seeds = {x: language_seed(x) for x in set(langs)}
+    data = b"\n".join(texts) + b"\n"
+    raw = np.frombuffer(data + bytes(8), np.uint8)
+    word = np.concatenate(([False], ~_BLANK[raw[: len(data)]]))
+    edges = np.flatnonzero(word[1:] != word[:-1])  # the last byte is blank: edges come in pairs
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    ends = np.cumsum([len(x) + 1 for x in texts])
+    many = np.diff(np.searchsorted(starts, ends), prepend=0)
+    h = np.repeat(np.array([seeds[x] for x in langs], np.uint64), many)
+    wide = np.ndarray((len(data) + 1,), "<u8", buffer=raw.data, strides=(1,))
+    h = h + sizes.astype(np.uint64) * _P5
+    own = np.flatnonzero(sizes <= LONG_WORD)
+    at, left = starts[own], sizes[own]
+    while len(own):
+        v = wide[at]
+        part = left < 8
+        v[part] &= (np.uint64(1) << (np.uint64(8) * left[part].astype(np.uint64))) - np.uint64(1)
+        h[own] = turn(h[own] ^ (v * _P2), 31) * _P1 + _P4
+        more = left > 8
+        own, at, left = own[more], at[more] + 8, left[more] - 8
+    h ^= h >> np.uint64(33)
+    h *= _P2
+    h ^= h >> np.uint64(29)
+    h *= _P3
+    h ^= h >> np.uint64(32)
+    if len(long := np.flatnonzero(sizes > LONG_WORD)):
+        of = np.repeat(np.arange(len(texts)), many)
+        for i in long.tolist():
+            h[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + sizes[i]], seeds[langs[of[i]]])
+    return h, many
+
+
 def padded(langs: list[str], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(word keys, places of the texts' first marks): texts one after the other, each behind two starts and before an end."""
-    flat: list[int] = []
-    first, digest = [], xxhash.xxh64_intdigest
-    for lang, text in zip(langs, texts):
-        seed = language_seed(lang)
-        start = digest(START, seed)
-        first.append(len(flat))
-        flat += [start, start]
-        flat += [digest(w, seed) for w in text.split()]
-        flat.append(digest(END, seed))
-    return np.array(flat, np.uint64), np.array(first, np.int64)
+    h, many = word_keys(langs, texts)
+    first = np.cumsum(many + 3) - many - 3
+    out = np.empty(len(h) + 3 * len(texts), np.uint64)
+    marks = {x: (mark_key(START, x), mark_key(END, x)) for x in set(langs)}
+    start, end = (np.array([marks[x][k] for x in langs], np.uint64) for k in (0, 1))
+    out[first] = out[first + 1] = start
+    out[first + many + 2] = end
+    out[np.arange(len(h)) + 3 * np.repeat(np.arange(len(texts)), many) + 2] = h
+    return out, first
 
 
 def training_documents(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -108,20 +170,21 @@ def training_documents(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame,
     return own.dropDuplicates(["_digest"]).select("lang", "text"), own.select("doc_id").distinct()
 
 
-def trigram_counts(texts: DataFrame, numbers: dict[str, int]) -> DataFrame:
-    """l (the language's number), a, b, c, n: counts of all trigrams by word keys. Each block is counted where it is."""
+def trigram_counts(texts: DataFrame, numbers: dict[str, int], k: int = 0, rounds: int = 1) -> DataFrame:
+    """l (the language's number), a, b, c, n: counts of the trigrams of round k, by word keys. Each block is counted where it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for langs, own in blocks(batch):
                 c, first = padded(langs, own)
-                of = np.repeat([numbers[x] for x in langs], np.diff(np.append(first, len(c)))).astype(np.int32)
                 real = np.ones(len(c), bool)
                 real[first] = real[first + 1] = False
                 at = np.flatnonzero(real)
+                at = at[round_of(c[at - 1], rounds) == k]
                 _, place, n = np.unique(spark_hash(c[at - 2], c[at - 1], c[at]), return_index=True, return_counts=True)
                 at = at[place]
-                yield pa.RecordBatch.from_arrays([pa.array(of[at]), *[pa.array(c[at - k].view(np.int64)) for k in (2, 1, 0)], pa.array(n)], names=["l", "a", "b", "c", "n"])
+                of = np.array([numbers[x] for x in langs], np.int32)[np.searchsorted(first, at, side="right") - 1]
+                yield pa.RecordBatch.from_arrays([pa.array(of), *[pa.array(c[at - i].view(np.int64)) for i in (2, 1, 0)], pa.array(n)], names=["l", "a", "b", "c", "n"])
 
     return texts.mapInArrow(run, "l int, a long, b long, c long, n long").groupBy("l", "a", "b", "c").agg(F.sum("n").alias("n"))
 
@@ -159,59 +222,90 @@ def left_mass(order: int) -> Column:
 
 @dataclass
 class Model:
-    """weights: k (n-gram's hash), w, s (1 at a text's start mark); a hash may have two rows, which add up.
-
-    base: by language, the log probability of an unknown word, which the weights of words are relative to.
-    """
+    """What training leaves: the texts (lang, text) that rounds count anew, words (l, k, n: their different left
+    neighbours), and by language its number, discounts of the orders, sum of n, and the log probability of an unknown word."""
 
-    weights: DataFrame
+    texts: DataFrame
+    words: DataFrame
+    numbers: dict[str, int]
+    table: list[tuple]
     base: dict[str, float]
+    rounds: int
+
+    def told(self) -> DataFrame:
+        kinds = "l int, d1 array<double>, d2 array<double>, d3 array<double>, total1 double, base double"
+        return F.broadcast(self.words.sparkSession.createDataFrame(self.table, kinds))  # a row for each language
+
+    def bigrams(self, c3: DataFrame) -> DataFrame:
+        """l, b, c, n: different left neighbours; bigrams at a text's start keep their own counts, as nothing varies before them."""
+        starts = F.col("b").isin([signed(mark_key(START, x)) for x in self.numbers])
+        return c3.groupBy("l", "b", "c").agg(F.when(starts, F.sum("n")).otherwise(F.count(F.lit(1))).alias("n"))
+
+    def weights(self, k: int) -> tuple[DataFrame, list[DataFrame]]:
+        """(k, w: the weights of the n-grams of round k; tables to drop after use). Bigrams' and contexts' keys differ."""
+        told = self.told()
+        c3 = write_table(trigram_counts(self.texts, self.numbers, k, self.rounds), "trigrams")
+        c2 = write_table(self.bigrams(c3), "bigrams")
+        of_b = contexts(c2, F.col("b")).join(told, "l")
+        of_b = write_table(of_b.select("b", "total", left_mass(2).alias("g2")), "left")
+        p1 = discounted(1) / F.col("total1") + F.col("base")
+        known = self.words.join(told, "l").select("k", p1.alias("p1"), "base")
+        two = c2.join(of_b, "b").join(known.select(F.col("k").alias("c"), "p1"), "c").join(told.select("l", "d2"), "l")
+        low = F.col("g2") * F.col("p1")
+        two = write_table(two.select("b", "c", low.alias("low"), (discounted(2) / F.col("total") + low).alias("p2")), "pairs")
+        of_ab = contexts(c3, F.col("a"), F.col("b")).join(told.select("l", "d3"), "l").select("a", "b", "total", left_mass(3).alias("g3"))
+        of_ab = write_table(of_ab, "contexts")
+        three = c3.join(of_ab, ["a", "b"]).join(two.select("b", "c", "p2"), ["b", "c"]).join(told.select("l", "d3"), "l")
+        gain = F.log1p(discounted(3) / F.col("total") / (F.col("g3") * F.col("p2")))
+        row = lambda key, w: (key.alias("k"), w.cast("float").alias("w"))
+        out = (
+            known.where(in_round(F.col("k"), k, self.rounds)).select(*row(F.col("k"), F.log(F.col("p1") / F.col("base"))))
+            .union(of_b.select(*row(F.col("b"), F.log("g2"))))
+            .union(two.select(*row(F.xxhash64("b", "c"), F.log(F.col("p2") / F.col("low")))))
+            .union(of_ab.select(*row(F.xxhash64("a", "b", F.lit(0).cast("long")), F.log("g3"))))
+            .union(three.select(*row(F.xxhash64("a", "b", "c"), gain)))
+        )
+        out = write_table(out, "weights")
+        drop_tables(c3, c2, of_b, two, of_ab)
+        return out, [out]
 
     def score(self, lang: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(sum of log probabilities, words) of each text of one language; the end of a text counts as a word."""
         rows = [(k, lang, t.decode()) for k, t in enumerate(texts)]
-        docs = self.weights.sparkSession.createDataFrame(rows, "doc_id long, lang string, text string")
+        docs = self.words.sparkSession.createDataFrame(rows, "doc_id long, lang string, text string")
         got = sorted(perplexities(docs, self, ["doc_id"]).collect())
         n = np.array([r.n_words for r in got], np.int64)
         return -np.array([np.nan if r.log_perplexity is None else r.log_perplexity for r in got]) * (n + 1), n
 
 
-def weigh(texts: DataFrame, langs: list[str]) -> Model:
-    """The model of the texts (lang, text): lower orders count different left neighbours; bigrams at a document's start
-    keep their own counts, as nothing varies before them."""
-    spark = texts.sparkSession
-    starts = [word_key(START, x) for x in langs]
-    c3 = write_table(trigram_counts(texts, {x: k for k, x in enumerate(langs)}), "trigrams")
-    c2 = c3.groupBy("l", "b", "c").agg(F.when(F.col("b").isin(starts), F.sum("n")).otherwise(F.count(F.lit(1))).alias("n"))
-    c2 = write_table(c2, "bigrams")
-    c1 = c2.groupBy("l", F.col("c").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    words = write_table(c1.join(contexts(c2, F.col("b").alias("k")), ["l", "k"], "full").na.fill(0), "words")
-    s1, s2, s3 = (counts_of_counts(x) for x in (words, c2, c3))
-    rows, base = [], {}
-    for k, lang in enumerate(langs):
-        d1, d2, d3 = (discounts(*s[k][:4]) for s in (s1, s2, s3))
+def signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def weigh(texts: DataFrame, langs: list[str], rounds: int | None = None) -> Model:
+    """The model of the texts (lang, text): every round is counted once for what all rounds need of it."""
+    rounds = rounds or ROUNDS
+    model = Model(texts, texts, {x: k for k, x in enumerate(langs)}, [], {}, rounds)
+    s2, s3 = ({k: np.zeros(7, np.int64) for k in range(len(langs))} for _ in range(2))
+    parts = []
+    for k in range(rounds):
+        c3 = write_table(trigram_counts(texts, model.numbers, k, rounds), "trigrams")
+        c2 = write_table(model.bigrams(c3), "bigrams")
+        for s, counts in ((s2, c2), (s3, c3)):
+            for x, own in counts_of_counts(counts).items():
+                s[x] += own
+        parts.append(write_table(c2.groupBy("l", F.col("c").alias("k")).agg(F.count(F.lit(1)).alias("n")), "words"))
+        drop_tables(c3, c2)
+    model.words = write_table(reduce(DataFrame.union, parts).groupBy("l", "k").agg(F.sum("n").alias("n")), "words")
+    drop_tables(*parts)
+    s1 = counts_of_counts(model.words)
+    for lang, k in model.numbers.items():
+        d1, d2, d3 = (discounts(*map(int, s[k][:4])) for s in (s1, s2, s3))
         n1, n2, _, _, more, total, size = s1[k]
-        rest = (d1[0] * n1 + d1[1] * n2 + d1[2] * more) / total / (size + 1)  # evenly with the unknown word
-        rows.append((k, d1, d2, d3, float(total), rest))
-        base[lang] = float(np.log(rest))
-    told = F.broadcast(spark.createDataFrame(rows, "l int, d1 array<double>, d2 array<double>, d3 array<double>, total1 double, base double"))  # a row for each language
-    p1 = F.when(F.col("n") > 0, discounted(1) / F.col("total1")).otherwise(0.0) + F.col("base")
-    one = write_table(words.join(told, "l").select("k", p1.alias("p1"), "base", "total", F.when(F.col("total") > 0, left_mass(2)).otherwise(1.0).alias("g2")), "unigrams")
-    two = c2.join(one.select(F.col("k").alias("b"), "total", "g2"), "b").join(one.select(F.col("k").alias("c"), "p1"), "c").join(told, "l")
-    two = two.select("b", "c", (F.col("g2") * F.col("p1")).alias("low"), (discounted(2) / F.col("total") + F.col("g2") * F.col("p1")).alias("p2"))
-    two = write_table(two, "pairs")
-    x3 = contexts(c3, F.col("a"), F.col("b")).join(told.select("l", "d3"), "l").select("a", "b", "total", left_mass(3).alias("g3"))
-    x3 = write_table(x3, "contexts")
-    three = c3.join(x3, ["a", "b"]).join(two.select("b", "c", "p2"), ["b", "c"]).join(told.select("l", "d3"), "l")
-    gain = F.log1p(discounted(3) / F.col("total") / (F.col("g3") * F.col("p2")))
-    row = lambda key, w, s: (key.alias("k"), w.cast("float").alias("w"), s.cast("int").alias("s"))
-    weights = (
-        one.select(*row(F.col("k"), F.log(F.col("p1") / F.col("base")) + F.log("g2"), F.col("k").isin(starts)))
-        .union(two.select(*row(F.xxhash64("b", "c"), F.log(F.col("p2") / F.col("low")), F.lit(0))))
-        .union(x3.select(*row(F.xxhash64("a", "b"), F.log("g3"), F.lit(0))))
-        .union(three.select(*row(F.xxhash64("a", "b", "c"), gain, F.lit(0))))
-    )
-    return Model(write_table(weights, "weights"), base)
+        rest = (d1[0] * n1 + d1[1] * n2 + d1[2] * more) / total / (size + 2)  # evenly with a text's start and the unknown word
+        model.table.append((k, d1, d2, d3, float(total), rest))
+        model.base[lang] = float(np.log(rest))
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, trusted: int = 1, label: str = "quality") -> tuple[Model | None, DataFrame]:
@@ -223,9 +317,38 @@ def train(docs: DataFrame, labels: DataFrame, trusted: int = 1, label: str = "qu
     return (weigh(texts, langs) if langs else None), ids
 
 
-def document_ngrams(docs: DataFrame, langs: set[str]) -> DataFrame:
-    """k, docs: n-grams of all orders of (lang, text), each once for a block, with the keys of the documents (8 bytes
-    for each time) that hold it; equal texts of a block are one document."""
+def planes(x: np.ndarray) -> bytes:
+    """The array's bytes, those of one place together, which compress better."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def joined(data: memoryview, kind: str, n: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width).reshape(width, n).T).view(kind).reshape(-1)
+
+
+def packed(keys: np.ndarray, many: np.ndarray, holders: np.ndarray, docs: np.ndarray) -> bytes:
+    """Ascending keys (as steps), how many holders each has, and the holders' places among docs (keys of the texts)."""
+    some, places = np.unique(holders, return_inverse=True)
+    head = np.array([len(keys), len(holders), len(some)], "<u4").tobytes()
+    return b"".join((head, docs[some].astype("<u8").tobytes(), planes(np.diff(keys, prepend=np.uint64(0)).astype("<u8")), planes(many.astype("<u4")), planes(places.astype("<u2"))))
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    view = memoryview(data)
+    n, held, some = np.frombuffer(view, "<u4", 3).tolist()
+    edges = np.cumsum([12, 8 * some, 8 * n, 4 * n])
+    docs = np.frombuffer(view, "<u8", some, 12)
+    keys = np.cumsum(joined(view[edges[1] :], "<u8", n), dtype=np.uint64)
+    return keys, joined(view[edges[2] :], "<u4", n), joined(view[edges[3] :], "<u2", held), docs
+
+
+def shard_of(k: np.ndarray, shards: int) -> np.ndarray:
+    return ((k >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+
+
+def document_ngrams(docs: DataFrame, langs: set[str], k: int, rounds: int, shards: int) -> DataFrame:
+    """shard, packed: the n-grams of round k of (lang, text), each once for a block; equal texts of a block are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,37 +357,85 @@ def document_ngrams(docs: DataFrame, langs: set[str]) -> DataFrame:
                 if not own:
                     continue
                 c, first = padded(*map(list, zip(*own.values())))
-                key = np.repeat(np.array(list(own), np.uint64), np.diff(np.append(first, len(c))))
+                key = np.array(list(own), np.uint64)
                 real = np.ones(len(c), bool)
                 real[first] = False
-                at2 = np.flatnonzero(real)
+                at2 = np.flatnonzero(real & (round_of(c, rounds) == k))
                 real[first + 1] = False
                 at3 = np.flatnonzero(real)
-                ngrams = np.concatenate((c[at2], spark_hash(c[at2 - 1], c[at2]), spark_hash(c[at3 - 2], c[at3 - 1], c[at3])))
-                by = np.argsort(ngrams, kind="stable")
-                ngrams, holders = ngrams[by], key[np.concatenate((at2, at2, at3))[by]]
-                edges = np.flatnonzero(np.concatenate(([True], ngrams[1:] != ngrams[:-1])))
-                offsets = pa.py_buffer((8 * np.append(edges, len(ngrams))).astype(np.int32))
-                held = pa.Array.from_buffers(pa.binary(), len(edges), [None, offsets, pa.py_buffer(holders)])
-                ends = [*range(0, len(edges), 50_000), len(edges)]
-                for i, j in zip(ends, ends[1:]):
-                    yield pa.RecordBatch.from_arrays([pa.array(ngrams[edges[i:j]].view(np.int64)), held[i:j]], names=["k", "docs"])
-
-    return docs.mapInArrow(run, "k long, docs binary")
-
-
-def sums(met: DataFrame) -> DataFrame:
-    """d, w, s: the sums of the weights by document key; met: docs, w, s."""
+                at3 = at3[round_of(c[at3 - 1], rounds) == k]
+                x, y, z = c[at3 - 2], c[at3 - 1], c[at3]
+                mark = np.full(len(key), MARK, np.uint64)
+                grams = np.concatenate((mark, c[at2], spark_hash(y, z), spark_hash(x, y, np.zeros(len(x), np.uint64)), spark_hash(x, y, z)))
+                of2, of3 = (np.searchsorted(first, at, side="right") - 1 for at in (at2, at3))
+                held = np.concatenate((np.arange(len(key)), of2, of3, of3, of3)).astype(np.uint16)
+                by = np.argsort(grams, kind="stable")
+                grams, held = grams[by], held[by]
+                edges = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+                keys, many = grams[edges], np.diff(np.append(edges, len(grams)))
+                cuts = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
+                edges = np.append(edges, len(grams))
+                out: tuple[list, list] = ([], [])
+                for s in np.flatnonzero(np.diff(cuts)).tolist():
+                    for i in range(cuts[s], cuts[s + 1], ROW_KEYS):
+                        j = min(i + ROW_KEYS, cuts[s + 1])
+                        out[0].append(s)
+                        out[1].append(packed(keys[i:j], many[i:j], held[edges[i] : edges[j]], key))
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], names=["shard", "packed"])
+
+    return docs.mapInArrow(run, "shard int, packed binary")
+
+
+def met(weights: DataFrame, ngrams: DataFrame, shards: int) -> DataFrame:
+    """d, w, s: sums of the weights by document key, and how often the document was asked for. A shard's weights come
+    before its n-grams, which stream past them."""
+    shard = F.shiftrightunsigned(F.shiftrightunsigned("k", 32) * shards, 32).cast("int")
+    none = F.lit(None)
+    rows = weights.select(shard.alias("shard"), "k", "w", none.cast("binary").alias("packed")).union(ngrams.select("shard", none.cast("long"), none.cast("float"), "packed"))
+    # keys are null in n-gram rows: they come last
+    dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", F.asc_nulls_last("k"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, known, value = -1, [], np.zeros(0, np.uint64), np.zeros(0)
         for batch in batches:
-            held = batch.column(0).to_pylist()
-            many = [len(x) // 8 for x in held]
-            d, to = np.unique(np.frombuffer(b"".join(held), np.int64), return_inverse=True)
-            w, s = (np.bincount(to, np.repeat(batch.column(k).to_numpy(), many), len(d)) for k in (1, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(w), pa.array(s.astype(np.int64))], names=["d", "w", "s"])
-
-    return met.mapInArrow(run, "d long, w double, s long").groupBy("d").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+            shard, k = batch.column(0).to_numpy(), batch.column(1)
+            is_weight = k.is_valid().to_numpy(zero_copy_only=False)
+            turns = np.flatnonzero((shard[1:] != shard[:-1]) | (is_weight[1:] != is_weight[:-1])) + 1
+            for i, j in zip([0, *turns.tolist()], [*turns.tolist(), len(shard)]):
+                if i == j:
+                    continue
+                if shard[i] != now:
+                    now, parts, known, value = int(shard[i]), [], np.zeros(0, np.uint64), np.zeros(0)
+                if is_weight[i]:
+                    parts.append((k.slice(i, j - i).to_numpy().view(np.uint64), batch.column(2).slice(i, j - i).to_numpy().astype(np.float64)))
+                    continue
+                if parts:
+                    known, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+                    value, parts = np.bincount(at, np.concatenate([w for _, w in parts]), len(known)), []
+                for one in batch.column(3).slice(i, j - i):
+                    keys, many, places, docs = unpacked(one.as_py())
+                    at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+                    w = np.where(known[at] == keys, value[at], 0.0) if len(known) else np.zeros(len(keys))
+                    total = np.bincount(places, np.repeat(w, many), len(docs))
+                    asked = np.bincount(places, np.repeat(keys == MARK, many), len(docs)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(docs.view(np.int64)), pa.array(total), pa.array(asked)], names=["d", "w", "s"])
+
+    return dealt.select("shard", "k", "w", "packed").mapInArrow(run, "d long, w double, s long").groupBy("d").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+
+
+def scores(docs: DataFrame, model: Model) -> DataFrame:
+    """d, w: the sum of all weights of each text of docs (lang, text) by its key; a written table."""
+    spark, out = docs.sparkSession, []
+    for k in range(model.rounds):
+        weights, done = model.weights(k)
+        shards = max(spark.sparkContext.defaultParallelism, -(-weights.count() // SHARD_WEIGHTS))
+        found = met(weights, document_ngrams(docs, set(model.base), k, model.rounds, shards), shards)
+        # a text of several blocks was asked for by each of them
+        out.append(write_table(found.select("d", (F.col("w") / F.col("s")).alias("w")), "sums"))
+        drop_tables(*done)
+    total = write_table(reduce(DataFrame.union, out).groupBy("d").agg(F.sum("w").alias("w")), "scores")
+    drop_tables(*out)
+    return total
 
 
 def perplexities(docs: DataFrame, model: Model | None, carry: list[str]) -> DataFrame:
@@ -286,14 +457,12 @@ def perplexities(docs: DataFrame, model: Model | None, carry: list[str]) -> Data
     told = own.mapInArrow(run, schema)
     if model is None:
         return told.select(*carry, "n_words", F.lit(None).cast("double").alias("log_perplexity"))
-    met = document_ngrams(docs.select(lang.alias("lang"), "text"), set(model.base)).join(model.weights, "k").select("docs", "w", "s")
-    scores = write_table(sums(met), "sums")
+    found = scores(docs.select(lang.alias("lang"), "text"), model)
     base = F.lit(None).cast("double")
     for name, value in model.base.items():  # a row for each language
         base = F.when(F.col("_lang") == name, F.lit(value)).otherwise(base)
-    # a text of several blocks was summed up in each of them: s tells how often
-    log = F.col("w") / F.col("s") + (F.col("n_words") + 1) * base
-    return told.join(scores, told._d == scores.d, "left").select(*carry, "n_words", (-log / (F.col("n_words") + 1)).alias("log_perplexity"))
+    log = F.col("w") + (F.col("n_words") + 1) * base
+    return told.join(found, told._d == found.d, "left").select(*carry, "n_words", (-log / (F.col("n_words") + 1)).alias("log_perplexity"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, trusted: int = 1, label: str = "quality", quantile: float = QUANTILE, carry: tuple[str, ...] = ("doc_id", "lang")) -> DataFrame:

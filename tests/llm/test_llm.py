@@ -271,7 +271,18 @@ def brute_kneser_ney(train, texts_):
         yield -sum(np.log(p(*x)) for x in zip(q, q[1:], q[2:])) / (len(w) + 1)
 
 
-def test_classifier_equals_brute_force(spark, docs):
+def test_word_keys_are_those_of_the_words():
+    texts_ = [b"", b" ", b"a b\ta", "é xx a".encode(), b"x" * 500 + b" " + b"y" * 64 + b" " + b"x" * 500, b"abcdefgh abcdefghi abcdefgh\n"]
+    keys, many = ngram.word_keys(["en", "fr", "en", "fr", "en", "en"], texts_)
+    words_ = [(x, w) for x, t in zip(["en", "fr", "en", "fr", "en", "en"], texts_) for w in t.split()]
+    assert many.tolist() == [len(t.split()) for t in texts_] and len(set(keys.tolist())) == len(set(words_))
+    assert len({(k, w) for k, w in zip(keys.tolist(), words_)}) == len(set(words_))
+
+
+@pytest.mark.parametrize("rounds,row_keys", [(1, 7), (3, 16_384)])
+def test_classifier_equals_brute_force(spark, docs, monkeypatch, rounds, row_keys):
+    monkeypatch.setattr(ngram, "ROUNDS", rounds)
+    monkeypatch.setattr(ngram, "ROW_KEYS", row_keys)
     labels = spark.createDataFrame([(k, 1) for k in range(60)], "doc_id long, quality int")
     model, trained = ngram.train(docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text"), labels)
     ids = {r.doc_id for r in trained.collect()}
@@ -287,7 +298,8 @@ def test_classifier_equals_brute_force(spark, docs):
         assert np.allclose(-total / (n + 1), list(brute_kneser_ney(train, mine)), rtol=1e-4)
 
 
-def test_classifier_on_odd_tables(spark, docs, empty):
+def test_classifier_on_odd_tables(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(ngram, "ROUNDS", 2)
     labels = spark.createDataFrame([(k, 1) for k in range(60)] + [(None, 1), (3, None)], "doc_id long, quality int")
     got = ngram.classify(docs, labels)
     assert got.count() == docs.count() and got.where("kept IS NULL").count() == 0
@@ -297,7 +309,8 @@ def test_classifier_on_odd_tables(spark, docs, empty):
     assert ngram.kept_documents(docs, labels).columns == docs.columns
 
 
-def test_classifier_separates(spark):
+def test_classifier_separates(spark, monkeypatch):
+    monkeypatch.setattr(ngram, "ROUNDS", 2)
     rng = random.Random(5)
     rows = [(k, " ".join(("".join(rng.choice("xqzj") for _ in range(7)) if k % 5 == 0 else rng.choice(["the", "of", "and", "house", "tree", "is"])) for _ in range(60)), "en") for k in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -306,7 +319,8 @@ def test_classifier_separates(spark):
     assert all(got[k] == (k % 5 != 0) for k in got)
 
 
-def test_classifier_trains_every_language_on_all_its_trusted_text(spark):
+def test_classifier_trains_every_language_on_all_its_trusted_text(spark, monkeypatch):
+    monkeypatch.setattr(ngram, "ROUNDS", 2)
     rng = random.Random(8)
     words = [f"w{k}" for k in range(300)]
     text = lambda n: " ".join(rng.choice(words) for _ in range(n))
