@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, In, InputPartition, IsNotNull, IsNull, WriterCommitMessage
 
-from lodestack.llm.common import shared_dir, write_table
+from lodestack.llm.common import shared_dir
 
 #: Smaller payloads are always stored.
 LEAST_SHARED = 100
@@ -278,42 +278,66 @@ class WarcReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: int
+    files: list[str]
     records: int
 
 
 class WarcWriter(DataSourceArrowWriter):
+    """Tasks write into a folder of the job, which readers pass over; commit moves the files of the attempts that
+    count, so a repeated or failed attempt leaves no record."""
+
     def __init__(self, options: dict[str, str]):
+        import uuid
+
         self.path, self.date = options["path"], options.get("date", "2000-01-01T00:00:00Z")
+        self.job = uuid.uuid4().hex
+
+    def place(self):
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(self.path)
+        return store, path, f"{path}/_job-{self.job}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         import uuid
 
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        store, path = fs.FileSystem.from_uri(self.path)
-        store.create_dir(path, recursive=True)
-        part, temporary = TaskContext.get().partitionId(), f"{path}/.{uuid.uuid4().hex}.tmp"
-        files = records = size = 0
+        store, _, folder = self.place()
+        store.create_dir(folder, recursive=True)
+        part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex[:12]
+        files: list[str] = []
+        records = size = 0
         out = None
         for batch in iterator:
             for row in batch.to_pylist():
                 if out is None:
-                    out = store.open_output_stream(temporary)
+                    files.append(f"part-{part:06d}-{len(files):04d}-{attempt}")
+                    out, size = store.open_output_stream(f"{folder}/{files[-1]}.tmp"), 0
                 data = member(record(row | {"date": self.date}))
                 out.write(data)
                 records, size = records + 1, size + len(data)
                 if size >= FILE_BYTES:
                     out.close()
-                    store.move(temporary, f"{path}/part-{part:06d}-{files:04d}.warc.gz")
-                    out, files, size = None, files + 1, 0
+                    out = None
         if out is not None:
             out.close()
-            store.move(temporary, f"{path}/part-{part:06d}-{files:04d}.warc.gz")
-            files += 1
         return Written(files, records)
 
+    def commit(self, messages: list[Written | None]) -> None:
+        store, path, folder = self.place()
+        for told in messages:
+            for name in told.files if told else []:
+                store.move(f"{folder}/{name}.tmp", f"{path}/{name}.warc.gz")
+        self.abort(messages)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        from pyarrow import fs
+
+        store, _, folder = self.place()
+        if store.get_file_info(folder).type == fs.FileType.Directory:
+            store.delete_dir(folder)
+
 
 class WarcDataSource(DataSource):
     """Format ``warc``; options: path, payload (false: leave payloads undecoded and null), date (of written records)."""
@@ -348,19 +372,22 @@ def records_of(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     data = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), data.alias("payload"))
     own = own.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_length", F.octet_length("payload").cast("long"))
-    keys = write_table(own.select("page_id", "payload_digest", "payload_length"), "digests")
-    shared = keys.where(F.col("payload_length") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    shared = shared.where("_n > 1").select(F.col("payload_digest").alias("_digest"), "_first")
-    both = own.join(shared, F.col("payload_digest") == F.col("_digest"), "left")
-    revisit = F.col("page_id") > F.col("_first")
+    # ids and digests find the revisits; bodies are dealt by page id, never by digest, which many pages may share
+    keys = own.select(F.col("page_id").alias("_id"), F.col("payload_digest").alias("_digest")).where((F.col("payload_length") >= least) & F.col("page_id").isNotNull())
+    first = keys.groupBy("_digest").agg(F.min("_id").alias("_first"))
+    shared = keys.join(first, "_digest").where("_id > _first").distinct()
+    named = own.where("page_id IS NOT NULL")
+    both = named.join(shared, (F.col("page_id") == F.col("_id")) & (F.col("payload_digest") == F.col("_digest")), "left")
+    both = both.select(*own.columns, "_first").union(own.where("page_id IS NULL").withColumn("_first", F.lit(None).cast("long")))
+    revisit = F.col("_first").isNotNull()
     return both.select(
         "page_id",
         "url",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         "payload_digest",
         "payload_length",
-        F.when(revisit, F.col("_first")).alias("refers_to"),
-        F.when(~F.coalesce(revisit, F.lit(False)), F.col("payload")).alias("payload"),
+        F.col("_first").alias("refers_to"),
+        F.when(~revisit, F.col("payload")).alias("payload"),
     )
 
 
