@@ -36,14 +36,15 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Words are runs of non-space characters; null texts have none. n_repeat_words: words in 5-word windows that occur
     twice or more in the text, first occurrences included; most texts repeat no window and are settled by one pass
-    over window hashes, the others sort them, so time grows as n log n with the text. Columns of docs with these names
-    are replaced.
+    over 64-bit window hashes, the others sort them, so time grows as n log n with the text. Columns of docs with these
+    names (in any case) are replaced; all others, of any name, are kept. An empty table gives an empty result.
     """
-    names = docs.columns
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    kept = [c for c in names if c not in own]
+    carried = [c for c in docs.columns if c.lower() not in own]
     body = F.coalesce(F.col(text), F.lit(""))
-    row = docs.select(*kept, body.alias("_t"))
+    # the other columns travel as one, so that no name of theirs can meet one of these steps
+    row = docs.select(F.struct(*carried).alias("_row"), body.alias("_t"))
+    kept = ["_row"]
     row = row.select(*kept, "_t", words_of(F.col("_t")).alias("_w"), F.split("_t", "\n").alias("_l"))
     lines = F.filter(F.col("_l"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
     row = row.select(
@@ -68,7 +69,7 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     # words would be split anew for each element
     row = row.select(*kept, F.col("_n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.when(F.rand(0) + F.col("_n") >= 0, repeated).alias("n_repeat_words"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
-    return row.withColumn("base_failed", failed)
+    return row.select(*[F.col("_row")[c].alias(c) for c in carried], *own[:5], failed.alias("base_failed"))
 
 
 FEATURE_STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -207,7 +208,9 @@ def judged(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text:
     """The statistics and verdicts of every document, and the list learned from the labelled ones.
 
     kept is false where base_failed, else the list's verdict. Documents without a label are judged alike. Rows of
-    ``labels`` with a null id or label teach nothing, repeated labels teach repeatedly.
+    ``labels`` with a null id or label teach nothing, repeated labels teach repeatedly. Null and empty texts have no
+    words and are not kept; texts of any length are counted whole; repeated rows are judged alike; an empty table gives
+    an empty result, and without labels only the base rejects.
     """
     own = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
     stats = write_table(text_stats(own).drop("text"), "stats")
