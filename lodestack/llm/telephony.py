@@ -10,6 +10,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.llm.common import write_table
+from lodestack.llm.common import drop_tables, write_table
 
 RATE = 8_000
 #: WAVE format tags (fixed values of the RIFF registry).
@@ -26,24 +27,23 @@ TAGS = {"alaw": 6, "mulaw": 7, "adpcm": 17}
 BLOCK = 64
 #: Bytes of payload that are decoded at once.
 PART = 2_000_000
+#: Parts of the media whose PCM is stored at one time.
+PARTS = 8
 
 #: IMA ADPCM index changes by code (fixed values of the format).
 INDEX_STEPS = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int32)
 
 
-def ima_steps() -> np.ndarray:
-    """The format's 89 step sizes."""
-    # fixed values of the format
-    text = (
-        "7 8 9 10 11 12 13 14 16 17 19 21 23 25 28 31 34 37 41 45 50 55 60 66 73 80 88 97 107 118 130 143 157 173 190 "
-        "209 230 253 279 307 337 371 408 449 494 544 598 658 724 796 876 963 1060 1166 1282 1411 1552 1707 1878 2066 "
-        "2272 2499 2749 3024 3327 3660 4026 4428 4871 5358 5894 6484 7132 7845 8630 9493 10442 11487 12635 13899 15289 "
-        "16818 18500 20350 22385 24623 27086 29794 32767"
-    )
-    return np.array(text.split(), np.int32)
-
-
-STEPS = ima_steps()
+#: The format's 89 step sizes (fixed values of the format).
+STEPS = np.array(
+    [
+        7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190,
+        209, 230, 253, 279, 307, 337, 371, 408, 449, 494, 544, 598, 658, 724, 796, 876, 963, 1060, 1166, 1282, 1411, 1552, 1707, 1878, 2066,
+        2272, 2499, 2749, 3024, 3327, 3660, 4026, 4428, 4871, 5358, 5894, 6484, 7132, 7845, 8630, 9493, 10442, 11487, 12635, 13899, 15289,
+        16818, 18500, 20350, 22385, 24623, 27086, 29794, 32767,
+    ],
+    np.int32,
+)
 
 
 def mulaw_table() -> np.ndarray:
@@ -197,58 +197,76 @@ def store_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
 
 def pcm_column(media: DataFrame, factor: int = 2, media_column: str = "media") -> DataFrame:
-    """media with rate (int) and pcm (little-endian 16-bit) decoded and resampled; both null where media is null or no known WAVE file."""
+    """media with rate (int) and pcm (little-endian 16-bit) decoded and resampled; both null where media is null or no known WAVE file.
+
+    Short ADPCM files of a batch are decoded together, a step across all of their blocks."""
     at, names = media.columns.index(media_column), [*media.columns, "rate", "pcm"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 128):
-                part, rates, out = batch.slice(start, 128), [], []
+            for start in range(0, len(batch), 512):
+                part = batch.slice(start, 512)
+                parsed: list[tuple | None] = []
                 for x in part.column(at):
                     try:
-                        codec, rate, data = parse_wave(x.as_py() or b"")
+                        parsed.append(parse_wave(x.as_py() or b""))
                     except ValueError:
-                        rates.append(None)
-                        out.append(None)
-                        continue
-                    rates.append(rate * factor)
-                    out.append(resample(decode(codec, data), factor).astype("<i2").tobytes())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rates, pa.int32()), pa.array(out, pa.binary())], names=names)
+                        parsed.append(None)
+                out: list[bytes | None] = [None] * len(parsed)
+                for codec in TAGS:
+                    own = [k for k, p in enumerate(parsed) if p and p[0] == codec]
+                    for k, pcm in zip(own, decode_many(codec, [parsed[k][2] for k in own])):
+                        out[k] = resample(pcm, factor).astype("<i2").tobytes()
+                rates = [p[1] * factor if p else None for p in parsed]
+                # a batch leaves in pieces of a bounded size
+                ends, size = [0], 0
+                for k, x in enumerate(out):
+                    size += len(x or b"")
+                    if size > 4 * PART:
+                        ends.append(k + 1)
+                        size = 0
+                for i, j in zip(ends, [*ends[1:], len(out)]):
+                    if i < j:
+                        yield pa.RecordBatch.from_arrays([*part.slice(i, j - i).columns, pa.array(rates[i:j], pa.int32()), pa.array(out[i:j], pa.binary())], names=names)
 
     schema = T.StructType([*media.schema.fields, T.StructField("rate", T.IntegerType()), T.StructField("pcm", T.BinaryType())])
     return media.mapInArrow(run, schema)
 
 
-def media_digests(media: DataFrame, factor: int = 2) -> DataFrame:
-    """doc_id, n_bytes and what the stored bytes give when they are read back: digests and features of the resampled PCM."""
+def pcm_digests(stored: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and what the stored media and the stored PCM (of pcm_column) give when they are read back."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 1024):
-                part = batch.slice(start, 1024)
-                files = part.column(2).to_pylist()
-                parsed = [parse_wave(x) for x in files]
-                told: list[str] = [""] * len(files)
-                for codec in TAGS:
-                    own = [k for k, p in enumerate(parsed) if p[0] == codec]
-                    for k, pcm in zip(own, decode_many(codec, [parsed[k][2] for k in own])):
-                        told[k] = f"{codec};{features(resample(pcm, factor))}"
-                rows = [
-                    (len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(x), hashlib.sha256(x).hexdigest(), f)
-                    for x, (_, _, p), f in zip(files, parsed, told)
-                ]
-                columns = list(zip(*rows)) if rows else [()] * 6
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(c, t) for c, t in zip(columns, kinds[2:])]], names=names)
-
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-
-
-def store_and_describe(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The query's whole way: texts become media, the media are written, read back and described.
-
-    Null and empty texts give 64 bytes 0; equal texts give equal values; a null id stays null; repeated rows are
-    described once each; other columns of any name are ignored; an empty table gives an empty result.
+            rows = []
+            for x, pcm in zip(batch.column(2), batch.column(3)):
+                media = x.as_py()
+                codec, _, p = parse_wave(media)
+                samples = np.frombuffer(pcm.as_py(), "<i2")
+                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{codec};{features(samples)}"))
+            columns = list(zip(*rows)) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(columns, kinds)]], names=names)
+
+    return stored.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
+def store_and_describe(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", parts: int = PARTS) -> DataFrame:
+    """The query's whole way: texts become media, the media are stored, decoded and resampled; the PCM is stored beside
+    them, and all is read back and described.
+
+    Uncompressed PCM at twice the rate takes 4 to 8 bytes for a byte of media, so a part of the media (by hash of their
+    bytes) is stored with its PCM, described, and its PCM removed before the next; ``pcm_column`` keeps it. Null and empty texts give
+    64 bytes 0; equal texts give equal values; a null id stays null; repeated rows are described once each; other
+    columns of any name are ignored; an empty table gives an empty result.
     """
-    return media_digests(store_texts(docs, id_column, text_column))
+    media = store_texts(docs, id_column, text_column)
+    out = []
+    for k in range(parts):
+        own = media.where(F.pmod(F.xxhash64("media"), F.lit(parts)) == k)
+        stored = write_table(pcm_column(own), "pcm")
+        out.append(write_table(pcm_digests(stored), "described"))
+        drop_tables(stored)
+    drop_tables(media)
+    return reduce(DataFrame.union, out)
