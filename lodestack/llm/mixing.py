@@ -108,16 +108,17 @@ def dealt(docs: DataFrame, seed: int, id_column: str, text_column: str, source_c
     }
 
 
-def ranked_blocks(own: DataFrame, target: Target, budget: int | None, seed: int) -> DataFrame:
+def ranked_blocks(own: DataFrame, target: Target, budget: int | None, seed: int, passes: float = 1.0) -> DataFrame:
     """source, block, epoch, place, left, tokens: the blocks that each pass takes, in its order, with the budget left.
 
     own: a written table of source, block, n_tokens. A block with tokens <= left is taken whole, else in part.
     """
     blocks = write_table(own.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens")), "blocks")
     tokens = {r.source: r.tokens for r in blocks.groupBy("source").agg(F.sum("tokens").alias("tokens")).collect()}
-    given = budgets(tokens, target, sum(tokens.values()) if budget is None else budget)
-    passes = [(k, e, b - e * tokens[k]) for k, b in sorted(given.items()) for e in range(math.ceil(b / tokens[k]))]
-    plan = local(own.sparkSession, passes, {"source": "string", "epoch": "int", "room": "long"})
+    given = budgets(tokens, target, int(passes * sum(tokens.values())) if budget is None else budget)
+    plan = local(own.sparkSession, [(k, b, tokens[k]) for k, b in sorted(given.items()) if b], {"source": "string", "given": "long", "of": "long"})
+    epochs = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(given - 1) div of")))
+    plan = plan.select("source", "given", "of", epochs.alias("_e")).select("source", F.col("_e").cast("int").alias("epoch"), (F.col("given") - F.col("_e") * F.col("of")).alias("room"))
     order = Window.partitionBy("source", "epoch").orderBy("_h", "block")
     out = blocks.join(plan, "source").withColumn("_h", F.xxhash64("source", "epoch", "block", F.lit(seed)))
     out = out.withColumn("before", F.sum("tokens").over(order) - F.col("tokens")).withColumn("place", F.row_number().over(order) - 1)
@@ -126,9 +127,21 @@ def ranked_blocks(own: DataFrame, target: Target, budget: int | None, seed: int)
 
 
 def cut(rows: DataFrame, seed: int, source: str, doc: str, tokens: str) -> DataFrame:
-    """Of rows of partly taken blocks (with epoch and left) those that the budget reaches, in a hashed order."""
-    order = Window.partitionBy(source, "epoch").orderBy(F.xxhash64(doc, "epoch", F.lit(seed)), doc, tokens).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("_before", F.coalesce(F.sum(tokens).over(order), F.lit(0))).where("_before < left").drop("_before")
+    """Of rows of partly taken blocks (with epoch and left) those that the budget reaches, in a hashed order.
+
+    A block's rows are dealt to BLOCKS smaller blocks, which are taken in order; only the one where the budget ends is
+    ordered row by row, so no task holds more than that. Equal rows may share a smaller block: they are ordered there.
+    """
+    small = F.pmod(F.xxhash64(doc, "epoch", F.lit(seed), F.lit("small")), F.lit(BLOCKS)).cast("int")
+    dealt = rows.withColumn("_small", small)
+    sums = dealt.groupBy(F.col(source).alias("_cs"), F.col("epoch").alias("_ce"), F.col("_small").alias("_cb"), F.col("left").alias("_cl")).agg(F.sum(tokens).alias("_cn"))
+    upto = Window.partitionBy("_cs", "_ce").orderBy("_cb").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_cr", F.col("_cl") - F.coalesce(F.sum("_cn").over(upto), F.lit(0))).where("_cr > 0").drop("_cl")
+    both = dealt.join(sums, (F.col(source) == F.col("_cs")) & (F.col("epoch") == F.col("_ce")) & (F.col("_small") == F.col("_cb")))
+    columns = rows.columns
+    order = Window.partitionBy("_cs", "_ce").orderBy(F.xxhash64(doc, "epoch", F.lit(seed)), doc, tokens).rowsBetween(Window.unboundedPreceding, -1)
+    last = both.where("_cn > _cr").withColumn("_before", F.coalesce(F.sum(tokens).over(order), F.lit(0))).where("_before < _cr")
+    return both.where("_cn <= _cr").select(*columns).union(last.select(*columns))
 
 
 def beside(df: DataFrame) -> DataFrame:
@@ -136,18 +149,18 @@ def beside(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def mix(docs: DataFrame, target: Target = Target(), budget: int | None = None, seed: int = 42, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """doc_id, source, n_tokens, epoch, block, place: the documents drawn, once for each pass that draws them.
+def mix(docs: DataFrame, target: Target = Target(), budget: int | None = None, seed: int = 42, passes: float = 1.0, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """doc_id, source, n_words, epoch, block, place: the documents drawn, once for each pass that draws them.
 
-    ``budget``: tokens to draw, by default as many as there are. Tokens are words. Null sources are one source (""),
+    ``budget``: words to draw, by default ``passes`` times as many as there are. Words are what is counted for tokens. Null sources are one source (""),
     null texts and ids are as good as any, documents without words come with their block (a source without any word
     is not drawn); repeated rows are drawn each for itself; other columns are ignored; an empty table draws nothing. A
     source may hold any share of the rows: documents are joined with their block's row only, and only the block where
     a budget ends is ordered.
     """
     own = write_table(docs.select(*[c.alias(k) for k, c in dealt(docs, seed, id_column, text_column, source_column).items()]), "sized")
-    ranked = ranked_blocks(own, target, budget, seed)
-    names = ["doc_id", "source", "n_tokens", "epoch", "block", "place"]
+    ranked = ranked_blocks(own, target, budget, seed, passes)
+    names = ["doc_id", "source", F.col("n_tokens").alias("n_words"), "epoch", "block", "place"]
     whole = own.join(beside(ranked.where("tokens <= left").drop("left", "tokens")), ["source", "block"])
     part = cut(own.join(beside(ranked.where("tokens > left").drop("tokens")), ["source", "block"]), seed, "source", "doc_id", "n_tokens")
     return whole.select(*names).union(part.select(*names))

@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestack.llm.mixing import Target
+
 SEQUENCE_TOKENS = 4096
 TOKEN_LIMIT = 2048
 SHARDS = 40
+#: Sources are flattened to nearly even weights, over half as many words again as there are: entropy and repeats both bind.
+MIX_TARGET = Target(entropy=0.99999, repeats=4.0)
+MIX_PASSES = 1.5
 
 
 def tokenizer(name: str) -> str:
@@ -60,7 +65,7 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestack.llm.mixing import mix
 
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(table(spark, sf_dir, "documents"), MIX_TARGET, passes=MIX_PASSES)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
