@@ -1,8 +1,8 @@
 """Token counts by a map-side two-tier lookup.
 
-Tier one is a broadcast table of the corpus's frequent pre-tokens with their token counts, of a fixed size; tier two
-is each worker's cache of the others, filled through the library. Pre-tokens never meet in a shuffle: a task reports
-its own most frequent ones only, and those choose what tier one holds. The counts themselves never depend on it.
+Tier one is a broadcast table of frequent pre-tokens with their token counts, of a fixed size; tier two is each worker's
+cache of the others, filled through the library. Pre-tokens never meet in a shuffle: what tier one holds is chosen from
+a bounded sample of whole documents, which one task cuts. The counts themselves never depend on it.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ from lodestack.llm.pieces import GENERATION, PIECE_CHARS, pieces_of
 
 #: Pre-tokens in the broadcast table: at most this many of at most PIECE_CHARS characters.
 FREQUENT = 20_000
-#: Distinct pre-tokens that a task counts at once; beyond it the rarer half is forgotten.
-TASK_COUNTED = 200_000
-#: Pre-tokens that a task reports.
-TASK_REPORTED = 4_000
+#: Documents whose pre-tokens choose the table: those with the least hashes of their texts.
+SAMPLED = 2_000
+#: Distinct pre-tokens of the sample that are counted at once; beyond it the rarer half is forgotten.
+COUNTED = 400_000
 
 
 class FrequentTable:
@@ -37,24 +37,24 @@ class FrequentTable:
         return dict(zip(zlib.decompress(self.text).decode().split("\x00"), self.counts.tolist())) if len(self.counts) else {}
 
 
-def frequent_pieces(docs: DataFrame, tokenizer: str, text_column: str = "text", most: int = FREQUENT) -> FrequentTable:
-    """The most frequent pre-tokens over all documents, as far as tasks with bounded memory see them."""
+def frequent_pieces(docs: DataFrame, tokenizer: str, text_column: str = "text", most: int = FREQUENT, sampled: int = SAMPLED) -> FrequentTable:
+    """The most frequent pre-tokens of ``sampled`` whole documents with their numbers of tokens; an empty table has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, seen = pieces_of(tokenizer).cut, Counter()
+        own, seen = pieces_of(tokenizer), Counter()
         for batch in batches:
             for text in batch.column(0):
-                seen.update(cut(text.as_py() or "") or ())
-                if len(seen) > TASK_COUNTED:
-                    seen = Counter(dict(seen.most_common(TASK_COUNTED // 2)))
-        top = [(p, n) for p, n in seen.most_common(TASK_REPORTED) if len(p) <= PIECE_CHARS and "\x00" not in p]
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["piece", "n"])
-
-    told = docs.select(F.col(text_column).alias("text")).mapInArrow(run, "piece string, n long")
-    rows = told.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(most).collect()
-    pieces = [r.piece for r in rows]
-    own = pieces_of(tokenizer)
-    return FrequentTable(pieces, [len(own.whole(p)) // 4 for p in pieces])
+                seen.update(own.cut(text.as_py() or "") or ())
+                if len(seen) > COUNTED:
+                    seen = Counter(dict(seen.most_common(COUNTED // 2)))
+        fit = [p for p in seen if len(p) <= PIECE_CHARS and "\x00" not in p]
+        top = sorted(fit, key=lambda p: (-seen[p], p))[:most]
+        yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), pa.array([len(own.whole(p)) // 4 for p in top], pa.int64())], names=["piece", "n"])
+
+    text = F.col(text_column)
+    some = docs.where(text.isNotNull()).select(text.alias("text"), F.xxhash64(text).alias("h")).orderBy("h").limit(sampled).coalesce(1)
+    rows = some.select("text").mapInArrow(run, "piece string, n long").collect()
+    return FrequentTable([r.piece for r in rows], [r.n for r in rows])
 
 
 class Counts:
