@@ -5,7 +5,10 @@ the file's tokens and shared by all of its blocks. A block of BLOCK_TOKENS token
 and starts from states of its own, kept in its checkpoint with the block's place, its first token and checksums, so
 blocks are decoded independently; numpy steps through all blocks of a file at once.
 
-    magic, header length | header: counts, table (zlib) | document lengths (zlib) | checkpoints | blocks' words
+    magic, header length | header: counts, table (zlib) | documents' lengths and ids (zlib) | checkpoints | blocks' words
+
+Files are named by part and number, in the order of ids, and hold all that is read from them: a folder's headers give the
+number of ids before each file.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -34,6 +37,8 @@ WORD = np.uint64(32)
 MOST_BOUNDS = 512
 #: Rows that a task encodes before it starts another file, in tokens.
 FILE_TOKENS = 8_000_000
+#: Files whose sizes are summed up together when starts are counted.
+FILE_GROUP = 4_096
 CHECKPOINT = np.dtype([("words", "<u8"), ("n_words", "<u4"), ("n_tokens", "<u4"), ("words_crc32", "<u4"), ("ids_crc32", "<u4"), ("states", "<u8", (LANES,))])
 
 
@@ -84,12 +89,14 @@ def decode_blocks(states: np.ndarray, words: np.ndarray, at: np.ndarray, steps:
     return out
 
 
-def pack_file(ids: np.ndarray, lengths: np.ndarray) -> bytes:
-    """The file of these documents: all ids in order, and each document's number of ids."""
+def pack_file(ids: np.ndarray, lengths: np.ndarray, doc_ids: list[int | None] | None = None) -> bytes:
+    """The file of these documents: all ids in order, and each document's number of ids and id (may be null)."""
     counts = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)
     used = np.flatnonzero(counts)
     table = zlib.compress(np.stack((used, counts[used])).astype("<u8").tobytes(), 6)
-    docs = zlib.compress(lengths.astype("<u4").tobytes(), 6)
+    named = [None] * len(lengths) if doc_ids is None else doc_ids
+    known = np.array([x is not None for x in named], np.uint8)
+    docs = zlib.compress(lengths.astype("<u4").tobytes() + known.tobytes() + np.array([x or 0 for x in named], "<i8").tobytes(), 6)
     points, parts = np.zeros(-(-len(ids) // BLOCK_TOKENS), CHECKPOINT), []
     if len(ids):
         freq = scaled(counts[used])
@@ -128,11 +135,14 @@ class IdFile:
         if zlib.crc32(data[at:body]) != crc:
             raise ValueError("the header's checksum differs")
         used, counts = np.frombuffer(zlib.decompress(data[at : at + n_table]), "<u8").reshape(2, -1)
-        self.lengths = np.frombuffer(zlib.decompress(data[at + n_table : at + n_table + n_lengths]), "<u4")
+        told = zlib.decompress(data[at + n_table : at + n_table + n_lengths])
+        if len(told) != 13 * n_docs:
+            raise ValueError("the number of documents differs")
+        self.lengths = np.frombuffer(told, "<u4", n_docs)
+        known = np.frombuffer(told, np.uint8, n_docs, 4 * n_docs)
+        self.doc_ids = pa.array(np.frombuffer(told, "<i8", n_docs, 5 * n_docs), pa.int64(), mask=known == 0)
         self.points = np.frombuffer(data, CHECKPOINT, n_points, at + n_table + n_lengths)
         self.words = np.frombuffer(data, "<u4", -1, body) if len(data) > body else np.zeros(0, "<u4")
-        if len(self.lengths) != n_docs:
-            raise ValueError("the number of documents differs")
         self.used = used.astype(np.uint32)
         if len(used):
             self.freq = scaled(counts)
@@ -210,11 +220,8 @@ def bucket(bounds: list[int]):
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text", part_rows: int = 8_000) -> DataFrame:
-    """Encodes whole documents and writes their files in ascending order of ids under path; a written index.
-
-    index: part, file (number within its part), uri, n_docs, n_tokens, doc_ids (array<long>), start (tokens in all
-    files before). Null texts are the end id alone; null ids come first.
-    """
+    """Encodes whole documents and writes their files in ascending order of ids under path; a written table of uri,
+    n_docs, n_tokens, for reports: the files are read without it. Null texts are the end id alone; null ids come first."""
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,9 +234,9 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_co
 
         def flush() -> pa.RecordBatch:
             data = np.frombuffer(b"".join(coded), "<u4")
-            uri = f"{path}/part-{part:06d}-{number:04d}.rans"
-            put(uri, pack_file(data, np.array([len(x) // 4 for x in coded], np.int64)))
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([uri]), pa.array([len(coded)], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64()))], names=["part", "file", "uri", "n_docs", "n_tokens", "doc_ids"])
+            uri = f"{path}/part-{part:08d}-{number:06d}.rans"
+            put(uri, pack_file(data, np.array([len(x) // 4 for x in coded], np.int64), doc_ids))
+            return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([len(coded)], pa.int64()), pa.array([len(data)], pa.int64())], names=["uri", "n_docs", "n_tokens"])
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -244,34 +251,71 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_co
             yield flush()
 
     dealt = dealt_by_id(docs, id_column, text_column, part_rows)
-    index = write_table(dealt.mapInArrow(run, "part int, file int, uri string, n_docs long, n_tokens long, doc_ids array<long>"), "index")
-    running = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
-    starts = index.select("part", "file", "n_tokens").withColumn("start", F.coalesce(F.sum("n_tokens").over(running), F.lit(0))).drop("n_tokens")
-    return index.join(starts, ["part", "file"])
+    return write_table(dealt.mapInArrow(run, "uri string, n_docs long, n_tokens long"), "index")
+
+
+def files_in(path: str) -> list[str]:
+    """The URIs of a folder's id files, in order; none where there is no such folder."""
+    from pyarrow import fs
+
+    store, own = fs.FileSystem.from_uri(path)
+    scheme = path[: len(path) - len(own)]
+    found = store.get_file_info(fs.FileSelector(own, allow_not_found=True))
+    return sorted(scheme + x.path for x in found if x.base_name.endswith(".rans"))
+
+
+def header_tokens(uri: str) -> int:
+    """The number of ids in a file, from its first bytes."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(uri)
+    with store.open_input_file(path) as f:
+        head = f.read(20)
+    if head[:8] != MAGIC:
+        raise ValueError(f"{uri} is not an id file")
+    return struct.unpack_from("<Q", head, 12)[0]
+
+
+def file_starts(spark: SparkSession, path: str) -> DataFrame:
+    """uri, start (ids in all files before) of a folder's files, from their headers; a written table. Sums run over
+    groups of FILE_GROUP files first, so no task orders all files."""
+    uris = [(k, u) for k, u in enumerate(files_in(path))]
+    listed = spark.createDataFrame(uris, "place long, uri string").repartition(max(1, min(len(uris), 4 * spark.sparkContext.defaultParallelism)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([header_tokens(u) for u in batch.column(1).to_pylist()], pa.int64())], names=["place", "uri", "n"])
+
+    sized = write_table(listed.mapInArrow(run, "place long, uri string, n long"), "headers").withColumn("_g", F.expr(f"place div {FILE_GROUP}"))
+    before = lambda w, n: F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sized.groupBy("_g").agg(F.sum("n").alias("_n")).select("_g", before(Window.orderBy("_g"), "_n").alias("_base"))
+    own = sized.join(F.broadcast(groups), "_g")  # a row for FILE_GROUP files
+    return write_table(own.select("uri", (F.col("_base") + before(Window.partitionBy("_g").orderBy("place"), "n")).cast("long").alias("start")), "starts")
 
 
-def read_ids(index: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document of an index's files, decoded from the files."""
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document of a folder's files, all of it from the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri, doc_ids, start in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for uri, start in zip(*(batch.column(k).to_pylist() for k in range(2))):
                 own = IdFile(get(uri))
                 data = memoryview(own.ids().astype("<u4").tobytes())
                 edges = np.concatenate(([0], np.cumsum(own.lengths, dtype=np.int64)))
                 crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + edges[:-1]), pa.array(own.lengths.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([own.doc_ids, pa.array(start + edges[:-1]), pa.array(own.lengths.astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = index.select("uri", "doc_ids", "start")
-    spread = files.repartition(max(1, files.sparkSession.sparkContext.defaultParallelism * 4), "uri")
+    spread = file_starts(spark, path).repartition(max(1, spark.sparkContext.defaultParallelism * 4), "uri")
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def write_and_read(docs: DataFrame, tokenizer: str, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The query's whole way: files in the shared folder, then each document from the files.
+    """The query's whole way: files in the shared folder, then each document from the files alone.
 
     Null texts count as empty, null ids come first and stay null, repeated rows are written once each, equal ids are
     ordered by text, other columns are ignored, an empty table writes no file and gives an empty result.
     """
-    path = f"{shared_dir(docs.sparkSession)}/ids"
-    return read_ids(write_ids(docs, tokenizer, path, end_id, id_column, text_column))
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/ids"
+    write_ids(docs, tokenizer, path, end_id, id_column, text_column)
+    return read_ids(spark, path)
