@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestack.llm.common import drop_tables, words_of, write_table
+from lodestack.llm.common import drop_tables, tidy, words_of, write_table
 
 #: A document is rejected above this quantile of its language's trusted, held-out documents plus a margin in nats;
 #: the margin has a part that falls with the root of the document's words, as chance does.
@@ -46,7 +46,7 @@ BLOCK_BYTES = 6_000_000
 #: Texts of a block: their places are 16 bits wide.
 BLOCK_TEXTS = 60_000
 #: Parts by middle word that are counted and joined one after the other.
-ROUNDS = 12
+ROUNDS = 4
 #: Weights of one shard, which a task holds at a time.
 SHARD_WEIGHTS = 4_000_000
 #: Keys of a block that travel as one row.
@@ -193,7 +193,8 @@ def counts_of_counts(counts: DataFrame) -> dict[int, tuple[int, ...]]:
     """By language (a row each): how many counts are 1, 2, 3, 4 and above 2; their sum; the rows."""
     n = F.col("n")
     own = counts.groupBy("l").agg(*[F.count_if(n == k) for k in (1, 2, 3, 4)], F.count_if(n > 2), F.sum("n"), F.count(F.lit(1)))
-    return {r[0]: tuple(r)[1:] for r in own.collect()}
+    with tidy(counts.sparkSession):
+        return {r[0]: tuple(r)[1:] for r in own.collect()}
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
@@ -428,7 +429,8 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     spark, out = docs.sparkSession, []
     for k in range(model.rounds):
         weights, done = model.weights(k)
-        shards = max(spark.sparkContext.defaultParallelism, -(-weights.count() // SHARD_WEIGHTS))
+        with tidy(spark):
+            shards = max(spark.sparkContext.defaultParallelism, -(-weights.count() // SHARD_WEIGHTS))
         found = met(weights, document_ngrams(docs, set(model.base), k, model.rounds, shards), shards)
         # a text of several blocks was asked for by each of them
         out.append(write_table(found.select("d", (F.col("w") / F.col("s")).alias("w")), "sums"))
