@@ -20,10 +20,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import write_table
+from lodestack.llm.common import drop_tables, write_table
 
 THRESHOLD = 2
 SEED = 42
@@ -66,14 +66,20 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fp (long: the 64 bits) of every whole text."""
+    """doc_id, h (Spark's xxhash64 of the text; null counts as empty) and fp (long: the 64 bits) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(x.as_py(), words) for x in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(x.as_py(), words) for x in batch.column(2)], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "h", "fp"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    own = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_hash(F.col(text_column)).alias("h"), F.col(text_column).alias("text"))
+    return own.mapInArrow(run, "doc_id long, h long, fp long")
+
+
+def text_hash(text: Column) -> Column:
+    """Tells rows of one id with different texts apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 #: Hamming [31, 26]: position i (1 to 31) has parity check i; a word's syndrome is the xor of its set positions.
@@ -242,6 +248,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         after = write_table(after, f"stars{k}")
         told = after.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h")).first()
         same = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h")).first()
+        drop_tables(now)
         now = after
         if told == same:
             break
@@ -257,25 +264,40 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     fingerprints and components. Null ids keep their fingerprint and get the component of the others with it, or null
     where there is none. Other columns of any name are ignored; an empty table gives an empty result.
     """
-    own = write_table(fingerprints(docs, id_column, text_column, words), "fingerprints")
-    distinct = write_table(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct))
-    member = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    own, member = grouped_fingerprints(docs, id_column, text_column, words)
     lowest = member.groupBy("root").agg(F.min("least").alias("component_id"))
     by = member.join(lowest, "root").select("fp", "component_id")
     return own.join(by, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", groups: Callable[..., DataFrame] = near_duplicates) -> DataFrame:
-    """docs with one document of each component of ``groups``: that with the smallest id; one row of it where the row is repeated.
+def grouped_fingerprints(docs: DataFrame, id_column: str, text_column: str, words: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, fp of every row; fp, least id, root of every fingerprint), the first a written table."""
+    own = write_table(fingerprints(docs, id_column, text_column, words), "fingerprints")
+    distinct = write_table(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(links(distinct))
+    return own, distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
+def groups_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, h, root: each row's id, text hash and component (a fingerprint)."""
+    own, member = grouped_fingerprints(docs, id_column, text_column, SHINGLE_WORDS)
+    return own.join(member.select("fp", "root"), "fp").select("doc_id", "h", "root")
+
+
+def first_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", groups: Callable[..., DataFrame] = groups_of) -> DataFrame:
+    """docs with one row of each component of ``groups`` (doc_id, h, root): of the rows with the smallest id, those with
+    the least text hash, and of them any one.
 
-    Rows without an id cannot be compared by id and stay as they are.
+    Rows without an id cannot be compared by id and stay as they are. An id may have several texts: each row counts by
+    id and text. Columns may have any names; an empty table gives an empty result.
     """
-    own = groups(docs, id_column, text_column).where("doc_id = component_id").groupBy("doc_id").count()
-    own = write_table(own.select(F.col("doc_id").alias("_first"), (F.col("count") > 1).alias("_again")), "firsts")
+    at = F.struct("doc_id", "h")
+    first = groups(docs, id_column, text_column).where("doc_id IS NOT NULL").groupBy("root").agg(F.min(at).alias("at"))
+    # each (id, text) is in one component only
+    first = write_table(first.select(F.col("at.doc_id").alias("_i"), F.col("at.h").alias("_h")), "firsts")
+    row = docs.select(F.struct(*docs.columns).alias("_row"))
+    own = row.select("_row", F.col("_row")[id_column].cast("long").alias("_id"), text_hash(F.col("_row")[text_column]).alias("_text"))
     # texts are dealt by id at every size: the kept ids grow with the corpus and are not for broadcasting
-    kept = docs.join(own.hint("shuffle_hash"), docs[id_column] == F.col("_first"))
-    out = kept.where("not _again").select(*docs.columns)
-    if not own.where("_again").isEmpty():
-        out = out.union(kept.where("_again").select(*docs.columns).dropDuplicates([id_column]))
-    return out.union(docs.where(F.col(id_column).isNull()))
+    kept = own.join(first.hint("shuffle_hash"), (F.col("_id") == F.col("_i")) & (F.col("_text") == F.col("_h")))
+    one = kept.dropDuplicates(["_id", "_text"])
+    return one.select("_row.*").union(docs.where(F.col(id_column).isNull()))

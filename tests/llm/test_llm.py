@@ -147,6 +147,20 @@ def test_warc_round_trip(spark):
     assert warc.archive_and_read(own.limit(0)).count() == 0
 
 
+def test_warc_failed_attempts_leave_no_record(spark, tmp_path):
+    warc.register(spark)
+    path = f"file://{tmp_path}/w"
+    own = warc.records_of(pages(spark))
+    broken = own.withColumn("url", F.when(F.col("page_id") == 5, F.raise_error(F.lit("stop")).cast("string")).otherwise(F.col("url")))
+    with pytest.raises(Exception, match="stop"):
+        broken.repartition(1).write.format("warc").mode("append").save(path)
+    assert spark.read.format("warc").load(path).count() == 0
+    own.write.format("warc").mode("append").save(path)
+    own.write.format("warc").mode("append").save(path)
+    assert spark.read.format("warc").load(path).count() == 18
+    assert not list(tmp_path.glob("w/_job-*"))
+
+
 def test_warc_predicates_and_payloads(spark, tmp_path):
     warc.register(spark)
     warc.records_of(pages(spark)).write.format("warc").mode("append").save(f"file://{tmp_path}/w")
@@ -205,6 +219,15 @@ def test_text_stats(docs, empty):
     assert len(got) == docs.count() and rules.text_stats(empty).count() == 0
 
 
+def test_text_stats_beside_clashing_names(docs, empty):
+    odd = docs.select("doc_id", "text", F.lit(1).alias("_t"), F.lit(2).alias("_w"), F.lit(3).alias("N_WORDS"), F.lit(4).alias("_row"), F.lit(5).alias("_h"))
+    got = rules.text_stats(odd)
+    assert got.columns[:5] == ["doc_id", "text", "_t", "_w", "_row"] and "N_WORDS" not in got.columns
+    key = lambda df: Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in df.collect())
+    assert key(got) == key(rules.text_stats(docs))
+    assert rules.text_stats(empty).count() == 0
+
+
 def test_rules_are_learned_and_judge(spark, empty):
     rng = random.Random(3)
     rows = []
@@ -369,6 +392,13 @@ def test_near_duplicates(docs, empty):
     want = Counter((i, least.get(find(k))) for k, (i, _) in enumerate(own))
     assert Counter((r.doc_id, r.component_id) for r in got) == want
     assert simhash.near_duplicates(empty).count() == 0 and simhash.first_of_each(empty).count() == 0
+    spark = docs.sparkSession
+    for groups in (simhash.groups_of, nearcopies.groups_of):
+        again = lambda rows, groups=groups: sorted((r.doc_id, r.text) for r in simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string, _first int, _again int"), groups=groups).collect())
+        a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+        assert again([(5, a, 1, 1), (5, c, 1, 1)]) == [(5, a), (5, c)]
+        got = again([(5, a, 1, 1), (5, b, 1, 1), (3, b, 1, 1), (7, a, 1, 1), (7, c, 1, 1), (7, c, 2, 1)])
+        assert got == [(3, b), (5, a), (7, c)]
     firsts = simhash.first_of_each(docs)
     assert firsts.columns == docs.columns
     assert sorted(r.doc_id for r in firsts.where("doc_id IS NOT NULL").collect()) == sorted(set(least.values()))
@@ -452,13 +482,13 @@ def test_mixing(docs, empty):
     n = {i: len(WORD.findall(x)) for i, x in texts(docs)}
     source = {r.doc_id: r.source or "" for r in docs.collect()}
     rows = Counter(i for i, _ in texts(docs))
-    assert all(r.n_tokens == n[r.doc_id] and r.source == source[r.doc_id] for r in drawn)
+    assert all(r.n_words == n[r.doc_id] and r.source == source[r.doc_id] for r in drawn)
     totals = Counter()
     for i, k in rows.items():
         totals[source[i]] += k * n[i]
     want = mixing.budgets(totals, target, sum(totals.values()))
     for s, budget in want.items():
-        got = sum(r.n_tokens for r in drawn if r.source == s)
+        got = sum(r.n_words for r in drawn if r.source == s)
         assert budget <= got < budget + max(n.values()) + 1
     seen = Counter((r.doc_id, r.epoch) for r in drawn)
     assert all(v <= rows[i] for (i, _), v in seen.items())
@@ -471,6 +501,49 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
+def test_mixing_binds_over_many_passes(spark):
+    """Weights, budgets and blocks by a plain version of their own."""
+    import math
+
+    rows = [(k, " ".join(["w"] * (1 + k % 9)), "abc"[min(k // 20, 2)]) for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    drawn = mixing.mix(df, mixing.Target(0.97, 40.0), passes=1.5).collect()
+    size = {i: 1 + i % 9 for i, _, _ in rows}
+    total = Counter()
+    for i, _, s in rows:
+        total[s] += size[i]
+    budget = int(1.5 * sum(total.values()))
+
+    def flat(e):
+        w = {s: (n / sum(total.values())) ** e for s, n in total.items()}
+        return {s: v / sum(w.values()) for s, v in w.items()}
+
+    even = [e / 100_000 for e in range(100_001) if -sum(v * math.log(v) for v in flat(e / 100_000).values()) >= 0.97 * math.log(3)]
+    want = flat(max(even))
+    assert 0.1 < max(even) < 0.9
+    for s, n in total.items():
+        got = [r for r in drawn if r.source == s]
+        assert abs(sum(r.n_words for r in got) - want[s] * budget) < 10 + 1e-4 * budget
+        last = max(r.epoch for r in got)
+        own = Counter(i for i, _, x in rows if x == s)
+        for e in range(last):
+            assert Counter(r.doc_id for r in got if r.epoch == e) == own
+        place = {r.block: r.place for r in got if r.epoch == last}
+        whole = {b: sum(size[r.doc_id] for r in drawn if r.source == s and r.epoch == 0 and r.block == b) for b in place} if last else {}
+        taken = Counter()
+        for r in got:
+            taken[r.block] += r.n_words * (r.epoch == last)
+        short = [b for b in whole if taken[b] < whole[b]]
+        assert all(place[b] == max(place.values()) for b in short) and len(short) <= 1
+    assert max(r.epoch for r in drawn if r.source == "a") > 5
+
+
+def test_a_partly_taken_block_is_cut_in_smaller_blocks(spark):
+    rows = spark.createDataFrame([(k, "s", 0, 1 + k % 4, 700) for k in range(1_000)], "doc long, source string, epoch int, n long, left long")
+    got = [r.n for r in mixing.cut(rows, 1, "source", "doc", "n").collect()]
+    assert 700 <= sum(got) < 704
+
+
 # sharding -----------------------------------------------------------------------------------------------------------
 
 
@@ -583,10 +656,13 @@ def test_id_files_are_small_and_checked():
             rans.IdFile(bytes(broken)).ids()
 
 
-def test_ids_written_and_read(docs, empty):
+def test_ids_written_and_read(docs, empty, monkeypatch):
     t = library("byte_bpe_50k.json")
-    index = rans.write_ids(docs, tokenizer("byte_bpe_50k.json"), rans.shared_dir(docs.sparkSession), 2, part_rows=25)
-    got = rans.read_ids(index).collect()
+    monkeypatch.setattr(rans, "FILE_GROUP", 2)
+    path = rans.shared_dir(docs.sparkSession)
+    index = rans.write_ids(docs, tokenizer("byte_bpe_50k.json"), path, 2, part_rows=25)
+    assert index.count() > 3 and sorted(r.uri for r in index.collect()) == rans.files_in(path)
+    got = rans.read_ids(docs.sparkSession, path).collect()  # the folder alone
     assert index.count() > 3
     own = sorted(((i is not None, i or 0, x, i) for i, x in texts(docs)))
     at, want = 0, []
