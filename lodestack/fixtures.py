@@ -152,17 +152,18 @@ base AS (SELECT path, kind, sha256(v) AS hash FROM own WHERE k % 10 <> 9),
 ours AS (SELECT path, kind, sha256(CASE WHEN k % 7 = 1 THEN v || '1' ELSE v END) AS hash FROM own WHERE (k % 10 <> 9 OR k % 20 = 9) AND k % 11 <> 2),
 theirs AS (SELECT path, kind, sha256(CASE WHEN k % 7 = 2 THEN v || '2' ELSE v END) AS hash FROM own WHERE (k % 10 <> 9 OR k % 20 = 19) AND k % 11 <> 3)"""
 
-#: Commits of the derived history: the first so many orders.
-COMMITS = 90
+#: Commits of one of the histories that orders are dealt to. Each begins at the first commit of the history with half
+#: its number, so the whole graph is connected and its depth grows with the logarithm of the orders.
+LANE = 16
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A commit graph over orders 0 to COMMITS - 1: i's first parent is i - 1 or i - 2, every fifth merges i // 2."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderkey") < COMMITS)
-    i = F.col("o_orderkey")
-    first = F.when(i % 3 == 0, i - 2).otherwise(i - 1)
-    second = F.when((i % 5 == 0) & (i > 4), F.floor(i / 2).cast("long"))
-    parents = F.filter(F.array(first, second), lambda p: p.isNotNull() & (p >= 0))
+    """A commit graph over all orders: within a history j's first parent is j - 1 or j - 2, every fifth merges j // 2."""
+    o = table(spark, sf_dir, "orders")
+    i, lane, j = F.col("o_orderkey"), F.expr(f"o_orderkey div {LANE}"), F.col("o_orderkey") % LANE
+    first = F.when((j == 0) & (lane > 0), F.expr(f"(o_orderkey div {2 * LANE}) * {LANE}")).when((j % 3 == 0) & (j > 0), i - 2).when(j > 0, i - 1)
+    second = F.when((j % 5 == 0) & (j > 4), lane * LANE + F.expr(f"(o_orderkey % {LANE}) div 2"))
+    parents = F.filter(F.array(first.cast("long"), second.cast("long")), lambda p: p.isNotNull())
     return o.select(commit_hash(i).alias("hash"), F.transform(parents, commit_hash).alias("parents"), i.alias("ts"))
 
 
@@ -170,6 +171,36 @@ def commit_hash(i):
     return F.sha2(F.concat(F.lit("c"), i.cast("string")), 256)
 
 
-COMMITS_SQL = f"""numbered AS (SELECT o_orderkey AS i, list_filter([CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey - 2 ELSE o_orderkey - 1 END,
-    CASE WHEN o_orderkey % 5 = 0 AND o_orderkey > 4 THEN o_orderkey // 2 END], lambda p: p IS NOT NULL AND p >= 0) AS ps FROM orders WHERE o_orderkey < {COMMITS}),
+COMMITS_SQL = f"""numbered AS (SELECT o_orderkey AS i, list_filter([CASE WHEN o_orderkey % {LANE} = 0 THEN CASE WHEN o_orderkey >= {LANE} THEN o_orderkey // {2 * LANE} * {LANE} END WHEN o_orderkey % {LANE} % 3 = 0 THEN o_orderkey - 2 ELSE o_orderkey - 1 END,
+    CASE WHEN o_orderkey % {LANE} % 5 = 0 AND o_orderkey % {LANE} > 4 THEN o_orderkey // {LANE} * {LANE} + o_orderkey % {LANE} // 2 END], lambda p: p IS NOT NULL) AS ps FROM orders),
 commits AS (SELECT sha256('c' || i) AS hash, list_transform(ps, lambda p: sha256('c' || p)) AS parents, i AS ts FROM numbered)"""
+
+
+def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(base, ours, theirs): path, mode, kind, hash of nested trees; each side edits, adds, deletes, changes modes and
+    kinds in some directories and leaves others as they are."""
+    o = table(spark, sf_dir, "orders")
+    k, d = F.col("o_orderkey"), F.col("o_orderkey") % 97
+
+    def side(edit: int, drop: int, add: int, dirs: int) -> DataFrame:
+        """edit 0: the base."""
+        touched = (d % 6).isin(dirs, 4, 5) if edit else F.lit(False)
+        own = o.where((k % 10 != 9) | (touched & (k % 20 == add))).where(~(touched & (k % 11 == drop)))
+        kind = F.when(touched & (k % 37 == edit), "file").when((k % 13 == 0) | (touched & (k % 17 == edit)), "symlink").otherwise("file")
+        mode = F.when(touched & (k % 19 == edit), 493).otherwise(420).cast("long")
+        value = F.when(touched & ((k % 7 == edit) | (k % 23 == 0)), F.concat("o_orderstatus", F.when(k % 46 == 0, F.lit("x")).otherwise(F.lit(str(edit))))).otherwise(F.col("o_orderstatus"))
+        path = F.concat(F.lit("/o/"), d % 6, F.lit("/"), d, F.lit("/"), k)
+        return own.select(path.alias("path"), mode.alias("mode"), kind.alias("kind"), F.sha2(value, 256).alias("hash"))
+
+    return side(0, -1, -1, -1), side(1, 2, 9, 1), side(2, 3, 19, 2)
+
+
+def version_sql(name: str, edit: int, drop: int, add: int, dirs: int) -> str:
+    touched = f"(k % 97 % 6 IN ({dirs}, 4, 5))" if edit else "false"
+    return f"""{name} AS (SELECT '/o/' || (k % 97 % 6) || '/' || (k % 97) || '/' || k AS path, CASE WHEN {touched} AND k % 19 = {edit} THEN 493 ELSE 420 END AS mode,
+    CASE WHEN {touched} AND k % 37 = {edit} THEN 'file' WHEN k % 13 = 0 OR ({touched} AND k % 17 = {edit}) THEN 'symlink' ELSE 'file' END AS kind,
+    sha256(CASE WHEN {touched} AND (k % 7 = {edit} OR k % 23 = 0) THEN v || CASE WHEN k % 46 = 0 THEN 'x' ELSE '{edit}' END ELSE v END) AS hash
+    FROM ord WHERE (k % 10 <> 9 OR ({touched} AND k % 20 = {add})) AND NOT ({touched} AND k % 11 = {drop}))"""
+
+
+VERSIONS_SQL = ",\n".join(["ord AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders)", version_sql("base", 0, -1, -1, -1), version_sql("ours", 1, 2, 9, 1), version_sql("theirs", 2, 3, 19, 2)])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestack.functions.expressions import decode_runs, runs_well_formed
+from lodestack.plans.storage import ranked
 
 Run = tuple[int, int, int]
 
@@ -302,7 +303,7 @@ def carry_blame(blame: DataFrame, mapping: DataFrame, existing: DataFrame) -> Da
 def find_or_create_actor(actors: DataFrame, wanted: DataFrame, first_id: int) -> DataFrame:
     """subject, id: the actor of each wanted subject, with new ids in the order of subjects for those that have none."""
     got = wanted.select(F.col("auth_subject").alias("subject")).distinct().join(actors.select(F.col("auth_subject").alias("subject"), "id"), "subject", "left")
-    made = got.where("id IS NULL").withColumn("id", F.row_number().over(Window.orderBy("subject")) + F.lit(first_id) - 1)
+    made = ranked(got.where("id IS NULL").select("subject"), [F.col("subject")], "id").withColumn("id", F.col("id") + F.lit(first_id) - 1)
     return got.where("id IS NOT NULL").unionByName(made.withColumn("id", F.col("id").cast("long")))
 
 

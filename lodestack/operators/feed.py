@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Events of a page (fixed value).
 PAGE = 1_000
@@ -56,8 +55,9 @@ def sink_rows(feed: DataFrame) -> DataFrame:
 def latest(rows: DataFrame, tie: list[str]) -> DataFrame:
     """The newest row of each path by seq; ``tie`` columns (descending) settle equal ones, as a snapshot's rows have
     one seq and the view itself has no tie-break."""
-    order = Window.partitionBy("path").orderBy(F.desc("seq"), *[F.desc(c) for c in tie])
-    return rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
+    # combined before rows meet, so that a path with very many rows (commits are all "/") is no task's burden
+    rest = [c for c in rows.columns if c != "path"]
+    return rows.groupBy("path").agg(F.max_by(F.struct(*rest), F.struct("seq", *tie)).alias("_r")).select("path", "_r.*").select(*rows.columns)
 
 
 def current_state(rows: DataFrame, content: DataFrame, tie: list[str], cleaned: bool = False) -> DataFrame:

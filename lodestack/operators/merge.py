@@ -11,7 +11,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestack.functions.expressions import join_path
 from lodestack.operators.attribution import common_lines, split_lines
@@ -164,8 +163,8 @@ def apply_hunks(rows: DataFrame) -> DataFrame:
 
 def lock_holders(attempts: DataFrame) -> DataFrame:
     """path, owner, acquired_at: the first to ask holds the lock (ties: the least owner)."""
-    first = Window.partitionBy("path").orderBy("acquired_at", "owner")
-    return attempts.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("path", "owner", "acquired_at")
+    first = attempts.groupBy("path").agg(F.min(F.struct("acquired_at", "owner")).alias("_m"))
+    return first.select("path", "_m.owner", "_m.acquired_at")
 
 
 def release_locks(locks: DataFrame, releases: DataFrame) -> DataFrame:

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lodestack.functions.expressions import may_write, parent_path
 from lodestack.operators.tree import ancestors_of, is_inside
+from lodestack.plans.storage import ranked
 
 
 def failing(bad: Column, message: str, value: Column) -> Column:
@@ -77,8 +77,8 @@ def removal_plan(tree: DataFrame, root: str) -> DataFrame:
     """path, kind, step: files first, then directories from the deepest up."""
     depth = F.length("path") - F.length(F.replace("path", F.lit("/"), F.lit("")))
     own = tree.where(is_inside(F.col("path"), F.lit(root))).withColumn("depth", depth)
-    order = Window.partitionBy(F.lit(root)).orderBy(F.when(F.col("kind") == "dir", 1).otherwise(0), F.desc("depth"), "path")
-    return own.select("path", "kind", F.row_number().over(order).alias("step"))
+    order = [F.when(F.col("kind") == "dir", 1).otherwise(0), F.desc("depth"), F.col("path")]
+    return ranked(own.select("path", "kind", "depth"), order, "step").drop("depth")
 
 
 def symlinks(tree: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -137,8 +137,9 @@ def filtered(df: DataFrame, **wanted) -> DataFrame:
 
 def presence(heartbeats: DataFrame) -> DataFrame:
     """session_id, actor_id, path, last_seen: each session's newest heartbeat (ties: greatest path)."""
-    newest = Window.partitionBy("session_id").orderBy(F.desc("last_seen"), F.desc("path"), F.desc("actor_id"))
-    return heartbeats.withColumn("_r", F.row_number().over(newest)).where("_r = 1").drop("_r")
+    rest = [c for c in heartbeats.columns if c != "session_id"]
+    newest = F.max_by(F.struct(*rest), F.struct("last_seen", "path", "actor_id"))
+    return heartbeats.groupBy("session_id").agg(newest.alias("_r")).select("session_id", "_r.*").select(*heartbeats.columns)
 
 
 def active(rows: DataFrame, actors: DataFrame, now: int, window: int = 60) -> DataFrame:

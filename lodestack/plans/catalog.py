@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lodestack import fixtures as X
 from lodestack.functions import expressions as E
 from lodestack.operators import attribution, content, feed, history, merge, tree, workspace
+from lodestack.plans.storage import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,13 +68,14 @@ def feed_coalesced(spark, sf_dir):
 def with_content(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Sink rows whose upserts name a document's text by its hash, and that content."""
     docs = X.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_d"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("long").alias("size"), "text")
-    rows = feed.sink_rows(X.feed(spark, sf_dir)).withColumn("_d", F.when(F.col("kind") == "upsert", F.col("seq") % 150))
+    count = docs.count()
+    rows = feed.sink_rows(X.feed(spark, sf_dir)).withColumn("_d", F.when(F.col("kind") == "upsert", F.col("seq") % F.lit(count)))
     return rows.join(docs.select("_d", "sha256"), "_d", "left"), feed.distinct_content(docs.select("sha256", "size", "text"))
 
 
 CURRENT_SQL = f"""WITH {OPS_SQL}, docs AS (SELECT doc_id, sha256(text) AS sha256, text FROM documents),
 rows AS (SELECT o.seq, o.sub, o.actor_id, CASE op WHEN 'commit' THEN 'commit' ELSE op END AS kind, CASE op WHEN 'commit' THEN '/' ELSE path END AS path, branch, d.sha256
-         FROM ops o LEFT JOIN docs d ON o.op = 'upsert' AND d.doc_id = o.seq % 150 WHERE op <> 'other'),
+         FROM ops o LEFT JOIN docs d ON o.op = 'upsert' AND d.doc_id = o.seq % (SELECT count(*) FROM documents) WHERE op <> 'other'),
 content AS (SELECT DISTINCT sha256, CAST(strlen(text) AS BIGINT) AS size, text FROM docs),
 latest AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC, sub DESC) AS rn FROM rows)
 SELECT path, seq, actor_id, branch, size, text FROM latest LEFT JOIN content USING (sha256) WHERE rn = 1 AND kind <> 'delete'"""
@@ -554,10 +556,54 @@ def text_merge(spark, sf_dir):
     return done.select("path", F.sha2("data", 256).alias("hash"), "conflict")
 
 
-@query()
+def built_sql(name: str, levels: int) -> str:
+    """Trees of paths of so many directories, from the deepest up: {name}0 is the root's entries."""
+    out = [f"{name}{levels} AS (SELECT regexp_extract(path, '^(.*)/[^/]+$', 1) AS dir, regexp_extract(path, '([^/]+)$', 1) AS name, mode, kind, hash FROM {name})"]
+    for k in range(levels - 1, -1, -1):
+        out.append(f"{name}_t{k + 1} AS (SELECT dir, sha256(string_agg(mode || ' ' || kind || ' ' || hash || ' ' || name, chr(10) ORDER BY name)) AS tree_hash FROM {name}{k + 1} GROUP BY dir)")
+        out.append(f"{name}{k} AS (SELECT regexp_extract(dir, '^(.*)/[^/]+$', 1) AS dir, regexp_extract(dir, '([^/]+)$', 1) AS name, 16384 AS mode, 'dir' AS kind, tree_hash AS hash FROM {name}_t{k + 1})")
+    return ",\n".join([*out, f"{name}_t0 AS (SELECT dir, sha256(string_agg(mode || ' ' || kind || ' ' || hash || ' ' || name, chr(10) ORDER BY name)) AS tree_hash FROM {name}0 GROUP BY dir)"])
+
+
+@query(
+    f"WITH {X.VERSIONS_SQL}, {built_sql('base', 3)} "
+    + " UNION ALL ".join(f"SELECT tree_hash, dir AS path, name, CAST(mode AS BIGINT) AS mode, kind, hash FROM base{k} JOIN base_t{k} USING (dir)" for k in range(4))
+)
 def tree_build(spark, sf_dir):
-    base, _, _ = X.snapshots(spark, sf_dir)
-    return tree.build_tree(base.select("path", F.lit(0o644).cast("long").alias("mode"), "kind", "hash"), "0" * 64)
+    return tree.build_tree(X.versions(spark, sf_dir)[0], "0" * 64)
+
+
+def merged_sql(levels: int) -> str:
+    """Level by level: names of the directories that the level above enters, decided by the table of tree merges."""
+    out = []
+    for k in range(levels + 1):
+        entered = "SELECT '' AS dir" if k == 0 else f"SELECT dir || '/' || name AS dir FROM merged{k - 1} WHERE action = 'recurse'"
+        sides = {x: f"(SELECT dir, name, {{'mode': mode, 'kind': kind, 'hash': hash}} AS {x[0]} FROM {x}{k} WHERE dir IN (SELECT dir FROM enter{k}))" for x in ("base", "ours", "theirs")}
+        out.append(f"enter{k} AS ({entered})")
+        out.append(f"names{k} AS (SELECT dir, name FROM {sides['ours']} UNION SELECT dir, name FROM {sides['theirs']})")
+        changed = "o IS NOT NULL AND t IS NOT NULL AND o <> t AND b IS DISTINCT FROM o AND b IS DISTINCT FROM t"
+        out.append(
+            f"""merged{k} AS (SELECT dir, name, CASE WHEN o IS NULL OR t IS NULL THEN CASE WHEN b IS NOT NULL AND b = coalesce(o, t) THEN 'drop' ELSE 'keep' END
+              WHEN NOT ({changed}) THEN 'keep' WHEN o.kind = 'dir' AND t.kind = 'dir' THEN 'recurse' WHEN o.kind = 'file' AND t.kind = 'file' THEN 'merge_file' ELSE 'keep' END AS action,
+            CASE WHEN o IS NULL OR t IS NULL THEN coalesce(o, t) WHEN o = t OR b IS NOT DISTINCT FROM t THEN o WHEN b IS NOT DISTINCT FROM o THEN t ELSE o END AS entry,
+            CASE WHEN o IS NOT NULL AND t IS NULL AND b IS NOT NULL AND b <> o THEN 'modify/delete' WHEN o IS NULL AND t IS NOT NULL AND b IS NOT NULL AND b <> t THEN 'delete/modify'
+              WHEN {changed} AND o.kind <> t.kind THEN 'type' WHEN {changed} AND o.kind = 'symlink' THEN 'symlink' END AS conflict
+            FROM names{k} LEFT JOIN {sides['base']} USING (dir, name) LEFT JOIN {sides['ours']} USING (dir, name) LEFT JOIN {sides['theirs']} USING (dir, name))"""
+        )
+    return ",\n".join(out)
+
+
+@query(
+    f"WITH {X.VERSIONS_SQL}, {', '.join(built_sql(x, 3) for x in ('base', 'ours', 'theirs'))}, {merged_sql(3)} "
+    + " UNION ALL ".join(f"SELECT dir || '/' || name AS path, action, CAST(entry.mode AS BIGINT) AS mode, entry.kind AS kind, entry.hash AS hash, conflict FROM merged{k}" for k in range(4))
+)
+def tree_merge(spark, sf_dir):
+    sides = [settle(tree.build_tree(x, "0" * 64)) for x in X.versions(spark, sf_dir)]
+    entries = settle(sides[0].unionByName(sides[1]).unionByName(sides[2]).select("tree_hash", "name", "mode", "kind", "hash").distinct())
+    roots = [x.where("path = ''").select(F.lit("/").alias("dir"), "name", "mode", "kind", "hash") for x in sides]
+    own = merge.merge_trees(*roots, entries)
+    path = F.regexp_replace(F.concat_ws("/", "dir", "name"), "^//", "/")
+    return own.select(path.alias("path"), "action", "entry.mode", "entry.kind", "entry.hash", "conflict")
 
 
 # history -----------------------------------------------------------------------------------------------------------
@@ -566,31 +612,41 @@ EDGES_SQL = f"{X.COMMITS_SQL}, edges AS (SELECT hash AS src, unnest(parents) AS
 
 
 def reach_sql(name: str, start: str) -> str:
-    return f"{name} AS (SELECT {start} AS id, 0 AS depth UNION SELECT dst, depth + 1 FROM {name} JOIN edges ON src = id WHERE depth < {X.COMMITS})"
+    """The distances at which start (SQL of rows id) reaches each commit."""
+    return f"{name} AS (SELECT id, 0 AS depth FROM ({start}) UNION SELECT dst, depth + 1 FROM {name} JOIN edges ON src = id)"
 
 
-def commit_id(spark: SparkSession, i: int) -> DataFrame:
-    return spark.range(1).select(X.commit_hash(F.lit(i)).alias("id"))
+HEADS_SQL = "SELECT hash AS id FROM commits WHERE hash NOT IN (SELECT dst FROM edges)"
 
 
-@query(f"WITH RECURSIVE {EDGES_SQL}, {reach_sql('r', 'sha256(chr(99) || 77)')} SELECT id, min(depth) AS depth FROM r GROUP BY id")
+@query(f"WITH RECURSIVE {EDGES_SQL}, {reach_sql('r', HEADS_SQL)} SELECT id, min(depth) AS depth FROM r GROUP BY id")
 def ancestors(spark, sf_dir):
-    return history.ancestors(X.commits(spark, sf_dir), commit_id(spark, 77))
+    commits = X.commits(spark, sf_dir)
+    return history.ancestors(commits, history.infer_heads(commits).select(F.col("hash").alias("id")))
 
 
 @query(
-    f"""WITH RECURSIVE {EDGES_SQL}, {reach_sql('a', 'sha256(chr(99) || 86)')}, {reach_sql('b', 'sha256(chr(99) || 75)')},
-    common AS (SELECT id, min(depth) AS depth FROM a WHERE id IN (SELECT id FROM b) GROUP BY id),
-    above AS (SELECT dst AS id FROM edges WHERE src IN (SELECT id FROM common) UNION SELECT dst FROM above JOIN edges ON src = id)
-    SELECT id FROM common WHERE id NOT IN (SELECT id FROM above) ORDER BY depth, id LIMIT 1"""
+    f"""WITH RECURSIVE {EDGES_SQL}, pairs AS (SELECT i // {2 * X.LANE} AS pair, sha256('c' || i) AS a, sha256('c' || (i - {X.LANE + 3})) AS b FROM numbered WHERE i % {2 * X.LANE} = {2 * X.LANE - 1}),
+    r AS (SELECT pair, 0 AS side, a AS id, 0 AS depth FROM pairs UNION SELECT pair, 1, b, 0 FROM pairs UNION SELECT pair, side, dst, depth + 1 FROM r JOIN edges ON src = id),
+    common AS (SELECT pair, id, min(depth) FILTER (side = 0) AS depth FROM r GROUP BY pair, id HAVING count(DISTINCT side) = 2),
+    above AS (SELECT pair, dst AS id FROM edges JOIN common ON src = id UNION SELECT pair, dst FROM above JOIN edges ON src = id),
+    best AS (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY depth, id) AS rn FROM common ANTI JOIN above USING (pair, id))
+    SELECT pair, id FROM best WHERE rn = 1"""
 )
 def merge_base(spark, sf_dir):
-    return history.merge_base(X.commits(spark, sf_dir), commit_id(spark, 86), commit_id(spark, 75))
+    o = X.table(spark, sf_dir, "orders").where(F.col("o_orderkey") % (2 * X.LANE) == 2 * X.LANE - 1)
+    i = F.col("o_orderkey")
+    pairs = o.select(F.expr(f"o_orderkey div {2 * X.LANE}").alias("pair"), X.commit_hash(i).alias("a"), X.commit_hash(i - (X.LANE + 3)).alias("b"))
+    return history.merge_bases(X.commits(spark, sf_dir), pairs)
 
 
-@query(f"WITH RECURSIVE {X.COMMITS_SQL}, r AS (SELECT sha256('c89') AS id, 0 AS depth UNION ALL SELECT parents[1], depth + 1 FROM r JOIN commits ON hash = id WHERE len(parents) > 0) SELECT id, depth FROM r")
+@query(
+    f"""WITH RECURSIVE {EDGES_SQL}, r AS (SELECT id, 0 AS depth FROM ({HEADS_SQL}) UNION SELECT parents[1], depth + 1 FROM r JOIN commits ON hash = id WHERE len(parents) > 0)
+    SELECT id, min(depth) AS depth FROM r GROUP BY id"""
+)
 def first_parent_log(spark, sf_dir):
-    return history.first_parent_log(X.commits(spark, sf_dir), commit_id(spark, 89))
+    commits = X.commits(spark, sf_dir)
+    return history.first_parent_log(commits, history.infer_heads(commits).select(F.col("hash").alias("id")))
 
 
 @query(f"WITH {EDGES_SQL}, h AS (SELECT hash FROM commits WHERE hash NOT IN (SELECT dst FROM edges)) SELECT CASE WHEN count(*) OVER () = 1 THEN 'main' ELSE 'recovered-' || (row_number() OVER (ORDER BY hash) - 1) END AS name, hash FROM h")
@@ -599,29 +655,32 @@ def infer_heads(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {EDGES_SQL}, r AS (SELECT hash AS id, 0 AS level FROM commits WHERE len(parents) = 0 UNION SELECT src, level + 1 FROM r JOIN edges ON dst = id WHERE level < {X.COMMITS})
+    f"""WITH RECURSIVE {EDGES_SQL}, r AS (SELECT hash AS id, 0 AS level FROM commits WHERE len(parents) = 0 UNION SELECT src, level + 1 FROM r JOIN edges ON dst = id)
     SELECT id AS hash, max(level) AS level FROM r GROUP BY id"""
 )
 def commit_post_order(spark, sf_dir):
     return history.post_order(X.commits(spark, sf_dir))
 
 
+#: The commits that branches name: the last of every third history.
+REFS = f"% {3 * X.LANE} = {X.LANE - 1}"
+
+
 def stored_objects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(roots, edges, objects): commits own documents' contents, contents own 4 KiB chunks."""
     files = X.files(spark, sf_dir).where("size > 0")
     commits = X.commits(spark, sf_dir)
     cut = content.cut_passages(files, "fixed", 4_096, keep=["ino", "content_hash"])
-    whole = files.select(X.commit_hash(F.col("ino") % 120).alias("src"), F.concat(F.lit("m"), "content_hash").alias("dst"))
+    whole = files.select(X.commit_hash(F.col("ino") * 7).alias("src"), F.concat(F.lit("m"), "content_hash").alias("dst"))
     edges = history.parent_edges(commits).select(F.col("hash").alias("src"), F.col("parent").alias("dst")).union(whole).union(cut.select(F.concat(F.lit("m"), "content_hash"), "hash"))
-    age = lambda c: F.lit(1_000_000) - F.pmod(F.crc32(c.cast("binary")), F.lit(1_000))
     objects = (
         commits.select("hash", F.lit("commit").alias("kind"), F.lit(100).cast("long").alias("size"))
         .union(files.select(F.concat(F.lit("m"), "content_hash").alias("hash"), F.lit("manifest"), F.lit(36).cast("long")).distinct())
         .union(cut.select("hash", F.lit("chunk"), F.col("byte_end") - F.col("byte_start")).distinct())
     )
-    dated = objects.withColumn("mtime", F.when(F.pmod(F.crc32(F.col("hash").cast("binary")), F.lit(7)) != 0, age(F.col("hash"))))
-    roots = spark.range(1).select(X.commit_hash(F.lit(60)).alias("id"))
-    return roots, edges, dated
+    tail = F.conv(F.substring("hash", -3, 3), 16, 10).cast("long")
+    dated = objects.withColumn("mtime", F.when(tail % 7 != 0, F.lit(1_000_000) - tail % 1_000))
+    return commits.where(f"ts {REFS}").select(F.col("hash").alias("id")), edges, dated
 
 
 def swept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -629,22 +688,27 @@ def swept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.sweep(objects, history.mark(roots, edges, objects), 1_000_000, 500)
 
 
-@query()
+REACH_SQL = f"""{EDGES_SQL}, {X.FILES_SQL}, cut AS ({fixed_sql(4096, 0)}), all_edges AS (SELECT src, dst FROM edges UNION SELECT sha256('c' || (ino * 7)), 'm' || content_hash FROM files WHERE size > 0
+    UNION SELECT 'm' || content_hash, hash FROM cut JOIN files USING (path)),
+objects AS (SELECT hash, 'commit' AS kind, CAST(100 AS BIGINT) AS size FROM commits UNION SELECT 'm' || content_hash, 'manifest', 36 FROM files WHERE size > 0 UNION SELECT hash, 'chunk', byte_end - byte_start FROM cut),
+marked AS (SELECT sha256('c' || i) AS id FROM numbered WHERE i {REFS} UNION SELECT dst FROM marked JOIN all_edges ON src = id)"""
+SWEPT_SQL = f"""{REACH_SQL}, aged AS (SELECT *, CAST('0x' || right(hash, 3) AS BIGINT) AS tail FROM objects),
+swept AS (SELECT hash, size, CASE WHEN hash IN (SELECT id FROM marked) THEN 'reachable' WHEN tail % 7 = 0 THEN 'skipped_undated' WHEN tail % 1000 >= 500 THEN 'deleted' ELSE 'skipped_young' END AS state FROM aged)"""
+
+
+@query(f"WITH RECURSIVE {SWEPT_SQL} SELECT hash, size, state FROM swept")
 def gc_sweep(spark, sf_dir):
     return swept(spark, sf_dir)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SWEPT_SQL} SELECT count(*) FILTER (state = 'reachable') AS reachable, count(*) FILTER (state = 'deleted') AS deleted, CAST(coalesce(sum(size) FILTER (state = 'deleted'), 0) AS BIGINT) AS bytes_freed,
+    count(*) FILTER (state = 'skipped_young') AS skipped_young, count(*) FILTER (state = 'skipped_undated') AS skipped_undated FROM swept"""
+)
 def gc_stats(spark, sf_dir):
     return history.gc_stats(swept(spark, sf_dir))
 
 
-REACH_SQL = f"""{EDGES_SQL}, {X.FILES_SQL}, cut AS ({fixed_sql(4096, 0)}), all_edges AS (SELECT src, dst FROM edges UNION SELECT sha256('c' || (ino % 120)), 'm' || content_hash FROM files WHERE size > 0
-    UNION SELECT 'm' || content_hash, hash FROM cut JOIN files USING (path)),
-objects AS (SELECT hash, 'commit' AS kind, CAST(100 AS BIGINT) AS size FROM commits UNION SELECT 'm' || content_hash, 'manifest', 36 FROM files WHERE size > 0 UNION SELECT hash, 'chunk', byte_end - byte_start FROM cut),
-marked AS (SELECT sha256('c60') AS id UNION SELECT dst FROM marked JOIN all_edges ON src = id)"""
-
-
 @query(f"WITH RECURSIVE {REACH_SQL} SELECT kind, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM objects WHERE hash IN (SELECT id FROM marked) GROUP BY kind")
 def gc_marked(spark, sf_dir):
     roots, edges, objects = stored_objects(spark, sf_dir)
@@ -653,15 +717,17 @@ def gc_marked(spark, sf_dir):
 
 
 @query(
-    f"""WITH RECURSIVE {REACH_SQL}, there AS (SELECT sha256('c' || i) AS id FROM numbered WHERE i < 40 UNION SELECT 'm' || content_hash FROM files WHERE size > 0 AND ino % 5 = 0),
-    missing AS (SELECT sha256('c60') AS id WHERE sha256('c60') NOT IN (SELECT id FROM there) UNION SELECT dst FROM missing JOIN all_edges ON src = id WHERE dst NOT IN (SELECT id FROM there))
-    SELECT hash, kind, size, CASE kind WHEN 'chunk' THEN 0 WHEN 'manifest' THEN 1 WHEN 'tree' THEN 2 ELSE 3 END AS rank FROM objects WHERE hash IN (SELECT id FROM missing)"""
+    f"""WITH RECURSIVE {REACH_SQL}, there AS (SELECT sha256('c' || i) AS id FROM numbered WHERE i % {2 * X.LANE} = 3 UNION SELECT 'm' || content_hash FROM files WHERE size > 0 AND ino % 5 = 0),
+    missing AS (SELECT sha256('c' || i) AS id, 0 AS depth FROM numbered WHERE i {REFS} AND sha256('c' || i) NOT IN (SELECT id FROM there) UNION SELECT dst, depth + 1 FROM missing JOIN all_edges ON src = id WHERE dst NOT IN (SELECT id FROM there)),
+    wanted AS (SELECT id, min(depth) AS depth FROM missing GROUP BY id),
+    own AS (SELECT hash, kind, size, depth, CASE kind WHEN 'chunk' THEN 0 WHEN 'manifest' THEN 1 WHEN 'tree' THEN 2 ELSE 3 END AS rank FROM objects JOIN wanted ON id = hash)
+    SELECT hash, kind, size, rank, row_number() OVER (ORDER BY rank, depth DESC, hash) AS place FROM own"""
 )
 def transfer_missing(spark, sf_dir):
     roots, edges, objects = stored_objects(spark, sf_dir)
     files = X.files(spark, sf_dir).where("size > 0 AND ino % 5 = 0")
-    there = X.commits(spark, sf_dir).where("ts < 40").select("hash").union(files.select(F.concat(F.lit("m"), "content_hash"))).distinct()
-    return history.transfer(roots, edges, objects, there).select("hash", "kind", "size", "rank")
+    there = X.commits(spark, sf_dir).where(f"ts % {2 * X.LANE} = 3").select("hash").union(files.select(F.concat(F.lit("m"), "content_hash"))).distinct()
+    return history.transfer(roots, edges, objects, there).select("hash", "kind", "size", "rank", "place")
 
 
 @query(
@@ -760,13 +826,12 @@ def name_rules(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) // 3 AS INTEGER) AS n, CASE WHEN length(text) - length(replace(text, 'zq', '')) = 2 THEN sha256(replace(text, 'zq', 'Q')) END AS once, sha256(replace(text, 'the', 'THE')) AS every,
-    trim(regexp_extract(text, '^[^\\n]*'), ' ' || chr(9) || chr(10) || chr(13)) AS first_line FROM documents WHERE text LIKE '%the%'"""
+    """SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) // 3 AS INTEGER) AS n, CASE WHEN length(text) - length(replace(text, 'zq', '')) = 2 THEN sha256(replace(text, 'zq', 'Q')) END AS once, CASE WHEN text LIKE '%the%' THEN sha256(replace(text, 'the', 'THE')) END AS every,
+    trim(regexp_extract(text, '^[^\\n]*'), ' ' || chr(9) || chr(10) || chr(13)) AS first_line FROM documents"""
 )
 def text_edits(spark, sf_dir):
     t = F.col("text")
-    own = X.table(spark, sf_dir, "documents").where(t.contains("the"))
-    return own.select(
+    return X.table(spark, sf_dir, "documents").select(
         "doc_id", E.occurrences(t, F.lit("the")).alias("n"), F.sha2(E.replaced(t, F.lit("zq"), F.lit("Q")), 256).alias("once"),
         F.sha2(E.replaced(t, F.lit("the"), F.lit("THE"), every=True), 256).alias("every"), E.trimmed_line(F.regexp_extract(t, "^[^\n]*", 0)).alias("first_line"),
     )
