@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lodestack.llm.common import drop_tables, tidy, words_of, write_table
 
@@ -170,8 +171,9 @@ def training_documents(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame,
     return own.dropDuplicates(["_digest"]).select("lang", "text"), own.select("doc_id").distinct()
 
 
-def trigram_counts(texts: DataFrame, numbers: dict[str, int], k: int = 0, rounds: int = 1) -> DataFrame:
-    """l (the language's number), a, b, c, n: counts of the trigrams of round k, by word keys. Each block is counted where it is."""
+def trigram_counts(texts: DataFrame, numbers: dict[str, int], k: int, rounds: int, *by: str) -> DataFrame:
+    """l (the language's number), a, b, c, n: counts of the trigrams of round k, by word keys, dealt by the columns ``by``.
+    Each block is counted where it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +188,7 @@ def trigram_counts(texts: DataFrame, numbers: dict[str, int], k: int = 0, rounds
                 of = np.array([numbers[x] for x in langs], np.int32)[np.searchsorted(first, at, side="right") - 1]
                 yield pa.RecordBatch.from_arrays([pa.array(of), *[pa.array(c[at - i].view(np.int64)) for i in (2, 1, 0)], pa.array(n)], names=["l", "a", "b", "c", "n"])
 
-    return texts.mapInArrow(run, "l int, a long, b long, c long, n long").groupBy("l", "a", "b", "c").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "l int, a long, b long, c long, n long").repartition(*by).groupBy("l", "a", "b", "c").agg(F.sum("n").alias("n"))
 
 
 def counts_of_counts(counts: DataFrame) -> dict[int, tuple[int, ...]]:
@@ -237,37 +239,41 @@ class Model:
         kinds = "l int, d1 array<double>, d2 array<double>, d3 array<double>, total1 double, base double"
         return F.broadcast(self.words.sparkSession.createDataFrame(self.table, kinds))  # a row for each language
 
-    def bigrams(self, c3: DataFrame) -> DataFrame:
+    def bigrams(self, c3: DataFrame, *more: Column) -> DataFrame:
         """l, b, c, n: different left neighbours; bigrams at a text's start keep their own counts, as nothing varies before them."""
         starts = F.col("b").isin([signed(mark_key(START, x)) for x in self.numbers])
-        return c3.groupBy("l", "b", "c").agg(F.when(starts, F.sum("n")).otherwise(F.count(F.lit(1))).alias("n"))
+        return c3.groupBy("l", "b", "c").agg(F.when(starts, F.sum("n")).otherwise(F.count(F.lit(1))).alias("n"), *more)
 
     def weights(self, k: int) -> tuple[DataFrame, list[DataFrame]]:
         """(k, w: the weights of the n-grams of round k; tables to drop after use). Bigrams' and contexts' keys differ."""
-        told = self.told()
-        c3 = write_table(trigram_counts(self.texts, self.numbers, k, self.rounds), "trigrams")
+        told, n = self.told(), F.col("n")
+        context = Window.partitionBy("l", "a", "b")
+        c3 = trigram_counts(self.texts, self.numbers, k, self.rounds, "a", "b")
+        c3 = c3.select("*", F.sum("n").over(context).alias("total"), *[F.sum((x).cast("int")).over(context).alias(f"n{i}") for i, x in ((1, n == 1), (2, n == 2), (3, n > 2))], (F.row_number().over(context.orderBy("c")) == 1).alias("first"))
+        c3 = c3.join(told.select("l", "d3"), "l").withColumn("g3", left_mass(3))
+        c3 = c3.select("l", "a", "b", "c", "n", "first", F.col("g3").cast("float").alias("g3"), (discounted(3) / F.col("total") / F.col("g3")).cast("float").alias("x"))
+        c3 = write_table(c3, "trigrams")
         c2 = write_table(self.bigrams(c3), "bigrams")
         of_b = contexts(c2, F.col("b")).join(told, "l")
         of_b = write_table(of_b.select("b", "total", left_mass(2).alias("g2")), "left")
         p1 = discounted(1) / F.col("total1") + F.col("base")
         known = self.words.join(told, "l").select("k", p1.alias("p1"), "base")
-        two = c2.join(of_b, "b").join(known.select(F.col("k").alias("c"), "p1"), "c").join(told.select("l", "d2"), "l")
+        # what is looked up has a row for each key: the other side is not sorted for it
+        two = c2.join(of_b.hint("shuffle_hash"), "b").join(known.select(F.col("k").alias("c"), "p1").hint("shuffle_hash"), "c").join(told.select("l", "d2"), "l")
         low = F.col("g2") * F.col("p1")
         two = write_table(two.select("b", "c", low.alias("low"), (discounted(2) / F.col("total") + low).alias("p2")), "pairs")
-        of_ab = contexts(c3, F.col("a"), F.col("b")).join(told.select("l", "d3"), "l").select("a", "b", "total", left_mass(3).alias("g3"))
-        of_ab = write_table(of_ab, "contexts")
-        three = c3.join(of_ab, ["a", "b"]).join(two.select("b", "c", "p2"), ["b", "c"]).join(told.select("l", "d3"), "l")
-        gain = F.log1p(discounted(3) / F.col("total") / (F.col("g3") * F.col("p2")))
+        three = c3.join(two.select("b", "c", "p2").hint("shuffle_hash"), ["b", "c"])
+        gain = F.log1p(F.col("x") / F.col("p2"))
         row = lambda key, w: (key.alias("k"), w.cast("float").alias("w"))
         out = (
             known.where(in_round(F.col("k"), k, self.rounds)).select(*row(F.col("k"), F.log(F.col("p1") / F.col("base"))))
             .union(of_b.select(*row(F.col("b"), F.log("g2"))))
             .union(two.select(*row(F.xxhash64("b", "c"), F.log(F.col("p2") / F.col("low")))))
-            .union(of_ab.select(*row(F.xxhash64("a", "b", F.lit(0).cast("long")), F.log("g3"))))
+            .union(c3.where("first").select(*row(F.xxhash64("a", "b", F.lit(0).cast("long")), F.log("g3"))))
             .union(three.select(*row(F.xxhash64("a", "b", "c"), gain)))
         )
         out = write_table(out, "weights")
-        drop_tables(c3, c2, of_b, two, of_ab)
+        drop_tables(c3, c2, of_b, two)
         return out, [out]
 
     def score(self, lang: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -289,14 +295,18 @@ def weigh(texts: DataFrame, langs: list[str], rounds: int | None = None) -> Mode
     model = Model(texts, texts, {x: k for k, x in enumerate(langs)}, [], {}, rounds)
     s2, s3 = ({k: np.zeros(7, np.int64) for k in range(len(langs))} for _ in range(2))
     parts = []
+    n = F.col("n")
+    seen = [*[F.count_if(n == i).alias(f"n{i}") for i in (1, 2, 3, 4)], F.count_if(n > 2).alias("n5"), F.sum(n).alias("n6"), F.count(F.lit(1)).alias("n7")]
     for k in range(rounds):
-        c3 = write_table(trigram_counts(texts, model.numbers, k, rounds), "trigrams")
-        c2 = write_table(model.bigrams(c3), "bigrams")
-        for s, counts in ((s2, c2), (s3, c3)):
-            for x, own in counts_of_counts(counts).items():
+        # trigrams are dealt by their bigram: each bigram tells how often its trigrams were counted once, twice ..
+        c2 = write_table(model.bigrams(trigram_counts(texts, model.numbers, k, rounds, "b", "c"), *seen), "bigrams")
+        with tidy(texts.sparkSession):
+            of3 = {r[0]: tuple(r)[1:] for r in c2.groupBy("l").agg(*[F.sum(f"n{i}") for i in range(1, 8)]).collect()}
+        for s, found in ((s2, counts_of_counts(c2)), (s3, of3)):
+            for x, own in found.items():
                 s[x] += own
         parts.append(write_table(c2.groupBy("l", F.col("c").alias("k")).agg(F.count(F.lit(1)).alias("n")), "words"))
-        drop_tables(c3, c2)
+        drop_tables(c2)
     model.words = write_table(reduce(DataFrame.union, parts).groupBy("l", "k").agg(F.sum("n").alias("n")), "words")
     drop_tables(*parts)
     s1 = counts_of_counts(model.words)
@@ -393,8 +403,7 @@ def met(weights: DataFrame, ngrams: DataFrame, shards: int) -> DataFrame:
     shard = F.shiftrightunsigned(F.shiftrightunsigned("k", 32) * shards, 32).cast("int")
     none = F.lit(None)
     rows = weights.select(shard.alias("shard"), "k", "w", none.cast("binary").alias("packed")).union(ngrams.select("shard", none.cast("long"), none.cast("float"), "packed"))
-    # keys are null in n-gram rows: they come last
-    dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", F.asc_nulls_last("k"))
+    dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("packed").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, known, value = -1, [], np.zeros(0, np.uint64), np.zeros(0)
