@@ -20,8 +20,10 @@ from lodestack.llm.pieces import GENERATION, PIECE_CHARS, pieces_of
 
 #: Pre-tokens in the broadcast table: at most this many of at most PIECE_CHARS characters.
 FREQUENT = 20_000
-#: Documents whose pre-tokens choose the table: those with the least hashes of their texts.
+#: Documents whose pre-tokens choose the table, at most; they are drawn by hashes of their ids.
 SAMPLED = 2_000
+#: Steps of the share of documents that are drawn.
+STEPS = 1 << 40
 #: Distinct pre-tokens of the sample that are counted at once; beyond it the rarer half is forgotten.
 COUNTED = 400_000
 
@@ -37,7 +39,7 @@ class FrequentTable:
         return dict(zip(zlib.decompress(self.text).decode().split("\x00"), self.counts.tolist())) if len(self.counts) else {}
 
 
-def frequent_pieces(docs: DataFrame, tokenizer: str, text_column: str = "text", most: int = FREQUENT, sampled: int = SAMPLED) -> FrequentTable:
+def frequent_pieces(docs: DataFrame, tokenizer: str, text_column: str = "text", most: int = FREQUENT, sampled: int = SAMPLED, id_column: str = "doc_id") -> FrequentTable:
     """The most frequent pre-tokens of ``sampled`` whole documents with their numbers of tokens; an empty table has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,8 +53,10 @@ def frequent_pieces(docs: DataFrame, tokenizer: str, text_column: str = "text",
         top = sorted(fit, key=lambda p: (-seen[p], p))[:most]
         yield pa.RecordBatch.from_arrays([pa.array(top, pa.string()), pa.array([len(own.whole(p)) // 4 for p in top], pa.int64())], names=["piece", "n"])
 
-    text = F.col(text_column)
-    some = docs.where(text.isNotNull()).select(text.alias("text"), F.xxhash64(text).alias("h")).orderBy("h").limit(sampled).coalesce(1)
+    # drawn where they are: about ``sampled`` rows meet in the one task, however many tasks there are
+    room = sampled * STEPS // max(docs.count(), 1)
+    drawn = F.pmod(F.xxhash64(id_column, F.lit("drawn")), F.lit(STEPS)) < room
+    some = docs.where(drawn).select(F.col(text_column).alias("text")).limit(sampled).coalesce(1)
     rows = some.select("text").mapInArrow(run, "piece string, n long").collect()
     return FrequentTable([r.piece for r in rows], [r.n for r in rows])
 
@@ -102,7 +106,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_column:
     columns of any name are ignored, an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(table or frequent_pieces(docs, tokenizer, text_column))
+    sent = spark.sparkContext.broadcast(table or frequent_pieces(docs, tokenizer, text_column, id_column=id_column))
     key = (tokenizer, str(id(sent)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
