@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lodestack.functions.expressions import decode_runs, runs_well_formed
+from lodestack.operators.content import overlapping
 from lodestack.plans.storage import ranked
 
 Run = tuple[int, int, int]
@@ -61,10 +62,10 @@ def check_lengths(blame: DataFrame, files: DataFrame) -> DataFrame:
     return both.select("path", F.when(total == F.col("size"), F.col("runs")).otherwise(wrong.cast(blame.schema["runs"].dataType)).alias("runs"))
 
 
-def clip(spans: DataFrame, passages: DataFrame) -> DataFrame:
+def clip(spans: DataFrame, passages: DataFrame, width: int = 1 << 16) -> DataFrame:
     """spans clipped to the passages (path, byte_start, byte_end and more) that they overlap; line ranges stay whole."""
     p = passages.withColumnsRenamed({"byte_start": "_p0", "byte_end": "_p1"})
-    both = p.join(spans, "path").where((F.col("byte_start") < F.col("_p1")) & (F.col("byte_end") > F.col("_p0")))
+    both = overlapping(p, spans, "path", ("_p0", "_p1"), ("byte_start", "byte_end"), width)
     start, end = F.greatest("byte_start", "_p0"), F.least("byte_end", "_p1")
     return both.withColumns({"byte_start": start, "byte_end": end}).withColumnsRenamed({"_p0": "passage_start", "_p1": "passage_end"})
 

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from lodestack.functions.expressions import content_hash, slice_bytes
+from lodestack.functions.expressions import (
+    TEXT_EXTENSIONS, content_hash, document_extension, has_extension, is_text, lossy_text, mime_type, passage_metadata, slice_bytes, under, within_size,
+)
 
 #: Passages: least, average and most bytes; the same for storage chunks (fixed values).
 PASSAGE_SIZES = (256, 1_024, 4_096)
@@ -188,10 +190,27 @@ def extents(manifests: DataFrame) -> DataFrame:
     return own.select("path", "ordinal", F.col("c.hash").alias("hash"), F.coalesce(before, F.lit(0)).alias("offset"), F.col("c.len").alias("len"))
 
 
-def range_plan(extents: DataFrame, requests: DataFrame) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, on: str, a: tuple[str, str], b: tuple[str, str], width: int) -> DataFrame:
+    """Rows of left and right with equal ``on`` whose intervals [start, end), named by ``a`` and ``b``, overlap.
+
+    Both sides are dealt to every stretch of ``width`` offsets that they touch, and a pair is told in the first stretch
+    that both touch: what meets within one key is what lies near, not all pairs of a large file.
+    """
+
+    def dealt(df: DataFrame, ends: tuple[str, str]) -> DataFrame:
+        first, last = F.col(ends[0]), F.greatest(F.col(ends[1]) - 1, F.col(ends[0]))
+        return df.withColumn("_stretch", F.explode(F.sequence(F.floor(first / width), F.floor(last / width))))
+
+    both = dealt(left, a).join(dealt(right, b), [on, "_stretch"])
+    met = (F.col(a[0]) < F.col(b[1])) & (F.col(a[1]) > F.col(b[0])) & (F.col("_stretch") == F.floor(F.greatest(a[0], b[0]) / width))
+    return both.where(met).drop("_stretch")
+
+
+def range_plan(extents: DataFrame, requests: DataFrame, width: int = 1 << 20) -> DataFrame:
     """path, request, ordinal, hash, chunk_from, chunk_to: the chunk slices that each request (path, request, start,
     end) reads; only chunks that overlap it."""
-    both = extents.join(requests, "path").where((F.col("offset") < F.col("end")) & (F.col("offset") + F.col("len") > F.col("start")))
+    own = extents.withColumn("_end", F.col("offset") + F.col("len"))
+    both = overlapping(own, requests, "path", ("offset", "_end"), ("start", "end"), width)
     return both.select(
         "path", "request", "ordinal", "hash",
         F.greatest(F.col("start") - F.col("offset"), F.lit(0)).alias("chunk_from"),
@@ -206,9 +225,7 @@ def read_ranges(plan: DataFrame, chunks: DataFrame) -> DataFrame:
     piece = F.when(F.col("bytes").isNull(), F.raise_error(F.concat(F.lit("missing chunk "), F.col("hash"))).cast("binary")).otherwise(
         slice_bytes(F.col("bytes"), F.col("chunk_from"), F.col("chunk_to"))
     )
-    by = got.groupBy("path", "request").agg(F.array_sort(F.collect_list(F.struct("ordinal", piece.alias("b")))).alias("p"))
-    whole = F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["b"])), ""))
-    return by.select("path", "request", whole.alias("data"))
+    return got.select("path", "request", "ordinal", piece.alias("b")).groupBy("path", "request").agg(F.expr("listagg(b) WITHIN GROUP (ORDER BY ordinal)").alias("data"))
 
 
 def read_files(manifests: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -242,11 +259,14 @@ def new_passages(passages: DataFrame, embedded: DataFrame) -> DataFrame:
 # packs -------------------------------------------------------------------------------------------------------------
 
 
-def assign_packs(chunks: DataFrame, target: int = 4 << 20, lanes: int = 64) -> DataFrame:
+def assign_packs(chunks: DataFrame, target: int = 4 << 20, lanes: int | None = None) -> DataFrame:
     """hash, len, lane, pack_no, offset: chunks staged in hash order until a pack holds ``target`` bytes, then sealed.
 
     The fold resets at each seal, so it is sequential; chunks are dealt to lanes by hash, each with packs of its own.
+    Without ``lanes`` there is one for every 256 packs' bytes, so that a lane's work does not grow with the store.
     """
+    if lanes is None:
+        lanes = max(64, (chunks.agg(F.sum("len")).first()[0] or 0) // (256 * target))
     own = chunks.select("hash", F.col("len").cast("long").alias("len"), F.pmod(F.crc32(F.col("hash").cast("binary")), F.lit(lanes)).cast("int").alias("lane"))
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,8 +339,6 @@ def parse_trailers(packs: DataFrame) -> DataFrame:
 def convert(files: DataFrame, converter: Callable[[str, bytes, str | None], str | None]) -> DataFrame:
     """path, data (text of the converted document), converter: files that the callable (path, data, mime) converts;
     those it returns None for are left out."""
-    from lodestack.functions.expressions import mime_type
-
     name = getattr(converter, "__name__", type(converter).__name__)
     own = files.select("path", F.col("data"), mime_type(F.col("path")).alias("mime"))
 
@@ -334,30 +352,80 @@ def convert(files: DataFrame, converter: Callable[[str, bytes, str | None], str
 
 
 def custom_spans(text: str, parts: list[str]) -> list[tuple[int, int]]:
-    """Byte spans of a splitter's parts by a forward scan; a part that is not found is taken at the cursor."""
+    """Byte spans of a splitter's parts by a forward scan; a part that is not found is placed at the cursor."""
     data, at, out = text.encode(), 0, []
     for part in parts:
         own = part.encode()
         found = data.find(own, at)
         start = found if found >= 0 else at
-        end = min(start + len(own), len(data))
-        out.append((start, end))
-        at = end
+        at = min(start + len(own), len(data))
+        out.append((start, at))
     return out
 
 
 def split_custom(files: DataFrame, splitter: Callable[[str], list[str]]) -> DataFrame:
-    """path, ordinal, byte_start, byte_end, hash, bytes by a user's splitter of text."""
+    """path, ordinal, byte_start, byte_end, hash, bytes by a user's splitter of text.
+
+    The bytes are the splitter's own parts, also where it rewrites the text; the span says where in the file they lie.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 text = (data or b"").decode("utf-8", "replace")
-                rows += [(path, k, a, b, text.encode()[a:b]) for k, (a, b) in enumerate(custom_spans(text, splitter(text)))]
+                parts = splitter(text)
+                rows += [(path, k, *span, part.encode()) for k, (span, part) in enumerate(zip(custom_spans(text, parts), parts))]
             columns = list(zip(*rows)) if rows else [[]] * 5
             kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["path", "ordinal", "byte_start", "byte_end", "bytes"])
 
     cut = files.select("path", "data").mapInArrow(run, "path string, ordinal int, byte_start long, byte_end long, bytes binary")
     return cut.select("path", "ordinal", "byte_start", "byte_end", content_hash(F.col("bytes")).alias("hash"), "bytes")
+
+
+# passages end to end -----------------------------------------------------------------------------------------------
+
+
+def corpus_files(files: DataFrame, converter: Callable[[str, bytes, str | None], str | None] | None = None) -> DataFrame:
+    """path, data, converter of the files that hold text: those with a text extension as they are (converter null), the
+    others as the converter tells them. What no converter takes is read as it is where it is UTF-8, and skipped else."""
+    native = document_extension(F.col("path")).isin(*TEXT_EXTENSIONS)
+    none = F.lit(None).cast("string").alias("converter")
+    text = files.where(native).select("path", "data", none)
+    other = files.where(~native | native.isNull()).select("path", "data")
+    if converter is not None:
+        told = convert(other, converter)
+        text = text.unionByName(told)
+        other = other.join(told.select("path"), "path", "left_anti")
+    return text.unionByName(other.where(is_text(F.col("data"))).select("path", "data", none))
+
+
+def extract_passages(
+    files: DataFrame, strategy: str = "content_defined", size: int = 1_024, overlap: int = 0, root: str = "/",
+    extensions: tuple[str, ...] = (), cap: int = 0, converter: Callable[[str, bytes, str | None], str | None] | None = None,
+) -> DataFrame:
+    """path, ordinal, byte_start, byte_end, hash, bytes, converter: the passages of the files (path, data) under root
+    that have one of the extensions and at most cap bytes. Converted text has no stable bytes to cut by content: for it
+    content_defined falls back to fixed windows."""
+    size_of = F.octet_length("data")
+    own = files.where(under(F.col("path"), root) & has_extension(F.col("path"), list(extensions)) & within_size(size_of, cap))
+    corpus = corpus_files(own, converter)
+    if strategy != "content_defined" or converter is None:
+        return cut_passages(corpus, strategy, size, overlap, ["converter"])
+    stored, told = corpus.where("converter IS NULL"), corpus.where("converter IS NOT NULL")
+    return cut_passages(stored, strategy, size, overlap, ["converter"]).unionByName(cut_passages(told, "fixed", size, overlap, ["converter"]))
+
+
+def passage_records(passages: DataFrame, spans: DataFrame, source: str) -> DataFrame:
+    """id, text, metadata: a retrieval framework's record for each passage, with the authors of the blame spans (path,
+    actor, byte_start, byte_end) that it overlaps, first seen first. Authors are those of stored bytes: a converted
+    passage has none."""
+    own = passages.where("converter IS NULL").select("path", F.col("ordinal").alias("_o"), F.col("byte_start").alias("_p0"), F.col("byte_end").alias("_p1"))
+    met = overlapping(own, spans.select("path", "actor", "byte_start", "byte_end"), "path", ("_p0", "_p1"), ("byte_start", "byte_end"), 1 << 16)
+    first = met.groupBy("path", "_o", "actor").agg(F.min("byte_start").alias("at"))
+    authors = first.groupBy("path", "_o").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "actor"))), lambda x: x["actor"].cast("string")), ",").alias("authors"))
+    both = passages.join(authors.withColumnRenamed("_o", "ordinal"), ["path", "ordinal"], "left")
+    told = passage_metadata(F.col("path"), F.col("byte_start"), F.col("byte_end"), F.col("hash"), F.lit(source))
+    more = F.create_map(F.lit("authors"), F.coalesce("authors", F.lit("")), F.lit("converter"), F.coalesce("converter", F.lit("")))
+    return both.select(F.concat_ws("#", "path", "ordinal").alias("id"), lossy_text(F.col("bytes")).alias("text"), F.map_concat(told, more).alias("metadata"))

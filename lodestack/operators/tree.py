@@ -64,11 +64,22 @@ def resolve(paths: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(paths.select("path", "ino", "kind"), "path", "left")
 
 
-def ancestors_of(paths: DataFrame) -> DataFrame:
-    """path, ancestor: every proper ancestor prefix of each path, nearest last."""
+def tally(paths: DataFrame) -> DataFrame:
+    """path, files, dirs, bytes: of everything below each directory; one row for each directory of paths (path, kind, size)."""
+    own = paths.select("path", F.col("kind").alias("_kind"), "size")
+    up = ancestors_of(own, "_kind", "size")
+    is_dir = F.col("_kind") == "dir"
+    below = up.groupBy(F.col("ancestor").alias("path")).agg(F.count_if(~is_dir).alias("files"), F.count_if(is_dir).alias("dirs"), F.sum(F.when(~is_dir, F.col("size")).otherwise(0)).alias("bytes"))
+    zero = F.lit(0).cast("long")
+    dirs = own.where(is_dir).select("path").join(below, "path", "left")
+    return dirs.select("path", *[F.coalesce(F.col(c).cast("long"), zero).alias(c) for c in ("files", "dirs", "bytes")])
+
+
+def ancestors_of(paths: DataFrame, *keep: str) -> DataFrame:
+    """path (and ``keep``), ancestor: every proper ancestor prefix of each path, nearest last."""
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
     prefix = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), k), "/")))
-    return paths.select("path", F.explode(F.when(F.size(parts) > 1, prefix).otherwise(F.array().cast("array<string>"))).alias("ancestor"))
+    return paths.select("path", *keep, F.explode(F.when(F.size(parts) > 1, prefix).otherwise(F.array().cast("array<string>"))).alias("ancestor"))
 
 
 def is_inside(target: Column, source: Column) -> Column:

@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.functions.expressions import may_write, parent_path
-from lodestack.operators.tree import ancestors_of, is_inside
+from lodestack.functions.expressions import content_hash, may_write, parent_path
+from lodestack.operators.tree import ancestors_of, is_inside, unified_diff
 from lodestack.plans.storage import ranked
 
 
@@ -90,6 +90,35 @@ def symlinks(tree: DataFrame, wanted: DataFrame) -> DataFrame:
 # review ------------------------------------------------------------------------------------------------------------
 
 
+def propose(changes: DataFrame, current: DataFrame, now: int) -> DataFrame:
+    """Pending proposals from changes (id, actor_id, path, data): of the data's hash, or of a deletion where data is
+    null. The base is the path's content now (null: none); deleting what is not there is an error."""
+    own = changes.join(current.select("path", F.col("content_hash").alias("base_hash"), F.lit(True).alias("_is")), "path", "left")
+    deletes = F.col("data").isNull()
+    return own.select(
+        "id", "actor_id", failing(deletes & F.col("_is").isNull(), "not found", F.col("path")).alias("path"), "base_hash",
+        F.when(deletes, "delete").otherwise("bytes").alias("kind"), content_hash(F.col("data")).alias("content_hash"),
+        F.lit("pending").alias("status"), F.lit(now).cast("long").alias("created_at"),
+    )
+
+
+def listed(suggestions: DataFrame, status: str | None = None) -> DataFrame:
+    """Proposals, of one status where given, newest first."""
+    return filtered(suggestions, status=status).orderBy(F.desc("id"))
+
+
+def proposal_diff(proposals: DataFrame, content: DataFrame) -> DataFrame:
+    """path (the proposal's id), diff: the unified difference of each proposal's base and its text; content: hash, text."""
+    text = lambda name: content.select(F.col("hash").alias(f"{name}_hash"), F.col("text").alias(f"_{name}"))
+    own = proposals.join(text("base"), "base_hash", "left").join(text("content"), "content_hash", "left")
+    return unified_diff(own.select(F.concat(F.lit("/"), F.col("id").cast("string")).alias("path"), F.col("_base").alias("old"), F.col("_content").alias("new")))
+
+
+def scoped(rows: DataFrame, inodes: DataFrame, workspace_id: int) -> DataFrame:
+    """Rows (ino) whose inode belongs to the workspace; inodes: ino, workspace_id."""
+    return rows.join(inodes.where(F.col("workspace_id") == workspace_id).select("ino"), "ino", "left_semi")
+
+
 def stale_suggestions(suggestions: DataFrame, current: DataFrame, excepted: int | None = None) -> DataFrame:
     """id of pending byte proposals whose base is no longer the path's content (null equals null)."""
     own = suggestions.where("status = 'pending' AND kind = 'bytes'")

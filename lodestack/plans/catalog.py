@@ -835,3 +835,138 @@ def text_edits(spark, sf_dir):
         "doc_id", E.occurrences(t, F.lit("the")).alias("n"), F.sha2(E.replaced(t, F.lit("zq"), F.lit("Q")), 256).alias("once"),
         F.sha2(E.replaced(t, F.lit("the"), F.lit("THE"), every=True), 256).alias("every"), E.trimmed_line(F.regexp_extract(t, "^[^\n]*", 0)).alias("first_line"),
     )
+
+
+@query(
+    f"""WITH {X.FILES_SQL} SELECT ino, regexp_replace(path, '/[^/]+$', '') AS parent, string_split(path, '/')[-1] AS name, CAST(len(list_filter(string_split(path, '/'), lambda x: x <> '')) AS INTEGER) AS depth,
+    lower(string_split(path, '.')[-1]) AS ext, CASE lower(string_split(path, '.')[-1]) WHEN 'md' THEN 'text/markdown' WHEN 'txt' THEN 'text/plain' WHEN 'html' THEN 'text/html' END AS mime,
+    '/.coedit/' || lower(hex(encode(path))) AS sidecar, path || '.theirs' AS theirs, ino % 3 <> 0 AS lock_ok FROM files"""
+)
+def path_forms(spark, sf_dir):
+    p = F.col("path")
+    lock = F.when(F.col("ino") % 3 == 0, F.ltrim(p, F.lit("/"))).otherwise(p)
+    return X.files(spark, sf_dir).select(
+        "ino", E.parent_path(p).alias("parent"), E.base_name(p).alias("name"), F.size(E.path_parts(p)).alias("depth"), E.document_extension(p).alias("ext"),
+        E.mime_type(p).alias("mime"), E.sidecar_path(p).alias("sidecar"), E.theirs_path(p).alias("theirs"), E.lock_path_ok(lock).alias("lock_ok"),
+    )
+
+
+@query(
+    f"""WITH {X.FILES_SQL} SELECT ino, ino % 7 <> 0 AS valid, CASE WHEN ino % 7 = 0 THEN sha256(coalesce(text, '') || chr(65533)) ELSE sha256(coalesce(text, '')) END AS lossy,
+    CAST(length(text) + length(regexp_replace(text, '[\\x{{0}}-\\x{{FFFF}}]', '', 'g')) AS INTEGER) AS units, size > 0 AND ino % 2 = 0 AS hash_ok,
+    CASE WHEN ino % 2 = 0 THEN lang || ' <' || lang || '@workspace.local>' ELSE lang || ' <x@y>' END AS ident,
+    CASE ino % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'accepted' WHEN 2 THEN 'rejected' WHEN 3 THEN 'superseded' END AS status FROM files"""
+)
+def text_forms(spark, sf_dir):
+    data = F.when(F.col("ino") % 7 == 0, F.concat("data", F.unhex(F.lit("FF")))).otherwise(F.col("data"))
+    told = F.when(F.col("ino") % 2 == 0, F.col("content_hash")).otherwise(F.upper(F.concat(F.lit("A"), F.substring("content_hash", 2, 63))))
+    author = F.when(F.col("ino") % 2 == 0, F.col("lang")).otherwise(F.concat("lang", F.lit(" <x@y>")))
+    status = F.element_at(F.array(*map(F.lit, ("pending", "accepted", "rejected", "superseded", "Pending"))), (F.col("ino") % 5 + 1).cast("int"))
+    return X.files(spark, sf_dir).select(
+        "ino", E.is_text(data).alias("valid"), F.sha2(E.lossy_text(data), 256).alias("lossy"), E.utf16_length(F.col("text")).alias("units"), E.is_hash(told).alias("hash_ok"),
+        E.git_ident(author).alias("ident"), E.suggestion_status(status).alias("status"),
+    )
+
+
+# trees, transfers and the feed: further rows -------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {PATHS_SQL}, x AS (SELECT kind, size, string_split(path, '/') AS x FROM p), u AS (SELECT kind, size, array_to_string(x[1 : k], '/') AS path FROM (SELECT *, unnest(range(2, len(x))) AS k FROM x)),
+    g AS (SELECT path, count(*) FILTER (kind <> 'dir') AS files, count(*) FILTER (kind = 'dir') AS dirs, sum(size) FILTER (kind <> 'dir') AS bytes FROM u GROUP BY path)
+    SELECT p.path, coalesce(files, 0) AS files, coalesce(dirs, 0) AS dirs, CAST(coalesce(bytes, 0) AS BIGINT) AS bytes FROM p LEFT JOIN g USING (path) WHERE p.kind = 'dir'"""
+)
+def file_tally(spark, sf_dir):
+    return tree.tally(tree.tree_paths(*X.tree(spark, sf_dir)))
+
+
+@query(f"WITH {X.TREE_SQL}, links AS (SELECT * FROM dentry UNION ALL SELECT parent_ino, 'a-' || name, ino FROM dentry WHERE ino % 3 = 0) SELECT parent_ino, ino, min(name) AS name FROM links GROUP BY parent_ino, ino")
+def first_names(spark, sf_dir):
+    dentry, _ = X.tree(spark, sf_dir)
+    links = dentry.where("ino % 3 = 0").select("parent_ino", F.concat(F.lit("a-"), "name").alias("name"), "ino")
+    return tree.first_name(dentry.unionByName(links)).select("parent_ino", "ino", "name")
+
+
+@query(f"WITH {X.TREE_SQL} SELECT parent_ino, name, row_number() OVER (PARTITION BY parent_ino ORDER BY CASE WHEN kind = 'dir' THEN name || '/' ELSE name END) AS place FROM dentry JOIN inode USING (ino)")
+def git_tree_order(spark, sf_dir):
+    dentry, inode = X.tree(spark, sf_dir)
+    own = tree.git_order(dentry.join(inode.select("ino", "kind"), "ino").withColumn("tree_hash", F.col("parent_ino")))
+    return own.select("parent_ino", "name", F.col("place").cast("long").alias("place"))
+
+
+@query(f"WITH {X.SNAPSHOTS_SQL}, w AS (SELECT DISTINCT hash, path FROM ours), m AS (SELECT DISTINCT hash FROM ours WHERE hash NOT IN (SELECT hash FROM base)) SELECT count(*) FILTER (hash IN (SELECT hash FROM m)) AS objects, CAST(coalesce(sum(strlen(path)) FILTER (hash IN (SELECT hash FROM m)), 0) AS BIGINT) AS bytes, count(*) FILTER (hash NOT IN (SELECT hash FROM m)) AS skipped FROM w")
+def transfer_totals(spark, sf_dir):
+    base, ours, _ = X.snapshots(spark, sf_dir)
+    wanted = ours.select("hash", F.octet_length("path").cast("long").alias("size"))
+    return history.transfer_stats(wanted, ours.select("hash").distinct().join(base.select("hash"), "hash", "left_anti"))
+
+
+@query(f"WITH {OPS_SQL}, c AS (SELECT path, op, seq FROM ops WHERE op IN ('upsert', 'delete')), t AS (SELECT DISTINCT path FROM feed WHERE kind = 'write') SELECT path, op, seq FROM c WHERE op = 'delete' OR path IN (SELECT path FROM t)")
+def feed_superseded(spark, sf_dir):
+    own = X.feed(spark, sf_dir)
+    ops = feed.dispatch(own).where("op IN ('upsert', 'delete')").select("path", "op", "seq")
+    return feed.superseded_dropped(ops, own.where("kind = 'write'").select("path").distinct())
+
+
+@query(f"WITH {X.TREE_SQL} SELECT name, ino FROM dentry WHERE ino IN (SELECT ino FROM inode WHERE ino % 4 = 2)")
+def workspace_scoped(spark, sf_dir):
+    dentry, inode = X.tree(spark, sf_dir)
+    return workspace.scoped(dentry, inode.select("ino", (F.col("ino") % 4).alias("workspace_id")), 2).select("name", "ino")
+
+
+# passages and proposals end to end ------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {X.FILES_SQL}, own AS (SELECT path, data, size FROM files WHERE size > 0 AND size <= 65536 AND lower(regexp_extract(path, '\\.([^./]*)$', 1)) IN ('md', 'txt', 'bin')),
+    p AS ({fixed_sql(1024, 64, "own")}) SELECT path, ordinal, byte_start, byte_end, hash, CASE WHEN path LIKE '%.bin' AND path LIKE '%1_.bin' THEN 'upper_text' END AS converter FROM p"""
+)
+def passages_extracted(spark, sf_dir):
+    def upper_text(path: str, data: bytes, mime: str | None) -> str | None:
+        return data.decode() if path[-6:-5] == "1" else None
+
+    own = content.extract_passages(X.files(spark, sf_dir), "fixed", 1_024, 64, "/", ("md", ".TXT", "bin"), 65_536, upper_text)
+    return own.select("path", F.col("ordinal").cast("long").alias("ordinal"), "byte_start", "byte_end", "hash", "converter")
+
+
+@query(
+    f"""WITH {SPANS_SQL}, whole AS (SELECT path, string_agg(text, '' ORDER BY ordinal) AS text FROM turns GROUP BY path), own AS (SELECT path, encode(text) AS data, CAST(strlen(text) AS BIGINT) AS size FROM whole),
+    p AS ({fixed_sql(512, 0, "own")}), a AS (SELECT p.path, p.ordinal, s.actor, min(s.byte_start) AS seen FROM p JOIN spans s ON s.path = p.path AND s.byte_start < p.byte_end AND s.byte_end > p.byte_start GROUP BY 1, 2, 3),
+    g AS (SELECT path, ordinal, string_agg(CAST(actor AS VARCHAR), ',' ORDER BY seen, actor) AS authors FROM a GROUP BY path, ordinal)
+    SELECT p.path || '#' || ordinal AS id, p.path, p.hash, CAST(byte_start AS VARCHAR) AS byte_start, CAST(byte_end AS VARCHAR) AS byte_end, coalesce(authors, '') AS authors FROM p LEFT JOIN g USING (path, ordinal)"""
+)
+def passage_records(spark, sf_dir):
+    t = X.turns(spark, sf_dir)
+    files = t.groupBy("path").agg(F.encode(F.expr("listagg(text) WITHIN GROUP (ORDER BY ordinal)"), "UTF-8").alias("data"))
+    own = content.passage_records(content.extract_passages(files, "fixed", 512), spans(spark, sf_dir), "store")
+    m = F.col("metadata")
+    return own.select("id", m["path"].alias("path"), m["content_hash"].alias("hash"), m["byte_start"].alias("byte_start"), m["byte_end"].alias("byte_end"), m["authors"].alias("authors"))
+
+
+def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending proposals of conversation turns: of their text, or where the path has content every third of its deletion."""
+    own, current = suggestions(spark, sf_dir)
+    text = X.turns(spark, sf_dir).select((F.col("conv_id") * 100 + F.col("ordinal")).alias("id"), "text")
+    data = F.when(F.col("ordinal") % 3 != 2, F.encode("text", "UTF-8"))
+    return workspace.propose(own.join(text, "id").select("id", "actor_id", "path", data.alias("data")), current, 1_000)
+
+
+PROPOSALS_SQL = f"""{SUGGESTIONS_SQL}, proposed AS (SELECT s.id, s.actor_id, s.path, c.content_hash AS base_hash, s.kind, CASE WHEN s.kind = 'bytes' THEN sha256(t.text) END AS content_hash, 'pending' AS status, CAST(1000 AS BIGINT) AS created_at
+    FROM suggestions s JOIN turns t ON t.conv_id * 100 + t.ordinal = s.id LEFT JOIN current c ON c.path = s.path)"""
+
+
+@query(f"WITH {PROPOSALS_SQL} SELECT * FROM proposed")
+def proposals_made(spark, sf_dir):
+    return proposals(spark, sf_dir)
+
+
+@query(f"WITH {SUGGESTIONS_SQL} SELECT id, actor_id, path FROM suggestions WHERE status = 'pending' ORDER BY id DESC")
+def suggestions_newest(spark, sf_dir):
+    return workspace.listed(suggestions(spark, sf_dir)[0], "pending").select("id", "actor_id", "path")
+
+
+@query()
+def proposal_diffs(spark, sf_dir):
+    t = X.turns(spark, sf_dir).select(F.sha2("text", 256).alias("hash"), "text").dropDuplicates(["hash"])
+    own = proposals(spark, sf_dir).withColumn("base_hash", F.lit(None).cast("string"))
+    return workspace.proposal_diff(own, t)
