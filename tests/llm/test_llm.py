@@ -715,6 +715,18 @@ def test_near_copies_equal_brute_force(spark, empty, monkeypatch):
     assert nearcopies.near_copies(empty).count() == 0
 
 
+def test_bitmaps_differ_in_no_more_bits_than_sets():
+    rng = random.Random(5)
+    for _ in range(200):
+        w = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 300))]
+        v = w[: rng.randint(0, len(w))] + [rng.choice("abXc") for _ in range(rng.randint(0, 60))]
+        one, two = " ".join(w), "\t".join(v).upper()
+        x, y = nearcopies.shingles(one), nearcopies.shingles(two)
+        hx, hy = nearcopies.shingle_hashes([one.encode(), two.encode()])
+        assert (len(hx), len(hy), len(np.intersect1d(hx, hy))) == (len(x), len(y), len(x & y))
+        assert nearcopies.differing(nearcopies.bitmap(hx), nearcopies.bitmap(hy)) <= len(x ^ y)
+
+
 # pipeline -----------------------------------------------------------------------------------------------------------
 
 
