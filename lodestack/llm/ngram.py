@@ -50,8 +50,10 @@ BLOCK_TEXTS = 60_000
 ROUNDS = 4
 #: Weights of one shard, which a task holds at a time.
 SHARD_WEIGHTS = 4_000_000
+#: Weights that a task packs together.
+PACK_WEIGHTS = 1_000_000
 #: Keys of a block that travel as one row.
-ROW_KEYS = 16_384
+ROW_KEYS = 65_536
 #: The key that each block sends for each of its texts in each round: it tells how many blocks hold the text.
 MARK = 1
 #: Longer words are hashed one by one.
@@ -162,13 +164,12 @@ def padded(langs: list[str], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray
     return out, first
 
 
-def training_documents(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lang, text of what is trained on, equal texts of a language once; its doc_ids). docs: doc_id, lang, text."""
+def training_documents(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """doc_id, lang, text, _digest (equal for equal words of a language) of what is trained on. docs: doc_id, lang, text."""
     own = docs.join(trusted, docs.doc_id == trusted._id, "left_semi").withColumn("_words", F.array_join(words_of(F.col("text")), " ")).where("_words <> ''")
     own = own.select("doc_id", "lang", "text", F.unhex(F.sha2(F.concat("lang", F.lit(" "), "_words"), 256)).alias("_digest"))
     # a quarter is never trained on: thresholds need texts that the model has not seen; copies fall on one side
-    own = own.where(F.pmod(F.xxhash64("_digest"), F.lit(4)) != 0)
-    return own.dropDuplicates(["_digest"]).select("lang", "text"), own.select("doc_id").distinct()
+    return own.where(F.pmod(F.xxhash64("_digest"), F.lit(4)) != 0)
 
 
 def trigram_counts(texts: DataFrame, numbers: dict[str, int], k: int, rounds: int, *by: str) -> DataFrame:
@@ -183,8 +184,11 @@ def trigram_counts(texts: DataFrame, numbers: dict[str, int], k: int, rounds: in
                 real[first] = real[first + 1] = False
                 at = np.flatnonzero(real)
                 at = at[round_of(c[at - 1], rounds) == k]
-                _, place, n = np.unique(spark_hash(c[at - 2], c[at - 1], c[at]), return_index=True, return_counts=True)
-                at = at[place]
+                grams = spark_hash(c[at - 2], c[at - 1], c[at])
+                by = np.argsort(grams)
+                grams = grams[by]
+                edges = np.flatnonzero(np.concatenate(([len(by) > 0], grams[1:] != grams[:-1])))
+                at, n = at[by[edges]], np.diff(np.append(edges, len(by)))
                 of = np.array([numbers[x] for x in langs], np.int32)[np.searchsorted(first, at, side="right") - 1]
                 yield pa.RecordBatch.from_arrays([pa.array(of), *[pa.array(c[at - i].view(np.int64)) for i in (2, 1, 0)], pa.array(n)], names=["l", "a", "b", "c", "n"])
 
@@ -249,7 +253,7 @@ class Model:
         told, n = self.told(), F.col("n")
         context = Window.partitionBy("l", "a", "b")
         c3 = trigram_counts(self.texts, self.numbers, k, self.rounds, "a", "b")
-        c3 = c3.select("*", F.sum("n").over(context).alias("total"), *[F.sum((x).cast("int")).over(context).alias(f"n{i}") for i, x in ((1, n == 1), (2, n == 2), (3, n > 2))], (F.row_number().over(context.orderBy("c")) == 1).alias("first"))
+        c3 = c3.select("*", F.sum("n").over(context).alias("total"), *[F.sum((x).cast("int")).over(context).alias(f"n{i}") for i, x in ((1, n == 1), (2, n == 2), (3, n > 2))], (F.min("c").over(context) == F.col("c")).alias("first"))
         c3 = c3.join(told.select("l", "d3"), "l").withColumn("g3", left_mass(3))
         c3 = c3.select("l", "a", "b", "c", "n", "first", F.col("g3").cast("float").alias("g3"), (discounted(3) / F.col("total") / F.col("g3")).cast("float").alias("x"))
         c3 = write_table(c3, "trigrams")
@@ -322,8 +326,10 @@ def weigh(texts: DataFrame, langs: list[str], rounds: int | None = None) -> Mode
 def train(docs: DataFrame, labels: DataFrame, trusted: int = 1, label: str = "quality") -> tuple[Model | None, DataFrame]:
     """(model, ids trained on) from the documents labelled ``trusted``; None where there is none."""
     known = labels.where(F.col(label) == trusted).select(F.col("doc_id").alias("_id")).distinct()
-    texts, ids = training_documents(docs.select("doc_id", "lang", "text").where("text IS NOT NULL"), known)
-    texts, ids = write_table(texts, "trusted"), write_table(ids, "trained")
+    own = write_table(training_documents(docs.select("doc_id", "lang", "text").where("text IS NOT NULL"), known), "trusted")
+    ids = write_table(own.select("doc_id").distinct(), "trained")
+    texts = write_table(own.dropDuplicates(["_digest"]).select("lang", "text"), "texts")
+    drop_tables(own)
     langs = sorted(r[0] for r in texts.select("lang").distinct().collect())  # a row for each language
     return (weigh(texts, langs) if langs else None), ids
 
@@ -380,7 +386,7 @@ def document_ngrams(docs: DataFrame, langs: set[str], k: int, rounds: int, shard
                 grams = np.concatenate((mark, c[at2], spark_hash(y, z), spark_hash(x, y, np.zeros(len(x), np.uint64)), spark_hash(x, y, z)))
                 of2, of3 = (np.searchsorted(first, at, side="right") - 1 for at in (at2, at3))
                 held = np.concatenate((np.arange(len(key)), of2, of3, of3, of3)).astype(np.uint16)
-                by = np.argsort(grams, kind="stable")
+                by = np.argsort(grams)
                 grams, held = grams[by], held[by]
                 edges = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
                 keys, many = grams[edges], np.diff(np.append(edges, len(grams)))
@@ -397,40 +403,62 @@ def document_ngrams(docs: DataFrame, langs: set[str], k: int, rounds: int, shard
     return docs.mapInArrow(run, "shard int, packed binary")
 
 
+def packed_weights(weights: DataFrame, shards: int) -> DataFrame:
+    """shard, packed: the weights (k, w) by shard: how many, the ascending keys (as steps), the weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def made() -> pa.RecordBatch:
+            k, w = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.float32))
+            parts.clear()
+            by = np.argsort(k)
+            k, w = k[by], w[by]
+            cuts = np.searchsorted(shard_of(k, shards), np.arange(shards + 1))
+            own = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
+            out = [b"".join((np.array([cuts[s + 1] - cuts[s]], "<u4").tobytes(), planes(np.diff(k[cuts[s] : cuts[s + 1]], prepend=np.uint64(0)).astype("<u8")), planes(w[cuts[s] : cuts[s + 1]].astype("<f4")))) for s in own]
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(out, pa.binary())], names=["shard", "packed"])
+
+        size = 0
+        for batch in batches:
+            parts.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size >= PACK_WEIGHTS:
+                yield made()
+                size = 0
+        yield made()
+
+    return weights.mapInArrow(run, "shard int, packed binary")
+
+
 def met(weights: DataFrame, ngrams: DataFrame, shards: int) -> DataFrame:
     """d, w, s: sums of the weights by document key, and how often the document was asked for. A shard's weights come
     before its n-grams, which stream past them."""
-    shard = F.shiftrightunsigned(F.shiftrightunsigned("k", 32) * shards, 32).cast("int")
-    none = F.lit(None)
-    rows = weights.select(shard.alias("shard"), "k", "w", none.cast("binary").alias("packed")).union(ngrams.select("shard", none.cast("long"), none.cast("float"), "packed"))
-    dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("packed").isNotNull())
+    rows = packed_weights(weights, shards).select("shard", F.lit(False).alias("asks"), "packed").union(ngrams.select("shard", F.lit(True), "packed"))
+    dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, known, value = -1, [], np.zeros(0, np.uint64), np.zeros(0)
         for batch in batches:
-            shard, k = batch.column(0).to_numpy(), batch.column(1)
-            is_weight = k.is_valid().to_numpy(zero_copy_only=False)
-            turns = np.flatnonzero((shard[1:] != shard[:-1]) | (is_weight[1:] != is_weight[:-1])) + 1
-            for i, j in zip([0, *turns.tolist()], [*turns.tolist(), len(shard)]):
-                if i == j:
-                    continue
-                if shard[i] != now:
-                    now, parts, known, value = int(shard[i]), [], np.zeros(0, np.uint64), np.zeros(0)
-                if is_weight[i]:
-                    parts.append((k.slice(i, j - i).to_numpy().view(np.uint64), batch.column(2).slice(i, j - i).to_numpy().astype(np.float64)))
+            for shard, asks, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if shard != now:
+                    now, parts, known, value = shard, [], np.zeros(0, np.uint64), np.zeros(0)
+                if not asks:
+                    data = memoryview(one.as_py())
+                    n = int(np.frombuffer(data, "<u4", 1)[0])
+                    parts.append((np.cumsum(joined(data[4:], "<u8", n), dtype=np.uint64), joined(data[4 + 8 * n :], "<f4", n)))
                     continue
                 if parts:
                     known, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
                     value, parts = np.bincount(at, np.concatenate([w for _, w in parts]), len(known)), []
-                for one in batch.column(3).slice(i, j - i):
-                    keys, many, places, docs = unpacked(one.as_py())
-                    at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-                    w = np.where(known[at] == keys, value[at], 0.0) if len(known) else np.zeros(len(keys))
-                    total = np.bincount(places, np.repeat(w, many), len(docs))
-                    asked = np.bincount(places, np.repeat(keys == MARK, many), len(docs)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(docs.view(np.int64)), pa.array(total), pa.array(asked)], names=["d", "w", "s"])
-
-    return dealt.select("shard", "k", "w", "packed").mapInArrow(run, "d long, w double, s long").groupBy("d").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
+                keys, many, places, docs = unpacked(one.as_py())
+                at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
+                w = np.where(known[at] == keys, value[at], 0.0) if len(known) else np.zeros(len(keys))
+                total = np.bincount(places, np.repeat(w, many), len(docs))
+                asked = np.bincount(places, np.repeat(keys == MARK, many), len(docs)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(docs.view(np.int64)), pa.array(total), pa.array(asked)], names=["d", "w", "s"])
+
+    return dealt.mapInArrow(run, "d long, w double, s long").groupBy("d").agg(F.sum("w").alias("w"), F.sum("s").alias("s"))
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
