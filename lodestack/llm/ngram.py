@@ -44,6 +44,8 @@ LEAST_WORDS = 10
 START, END = b" <s>", b" </s>"
 #: Bytes of the texts whose n-grams are sorted together.
 BLOCK_BYTES = 6_000_000
+#: Bytes of the texts whose words are hashed together: the steps' arrays take some 20 bytes for each.
+HASH_BYTES = 1_000_000
 #: Texts of a block: their places are 16 bits wide.
 BLOCK_TEXTS = 60_000
 #: Parts by middle word that are counted and joined one after the other.
@@ -51,9 +53,9 @@ ROUNDS = 4
 #: Weights of one shard, which a task holds at a time.
 SHARD_WEIGHTS = 4_000_000
 #: Weights that a task packs together.
-PACK_WEIGHTS = 1_000_000
+PACK_WEIGHTS = 250_000
 #: Keys of a block that travel as one row.
-ROW_KEYS = 65_536
+ROW_KEYS = 16_384
 #: The key that each block sends for each of its texts in each round: it tells how many blocks hold the text.
 MARK = 1
 #: Longer words are hashed one by one.
@@ -118,7 +120,15 @@ def blocks(batch: pa.RecordBatch) -> Iterator[tuple[list[str], list[bytes]]]:
 
 
 def word_keys(langs: list[str], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(key of every word of the texts in order, words of each text). Words are hashed 8 bytes at a time, all together."""
+    """(key of every word of the texts in order, words of each text), some HASH_BYTES at a time."""
+    sizes = np.cumsum([len(x) for x in texts])
+    cuts = [0, *(np.flatnonzero(np.diff(sizes // HASH_BYTES)) + 1).tolist(), len(texts)]
+    parts = [hashed_words(langs[a:b], texts[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+    return np.concatenate([h for h, _ in parts]), np.concatenate([many for _, many in parts])
+
+
+def hashed_words(langs: list[str], texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """word_keys of a few texts. Words are hashed 8 bytes at a time, all together."""
     seeds = {x: language_seed(x) for x in set(langs)}
     data = b"\n".join(texts) + b"\n"
     raw = np.frombuffer(data + bytes(8), np.uint8)
