@@ -11,11 +11,16 @@ Equal fingerprints are one row from the start, so copies never meet. An anchor w
 is divided by exact thirds of the fingerprint (two that differ in 2 bits agree in one of three parts), over tasks where
 it is crowded. Links leave an anchor as a spanning forest, never as all pairs, and components are found by label
 spreading over written tables; nothing that grows with the corpus reaches the driver.
+
+The above is the setting ``HALVES``. ``QUARTERS`` is a wider one: of two fingerprints that differ in 7 or fewer bits, one
+of four parts of 16 bits differs in at most one. Its anchors are the codewords of the [15, 11] Hamming code on the part's
+first 15 bits (8 anchors at most within 2), and crowded anchors are divided by eighths of the fingerprint.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +35,22 @@ SEED = 42
 SHINGLE_WORDS = 3
 #: Anchors that are home to more different fingerprints are dealt to several tasks.
 CROWDED = 50_000
-#: First bit and bits of three parts of a fingerprint.
-THIRDS = ((0, 22), (22, 21), (43, 21))
 #: Different fingerprints of one anchor or part that are compared with each other directly.
 DIRECT = 2_048
+
+
+@dataclass(frozen=True)
+class Cover:
+    """How fingerprints meet: two that differ in ``threshold`` or fewer bits differ in at most one bit of a part of
+    ``width`` bits, and agree in one of ``slices`` (first bit and bits)."""
+
+    threshold: int
+    width: int
+    slices: tuple[tuple[int, int], ...]
+
+
+HALVES = Cover(THRESHOLD, 32, ((0, 22), (22, 21), (43, 21)))
+QUARTERS = Cover(7, 16, tuple((at, 8) for at in range(0, 64, 8)))
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -82,48 +99,49 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-#: Hamming [31, 26]: position i (1 to 31) has parity check i; a word's syndrome is the xor of its set positions.
+#: Hamming codes: position i (from 1) has parity check i; a word's syndrome is the xor of its set positions.
 _POSITIONS = np.arange(1, 32, dtype=np.uint8)
 
 
-def syndrome(half: np.ndarray) -> np.ndarray:
-    """The position (1 to 31) whose flip leads to the home anchor; 0 at an anchor. half: the low 31 bits count."""
-    out = np.zeros(len(half), np.uint8)
-    for i in _POSITIONS:
-        out ^= ((half >> np.uint64(i - 1)) & np.uint64(1)).astype(np.uint8) * i
+def syndrome(part: np.ndarray, positions: np.ndarray = _POSITIONS) -> np.ndarray:
+    """The position (from 1) whose flip leads to the home anchor; 0 at an anchor. part: the low bits count."""
+    out = np.zeros(len(part), np.uint8)
+    for i in positions:
+        out ^= ((part >> np.uint64(i - 1)) & np.uint64(1)).astype(np.uint8) * i
     return out
 
 
-def anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, anchor, home) of every anchor within 2 bits of each 31-bit word.
+def anchors(part: np.ndarray, cover: Cover = HALVES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor, home) of every anchor within 2 bits of each part's bits but the last.
 
-    Off an anchor (syndrome s): flip s alone (home), or two positions i and j with i xor j = s (15 pairs). At an
+    Off an anchor (syndrome s): flip s alone (home), or two positions i and j with i xor j = s (15 pairs, or 7). At an
     anchor no other anchor is nearer than 3.
     """
-    half = half & np.uint64(0x7FFFFFFF)
-    s, rows = syndrome(half), np.arange(len(half))
+    positions = _POSITIONS[: cover.width - 1]
+    part = part & np.uint64((1 << len(positions)) - 1)
+    s, rows = syndrome(part, positions), np.arange(len(part))
     bit = np.concatenate(([0], 1 << np.arange(31))).astype(np.uint64)
-    out = [(rows, half ^ bit[s], np.ones(len(half), bool))]
-    for i in _POSITIONS:
+    out = [(rows, part ^ bit[s], np.ones(len(part), bool))]
+    for i in positions:
         j = s ^ i
         own = np.flatnonzero((s > 0) & (j > i))
-        out.append((own, half[own] ^ bit[i] ^ bit[j[own]], np.zeros(len(own), bool)))
+        out.append((own, part[own] ^ bit[i] ^ bit[j[own]], np.zeros(len(own), bool)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def replicate(distinct: DataFrame, homes: bool = False) -> DataFrame:
-    """A row for each fingerprint and anchor near it (its homes only): anchor (long; bit 32 tells the half), fp, home."""
+def replicate(distinct: DataFrame, homes: bool = False, cover: Cover = HALVES) -> DataFrame:
+    """A row for each fingerprint and anchor near it (its homes only): anchor (long; from bit 32 the part), fp, home."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             whole = np.asarray(batch.column(0)).view(np.uint64)
             for at in range(0, len(whole), 50_000):
                 fp = whole[at : at + 50_000]
-                for half in (0, 1):
-                    rows, anchor, home = anchors(fp >> np.uint64(32 * half))
+                for part in range(64 // cover.width):
+                    rows, anchor, home = anchors(fp >> np.uint64(cover.width * part), cover)
                     if homes:
                         rows, anchor, home = rows[home], anchor[home], home[home]
-                    key = (anchor | np.uint64(half << 32)).view(np.int64)
+                    key = (anchor | np.uint64(part << 32)).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[rows].view(np.int64)), pa.array(home)], names=["anchor", "fp", "home"])
 
     return distinct.select("fp").mapInArrow(run, "anchor long, fp long, home boolean")
@@ -153,45 +171,45 @@ def forest(fp: np.ndarray, home: np.ndarray, threshold: int = THRESHOLD) -> list
     return out
 
 
-def near(fp: np.ndarray, home: np.ndarray, threshold: int = THRESHOLD) -> list[tuple[int, int]]:
-    """The forest of one anchor. Many fingerprints are first dealt by each third of their bits: linked ones agree in one."""
+def near(fp: np.ndarray, home: np.ndarray, cover: Cover = HALVES) -> list[tuple[int, int]]:
+    """The forest of one anchor. Many fingerprints are first dealt by each slice of their bits: linked ones agree in one."""
     if not home.any():
         return []
     if len(fp) <= DIRECT:
-        return forest(fp, home, threshold)
+        return forest(fp, home, cover.threshold)
     out: list[tuple[int, int]] = []
-    for low, width in THIRDS:
+    for low, width in cover.slices:
         part = (fp >> np.uint64(low)) & np.uint64((1 << width) - 1)
         by = np.argsort(part, kind="stable")
         for g in np.split(by, np.flatnonzero(np.diff(part[by])) + 1):
             if len(g) > 1:
-                out += forest(fp[g], home[g], threshold)
+                out += forest(fp[g], home[g], cover.threshold)
     return out
 
 
-def crowded_anchors(distinct: DataFrame) -> DataFrame:
+def crowded_anchors(distinct: DataFrame, cover: Cover = HALVES) -> DataFrame:
     """anchor of those that are the home of more than CROWDED different fingerprints; a written table, mostly empty."""
-    count = replicate(distinct, homes=True).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    count = replicate(distinct, homes=True, cover=cover).groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
     return write_table(count.where(F.col("n") > CROWDED).select("anchor"), "crowded")
 
 
-def divided(near_anchor: DataFrame, crowded: DataFrame) -> DataFrame:
-    """near_anchor with each crowded anchor's rows dealt to keys of their own by each third of their bits.
+def divided(near_anchor: DataFrame, crowded: DataFrame, cover: Cover = HALVES) -> DataFrame:
+    """near_anchor with each crowded anchor's rows dealt to keys of their own by each slice of their bits.
 
-    Two fingerprints that differ in 2 bits agree in one of the three parts, so they still meet; no task gets more of a
-    crowded anchor than shares a part. A key that falls together with another only adds comparisons.
+    Two linked fingerprints agree in one of the slices, so they still meet; no task gets more of a crowded anchor than
+    shares a slice. A key that falls together with another only adds comparisons.
     """
     if crowded.isEmpty():
         return near_anchor
     marked = near_anchor.join(crowded.withColumn("_crowded", F.lit(True)), "anchor", "left")
-    parts = [F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)) for low, width in THIRDS]
+    parts = [F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)) for low, width in cover.slices]
     keys = F.array(*[F.xxhash64("anchor", F.lit(k), part) for k, part in enumerate(parts)])
     return marked.select(F.explode(F.when(F.col("_crowded"), keys).otherwise(F.array("anchor"))).alias("anchor"), "fp", "home")
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, cover: Cover = HALVES) -> DataFrame:
     """a, b: links between different fingerprints that connect all that are linked (a spanning forest per anchor)."""
-    dealt = divided(replicate(distinct), crowded_anchors(distinct)).repartition("anchor").sortWithinPartitions("anchor")
+    dealt = divided(replicate(distinct, cover=cover), crowded_anchors(distinct, cover), cover).repartition("anchor").sortWithinPartitions("anchor")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -207,24 +225,24 @@ def links(distinct: DataFrame) -> DataFrame:
                 continue
             last = int(np.searchsorted(key, key[-1], side="left"))
             rest = (key[last:], fp[last:], home[last:])
-            yield made(scan(key[:last], fp[:last], home[:last]))
+            yield made(scan(key[:last], fp[:last], home[:last], cover))
         if rest is not None:
-            yield made(scan(*rest))
+            yield made(scan(*rest, cover))
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def scan(key: np.ndarray, fp: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
+def scan(key: np.ndarray, fp: np.ndarray, home: np.ndarray, cover: Cover = HALVES) -> list[tuple[int, int]]:
     """The links of each run of equal keys; runs of one row cost nothing."""
     edges = np.flatnonzero(np.concatenate(([True], np.diff(key) != 0))) if len(key) else np.array([], int)
     size = np.diff(np.concatenate((edges, [len(key)])))
     out: list[tuple[int, int]] = []
     two = edges[size == 2]
-    close = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= THRESHOLD]
+    close = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= cover.threshold]
     close = close[home[close] | home[close + 1]]
     out += list(zip(fp[close].tolist(), fp[close + 1].tolist()))
     for at, n in zip(edges[size > 2].tolist(), size[size > 2].tolist()):
-        out += near(fp[at : at + n], home[at : at + n])
+        out += near(fp[at : at + n], home[at : at + n], cover)
     return out
 
 

@@ -715,6 +715,41 @@ def test_near_copies_equal_brute_force(spark, empty, monkeypatch):
     assert nearcopies.near_copies(empty).count() == 0
 
 
+def test_near_copies_meet_at_anchors(spark):
+    rng = np.random.default_rng(6)
+    fp = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
+    for flips in range(1, 9):
+        bits = np.array([rng.choice(64, flips, replace=False) for _ in range(40)]).astype(np.uint64)
+        fp = np.append(fp, fp[rng.integers(0, 150, 40)] ^ np.bitwise_xor.reduce(np.uint64(1) << bits, axis=1))
+    fp = np.append(fp, fp[:5])  # equal fingerprints of different texts
+    root = list(range(len(fp)))
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i in range(len(fp)):
+        for j in range(i):
+            if (int(fp[i]) ^ int(fp[j])).bit_count() <= 7:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    marked = spark.createDataFrame([(k, x) for k, x in enumerate(fp.view(np.int64).tolist())], "node long, fp long")
+    pairs = nearcopies.met_at_anchors(marked).collect()
+    assert all((int(fp[r.a]) ^ int(fp[r.b])).bit_count() <= 7 for r in pairs)
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert [got.get(k, k) for k in range(len(fp))] == [find(k) for k in range(len(fp))]
+
+
+def test_near_dedup_links_by_simhash(spark, monkeypatch):
+    """The stage takes its links from fingerprints: without the search for the rest, copies with a changed word are found."""
+    words_ = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join([*words_[: 10 * k], "changed", *words_[10 * k + 1 :]]).upper() if k % 2 else " ".join(words_)) for k in range(1, 9)]
+    rows.append((20, " ".join(f"v{k}" for k in range(300))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(nearcopies, "candidates", lambda dealt, stars: dealt.select(F.col("node").alias("a"), F.col("node").alias("b")).where("false"))
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(df).collect()}
+    assert got == {k: 1 for k in range(1, 9)} | {20: 20}
+
+
 def test_bitmaps_differ_in_no_more_bits_than_sets():
     rng = random.Random(5)
     for _ in range(200):
