@@ -11,8 +11,9 @@ summed up by document. No part of the model is held by the driver or whole by a
 All counts are taken over every trusted document but the quarter that thresholds come from. Trigrams are counted, weighed
 and joined in ROUNDS by their middle word: contexts (a, b) and lower orders (b, c) of a trigram lie in its round. So
 what is on disk at one time is one round's n-grams; texts are read again in each round, which costs no disk. A round's
-document n-grams are packed by block (keys once each, with the documents that hold them) and dealt to shards of the
-hash space together with the weights; shards are equal parts of the hash space, so no n-gram's frequency makes one task
+weights are packed once into shards of the hash space. Its document n-grams are packed by block (keys once each, with
+the documents that hold them) and dealt to these shards for one of PARTS of the texts after the other, so that what is on
+disk is a part's n-grams, and no text is hashed twice in a round; shards are equal parts of the hash space, so no n-gram's frequency makes one task
 larger by more than its holders' 2 bytes each. Words and n-grams are known by 64-bit hashes. Thresholds are quantiles for
 each language over all trusted documents that were not trained on.
 """
@@ -49,13 +50,15 @@ HASH_BYTES = 1_000_000
 #: Texts of a block: their places are 16 bits wide.
 BLOCK_TEXTS = 60_000
 #: Parts by middle word that are counted and joined one after the other.
-ROUNDS = 4
+ROUNDS = 5
+#: Parts by text whose n-grams are dealt one after the other within a round.
+PARTS = 3
 #: Weights of one shard, which a task holds at a time.
-SHARD_WEIGHTS = 4_000_000
+SHARD_WEIGHTS = 2_000_000
 #: Weights that a task packs together.
 PACK_WEIGHTS = 250_000
 #: Keys of a block that travel as one row.
-ROW_KEYS = 16_384
+ROW_KEYS = 65_536
 #: The key that each block sends for each of its texts in each round: it tells how many blocks hold the text.
 MARK = 1
 #: Longer words are hashed one by one.
@@ -276,6 +279,7 @@ class Model:
         two = c2.join(of_b.hint("shuffle_hash"), "b").join(known.select(F.col("k").alias("c"), "p1").hint("shuffle_hash"), "c").join(told.select("l", "d2"), "l")
         low = F.col("g2") * F.col("p1")
         two = write_table(two.select("b", "c", low.alias("low"), (discounted(2) / F.col("total") + low).alias("p2")), "pairs")
+        drop_tables(c2)
         three = c3.join(two.select("b", "c", "p2").hint("shuffle_hash"), ["b", "c"])
         gain = F.log1p(F.col("x") / F.col("p2"))
         row = lambda key, w: (key.alias("k"), w.cast("float").alias("w"))
@@ -287,7 +291,7 @@ class Model:
             .union(three.select(*row(F.xxhash64("a", "b", "c"), gain)))
         )
         out = write_table(out, "weights")
-        drop_tables(c3, c2, of_b, two)
+        drop_tables(c3, of_b, two)
         return out, [out]
 
     def score(self, lang: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -354,15 +358,23 @@ def joined(data: memoryview, kind: str, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width).reshape(width, n).T).view(kind).reshape(-1)
 
 
+def shrunk(data: bytes) -> bytes:
+    return np.uint32(len(data)).tobytes() + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def whole_again(data: bytes) -> memoryview:
+    return memoryview(pa.decompress(data[4:], int(np.frombuffer(data, "<u4", 1)[0]), codec="zstd", asbytes=True))
+
+
 def packed(keys: np.ndarray, many: np.ndarray, holders: np.ndarray, docs: np.ndarray) -> bytes:
     """Ascending keys (as steps), how many holders each has, and the holders' places among docs (keys of the texts)."""
     some, places = np.unique(holders, return_inverse=True)
     head = np.array([len(keys), len(holders), len(some)], "<u4").tobytes()
-    return b"".join((head, docs[some].astype("<u8").tobytes(), planes(np.diff(keys, prepend=np.uint64(0)).astype("<u8")), planes(many.astype("<u4")), planes(places.astype("<u2"))))
+    return shrunk(b"".join((head, docs[some].astype("<u8").tobytes(), planes(np.diff(keys, prepend=np.uint64(0)).astype("<u8")), planes(many.astype("<u4")), planes(places.astype("<u2")))))
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    view = memoryview(data)
+    view = whole_again(data)
     n, held, some = np.frombuffer(view, "<u4", 3).tolist()
     edges = np.cumsum([12, 8 * some, 8 * n, 4 * n])
     docs = np.frombuffer(view, "<u8", some, 12)
@@ -413,54 +425,87 @@ def document_ngrams(docs: DataFrame, langs: set[str], k: int, rounds: int, shard
     return docs.mapInArrow(run, "shard int, packed binary")
 
 
+def packed_shard(k: np.ndarray, w: np.ndarray) -> bytes:
+    """How many, the ascending keys (as steps), the weights."""
+    return shrunk(b"".join((np.array([len(k)], "<u4").tobytes(), planes(np.diff(k, prepend=np.uint64(0)).astype("<u8")), planes(w.astype("<f4")))))
+
+
+def unpacked_shard(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    view = whole_again(data)
+    n = int(np.frombuffer(view, "<u4", 1)[0])
+    return np.cumsum(joined(view[4:], "<u8", n), dtype=np.uint64), joined(view[4 + 8 * n :], "<f4", n)
+
+
+def summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(ascending keys, sums of their weights) of several (keys, weights)."""
+    k, w = (np.concatenate(x) for x in zip(*parts))
+    by = np.argsort(k)
+    k, w = k[by], w[by]
+    edges = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    return k[edges], np.add.reduceat(w.astype(np.float64), edges).astype(np.float32)
+
+
 def packed_weights(weights: DataFrame, shards: int) -> DataFrame:
-    """shard, packed: the weights (k, w) by shard: how many, the ascending keys (as steps), the weights."""
+    """shard, packed: the weights (k, w) by shard, a row for each shard; a written table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
 
         def made() -> pa.RecordBatch:
-            k, w = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.float32))
+            k, w = summed(parts)
             parts.clear()
-            by = np.argsort(k)
-            k, w = k[by], w[by]
             cuts = np.searchsorted(shard_of(k, shards), np.arange(shards + 1))
             own = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
-            out = [b"".join((np.array([cuts[s + 1] - cuts[s]], "<u4").tobytes(), planes(np.diff(k[cuts[s] : cuts[s + 1]], prepend=np.uint64(0)).astype("<u8")), planes(w[cuts[s] : cuts[s + 1]].astype("<f4")))) for s in own]
+            out = [packed_shard(k[cuts[s] : cuts[s + 1]], w[cuts[s] : cuts[s + 1]]) for s in own]
             return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(out, pa.binary())], names=["shard", "packed"])
 
         size = 0
         for batch in batches:
-            parts.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
+            if batch.num_rows:
+                parts.append((batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()))
             size += batch.num_rows
             if size >= PACK_WEIGHTS:
                 yield made()
                 size = 0
-        yield made()
+        if parts:
+            yield made()
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = -1, []
+
+        def made() -> pa.RecordBatch:
+            one = packed_shard(*summed(parts))
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([one], pa.binary())], names=["shard", "packed"])
+
+        for batch in batches:
+            for shard, one in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if parts and shard != now:
+                    yield made()
+                now = shard
+                parts.append(unpacked_shard(one.as_py()))
+        if parts:
+            yield made()
 
-    return weights.mapInArrow(run, "shard int, packed binary")
+    dealt = weights.mapInArrow(run, "shard int, packed binary").repartitionById(shards, "shard").sortWithinPartitions("shard")
+    return write_table(dealt.mapInArrow(merge, "shard int, packed binary"), "shards")
 
 
 def met(weights: DataFrame, ngrams: DataFrame, shards: int) -> DataFrame:
-    """d, w, s: sums of the weights by document key, and how often the document was asked for. A shard's weights come
-    before its n-grams, which stream past them."""
-    rows = packed_weights(weights, shards).select("shard", F.lit(False).alias("asks"), "packed").union(ngrams.select("shard", F.lit(True), "packed"))
+    """d, w, s: sums of the weights by document key, and how often the document was asked for. A shard's weights (shard,
+    packed) come before its n-grams, which stream past them."""
+    rows = weights.select("shard", F.lit(False).alias("asks"), "packed").union(ngrams.select("shard", F.lit(True), "packed"))
     dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, known, value = -1, [], np.zeros(0, np.uint64), np.zeros(0)
+        now, known, value = -1, np.zeros(0, np.uint64), np.zeros(0)
         for batch in batches:
             for shard, asks, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 if shard != now:
-                    now, parts, known, value = shard, [], np.zeros(0, np.uint64), np.zeros(0)
+                    now, known, value = shard, np.zeros(0, np.uint64), np.zeros(0)
                 if not asks:
-                    data = memoryview(one.as_py())
-                    n = int(np.frombuffer(data, "<u4", 1)[0])
-                    parts.append((np.cumsum(joined(data[4:], "<u8", n), dtype=np.uint64), joined(data[4 + 8 * n :], "<f4", n)))
+                    known, value = unpacked_shard(one.as_py())
                     continue
-                if parts:
-                    known, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
-                    value, parts = np.bincount(at, np.concatenate([w for _, w in parts]), len(known)), []
                 keys, many, places, docs = unpacked(one.as_py())
                 at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
                 w = np.where(known[at] == keys, value[at], 0.0) if len(known) else np.zeros(len(keys))
@@ -478,10 +523,14 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
         weights, done = model.weights(k)
         with tidy(spark):
             shards = max(spark.sparkContext.defaultParallelism, -(-weights.count() // SHARD_WEIGHTS))
-        found = met(weights, document_ngrams(docs, set(model.base), k, model.rounds, shards), shards)
-        # a text of several blocks was asked for by each of them
-        out.append(write_table(found.select("d", (F.col("w") / F.col("s")).alias("w")), "sums"))
+        dealt = packed_weights(weights, shards)
         drop_tables(*done)
+        for part in range(PARTS):
+            own = docs.where(F.pmod(F.xxhash64("text"), F.lit(PARTS)) == part)
+            found = met(dealt, document_ngrams(own, set(model.base), k, model.rounds, shards), shards)
+            # a text of several blocks was asked for by each of them
+            out.append(write_table(found.select("d", (F.col("w") / F.col("s")).alias("w")), "sums"))
+        drop_tables(dealt)
     total = write_table(reduce(DataFrame.union, out).groupBy("d").agg(F.sum("w").alias("w")), "scores")
     drop_tables(*out)
     return total

@@ -359,6 +359,41 @@ def test_classifier_trains_every_language_on_all_its_trusted_text(spark, monkeyp
         assert np.allclose(-total / (n + 1), list(brute_kneser_ney(train, mine)), rtol=1e-4)
 
 
+def test_classifier_deals_ngrams_of_a_part_of_the_texts_at_a_time(spark, monkeypatch):
+    """Every text is dealt in one part of each round, so that no part has more than its share of the n-grams on disk."""
+    monkeypatch.setattr(ngram, "ROUNDS", 2)
+    rows = [(k, " ".join(f"w{(k * i) % 97}" for i in range(1, 30)), "en") for k in range(200)]
+    df = spark.createDataFrame([*rows, (900, None, "en"), rows[5]], "doc_id long, text string, lang string")
+    dealt, own = [], ngram.document_ngrams
+    monkeypatch.setattr(ngram, "document_ngrams", lambda docs, *x: dealt.append([r.text for r in docs.collect()]) or own(docs, *x))
+    model, _ = ngram.train(df, df.select("doc_id", F.lit(1).alias("quality")))
+    got = ngram.perplexities(df, model, ["doc_id"]).collect()
+    assert len(got) == 202 and all(r.log_perplexity is not None for r in got)
+    parts = len(dealt) // 2
+    assert parts > 1 and len(dealt) == 2 * parts
+    for k in range(2):
+        now = dealt[k * parts : (k + 1) * parts]
+        assert Counter(x for p in now for x in p) == Counter(r.text for r in df.collect())
+        assert max(map(len, now)) < 202 / parts * 1.5
+        assert not any(set(now[0]) & set(p) for p in now[1:])
+
+
+def test_packed_weights_are_summed_by_key(spark):
+    rng = np.random.default_rng(7)
+    keys, w = rng.integers(-(1 << 63), (1 << 63) - 1, 500), rng.random(900).astype(np.float32)
+    k = keys[rng.integers(0, 500, 900)]
+    df = spark.createDataFrame([(int(x), float(y)) for x, y in zip(k, w)], "k long, w float")
+    out = ngram.packed_weights(df, 3).collect()
+    assert sorted(r.shard for r in out) == [0, 1, 2]  # a row for each shard, however many tasks packed
+    got = {}
+    for r in out:
+        x, y = ngram.unpacked_shard(bytes(r.packed))
+        assert (np.diff(x.astype(object)) > 0).all() and (ngram.shard_of(x, 3) == r.shard).all()
+        got |= dict(zip(x.view(np.int64).tolist(), y.tolist()))
+    want = {int(x): float(w[k == x].astype(float).sum()) for x in np.unique(k)}
+    assert got.keys() == want.keys() and np.allclose([got[x] for x in want], list(want.values()), rtol=1e-6)
+
+
 # near duplicates ----------------------------------------------------------------------------------------------------
 
 
