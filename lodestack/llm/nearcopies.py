@@ -9,7 +9,8 @@ Its candidates come from prefixes: with the shingles of every text in one common
 share one of the first n - ceil(0.8 n) + 1 of each. Shingles that many prefixes hold come last in that order, which any
 order may; nothing is skipped. Each candidate pair is checked on the whole texts. A first round checks the members of a
 shared shingle against one of them only, so that a large group of near copies is one component before the second round
-checks all pairs between different components. Components are found from spanning forests of the links: a large group
+checks all pairs between different components. In a large group most of those fail: where many prefixes share a shingle,
+its rows carry small bitmaps (sketches), and only pairs that pass them leave the task that compares them. Components are found from spanning forests of the links: a large group
 has many links for each text.
 """
 
@@ -32,6 +33,10 @@ from lodestack.llm.ngram import blocks, spark_hash, word_keys
 SHINGLE_WORDS = 5
 #: Shingles in more prefixes come last in the order of shingles.
 COMMON = 500
+#: A shingle in more prefixes is dealt with its texts' sketches, so that only pairs that pass them leave a task.
+CROWDED = 32
+#: Most places of a sketch.
+SKETCH_PLACES = 1_024
 #: Links of which one task makes a forest.
 FOREST_LINKS = 500_000
 #: Pairs that leave a task together.
@@ -74,6 +79,38 @@ def differing(x: bytes, y: bytes) -> int:
     return (value ^ int.from_bytes(one, "little")).bit_count()
 
 
+def sketch(bits: bytes) -> bytes:
+    """A bitmap, folded to SKETCH_PLACES at most, which keeps parities."""
+    own = np.frombuffer(bits, np.uint8)
+    while 8 * len(own) > SKETCH_PLACES:
+        own = own[: len(own) // 2] ^ own[len(own) // 2 :]
+    return own.tobytes()
+
+
+class Sketches:
+    """The sketches of some texts, folded to each size that one of them has; two differ no more than the sets do."""
+
+    def __init__(self, bits: list[bytes]) -> None:
+        self.size = np.array([len(x) for x in bits])
+        width = int(self.size.max())
+        whole = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in bits), np.uint64).reshape(len(bits), -1)
+        self.folded = {}
+        for size in np.unique(self.size).tolist()[::-1]:
+            while width > size:
+                # narrower rows have nothing in the upper half
+                whole, width = whole[:, : whole.shape[1] // 2] ^ whole[:, whole.shape[1] // 2 :], width // 2
+            self.folded[size] = whole
+
+    def differing(self, i: int, others: np.ndarray) -> np.ndarray:
+        """In how many places the sketch of i and each of the others differ at least; compared at the smaller size."""
+        out, least = np.zeros(len(others), np.int64), np.minimum(self.size[others], self.size[i])
+        for size in np.unique(least).tolist():
+            own = self.folded[size]
+            here = least == size
+            out[here] = np.bitwise_count(own[others[here]] ^ own[i]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def fingerprint(h: np.ndarray) -> int:
     """The SimHash of a set of hashes, as a signed long."""
     return int(np.uint64(simhash.majority(h)).view(np.int64))
@@ -96,13 +133,13 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def prefixes(texts: DataFrame, common: np.ndarray) -> DataFrame:
-    """k, node, n, at, bits, fp: the shingles of each text's prefix with its number of shingles and the place among them;
-    the first place has the text's bitmap and fingerprint."""
+    """k, node, n, at, bits, sketch, fp: the shingles of each text's prefix with its number of shingles and the place among
+    them; the first place has the text's bitmap, sketch and fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for own, texts in blocks(batch):
-                keys, nodes, sizes, places, bits, fps = [], [], [], [], [], []
+                keys, nodes, sizes, places, bits, sketches, fps = [], [], [], [], [], [], []
                 for node, h in zip(own, shingle_hashes(texts)):
                     # one order for all texts: by hash, the common ones behind the others
                     late = np.isin(h, common)
@@ -112,10 +149,11 @@ def prefixes(texts: DataFrame, common: np.ndarray) -> DataFrame:
                     sizes.append(np.full(first, n, np.int32))
                     places.append(np.arange(first, dtype=np.int32))
                     bits.extend((bitmap(h), *[None] * (first - 1)))
+                    sketches.extend((sketch(bits[-first]), *[None] * (first - 1)))
                     fps.extend((fingerprint(h), *[None] * (first - 1)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (nodes, sizes, places)], pa.array(bits, pa.binary()), pa.array(fps, pa.int64())], names=["k", "node", "n", "at", "bits", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), *[pa.array(np.concatenate(x)) for x in (nodes, sizes, places)], pa.array(bits, pa.binary()), pa.array(sketches, pa.binary()), pa.array(fps, pa.int64())], names=["k", "node", "n", "at", "bits", "sketch", "fp"])
 
-    return texts.select("node", "text").mapInArrow(run, "k long, node long, n int, at int, bits binary, fp long")
+    return texts.select("node", "text").mapInArrow(run, "k long, node long, n int, at int, bits binary, sketch binary, fp long")
 
 
 def met_at_anchors(marked: DataFrame) -> DataFrame:
@@ -132,14 +170,18 @@ def met_at_anchors(marked: DataFrame) -> DataFrame:
 
 def candidates(dealt: DataFrame, stars: bool) -> DataFrame:
     """a, b: pairs that share a prefix's shingle and may be similar by their sizes and places; each with the smallest
-    only (stars), or all that are not of one ``comp``. dealt: k, node, n, at, comp."""
+    only (stars), or all that are not of one ``comp`` and may be similar by their sketches, where a shingle has them.
+    dealt: k, node, n, at, comp, sketch (null or not for all of a k)."""
     own = dealt.repartition("k").sortWithinPartitions("k", "node")
 
-    def met(node: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def met(node: np.ndarray, n: np.ndarray, at: np.ndarray, comp: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        drawn = None if stars or bits[0] is None else Sketches(bits.tolist())
         for i in range(1 if stars else len(node) - 1):
             most = 1 + np.minimum(n[i] - at[i], n[i + 1 :] - at[i + 1 :]) - 1
-            close = (comp[i + 1 :] != comp[i]) & (9 * most >= 4 * (n[i] + n[i + 1 :]))
-            yield np.full(np.count_nonzero(close), node[i]), node[i + 1 :][close]
+            own = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (9 * most >= 4 * (n[i] + n[i + 1 :])))
+            if drawn and len(own):
+                own = own[9 * drawn.differing(i, own) <= n[i] + n[own]]
+            yield np.full(len(own), node[i]), node[own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[np.ndarray, np.ndarray]] = []
@@ -153,10 +195,10 @@ def candidates(dealt: DataFrame, stars: bool) -> DataFrame:
             edges = np.append(np.flatnonzero(np.concatenate(([True], np.diff(cols[0]) != 0))), len(cols[0]))
             size = 0
             for k in np.flatnonzero(np.diff(edges) > 1):
-                node, n, at, comp = (x[edges[k] : edges[k + 1]] for x in cols[1:])
+                node, n, at, comp, bits = (x[edges[k] : edges[k + 1]] for x in cols[1:])
                 if (comp == comp[0]).all():
                     continue
-                for pair in met(node, n, at, comp):
+                for pair in met(node, n, at, comp, bits):
                     out.append(pair)
                     size += len(pair[0])
                     if size > BLOCK_PAIRS:
@@ -166,7 +208,7 @@ def candidates(dealt: DataFrame, stars: bool) -> DataFrame:
 
         rest: list[np.ndarray] | None = None
         for batch in batches:
-            cols = [c.to_numpy() for c in batch.columns]
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols)]
             if not len(cols[0]):
@@ -178,7 +220,7 @@ def candidates(dealt: DataFrame, stars: bool) -> DataFrame:
         if rest is not None:
             yield from scan(rest)
 
-    return own.select("k", "node", "n", "at", "comp").mapInArrow(run, "a long, b long").distinct()
+    return own.select("k", "node", "n", "at", "comp", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
 def close(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -273,8 +315,9 @@ def groups_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
         drop_tables(first)
         first = write_table(prefixes(texts_of(whole, distinct), common), "prefixes")
     # most shingles are in one text only: they make no pair and are dealt no further
-    bitmaps = write_table(first.where("at = 0").select("node", "n", "bits", "fp"), "bitmaps")
-    shared = first.drop("bits", "fp").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("k"))).where("_n > 1").drop("_n")
+    bitmaps = write_table(first.where("at = 0").select("node", "n", "bits", "sketch", "fp"), "bitmaps")
+    shared = first.drop("bits", "sketch", "fp").withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("k"))).where("_n > 1")
+    shared = shared.withColumn("crowded", F.col("_n") > CROWDED).drop("_n")
     shared = write_table(shared, "shared")
     drop_tables(first)
     first = shared
@@ -284,7 +327,12 @@ def groups_of(docs: DataFrame, id_column: str = "doc_id", text_column: str = "te
     told = simhash.components(spanned(some))
     links = [some]
     for stars in (True, False):
-        dealt = first.join(told, "node", "left").select("k", "node", "n", "at", F.coalesce("root", "node").alias("comp"))
+        drawn = F.lit(None).cast("binary")
+        rows = first.join(told, "node", "left")
+        if not stars:
+            rows = rows.join(bitmaps.select("node", "sketch"), "node")
+            drawn = F.when(F.col("crowded"), F.col("sketch"))
+        dealt = rows.select("k", "node", "n", "at", F.coalesce("root", "node").alias("comp"), drawn.alias("sketch"))
         links.append(checked(close(candidates(dealt, stars), bitmaps), whole, distinct))
         told = simhash.components(reduce(DataFrame.union, map(spanned, links)))
     roots = told

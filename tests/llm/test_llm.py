@@ -797,6 +797,41 @@ def test_bitmaps_differ_in_no_more_bits_than_sets():
         assert nearcopies.differing(nearcopies.bitmap(hx), nearcopies.bitmap(hy)) <= len(x ^ y)
 
 
+def test_near_copies_of_a_large_group_are_not_joined_pair_by_pair(spark, monkeypatch):
+    """Texts that share shingles and are not similar meet within tasks only; the few that are similar are found."""
+    rng, base = random.Random(9), [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(120):
+        own = list(rows[rng.randrange(len(rows))][1].split() if k % 12 == 11 else base)
+        for i in rng.sample(range(150), 1 if k % 12 == 11 else 8):
+            own[i] = f"x{k}_{i}"
+        rows.append((k, " ".join(own)))
+    seen, close = [], nearcopies.close
+    monkeypatch.setattr(nearcopies, "close", lambda pairs, bitmaps: seen.append(pairs.count()) or close(pairs, bitmaps))
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets, want = [nearcopies.shingles(t) for _, t in rows], list(range(120))
+    for i in range(120):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((want[i], want[j]))
+                want = [a if x == b else x for x in want]
+    assert got == dict(enumerate(want)) and len(set(want)) < 120
+    assert seen[-1] <= len(rows)  # 7,000 are possible
+
+
+def test_sketches_differ_in_no_more_places_than_sets():
+    rng = random.Random(6)
+    sets = [np.unique(np.array([rng.getrandbits(64) for _ in range(rng.choice((0, 3, 60, 70, 300, 3_000)))], np.uint64)) for _ in range(30)]
+    sets += [np.unique(np.append(x[: len(x) - len(x) // 9], np.uint64(rng.getrandbits(64)))) for x in sets]
+    drawn = nearcopies.Sketches([nearcopies.sketch(nearcopies.bitmap(x)) for x in sets])
+    for i in range(len(sets)):
+        most = np.array([len(np.setxor1d(sets[i], y)) for y in sets])
+        least = drawn.differing(i, np.arange(len(sets)))
+        assert (least <= most).all() and least[i] == 0
+        small = [j for j in range(len(sets)) if len(sets[i]) <= 70 and len(sets[j]) <= 70]
+        assert all(least[j] == nearcopies.differing(nearcopies.bitmap(sets[i]), nearcopies.bitmap(sets[j])) for j in small)
+
+
 # pipeline -----------------------------------------------------------------------------------------------------------
 
 
