@@ -20,7 +20,7 @@ each language over all trusted documents that were not trained on.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -30,7 +30,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from lodestack.llm.common import drop_tables, tidy, words_of, write_table
 
@@ -55,6 +54,8 @@ ROUNDS = 5
 PARTS = 3
 #: Weights of one shard, which a task holds at a time.
 SHARD_WEIGHTS = 2_000_000
+#: Bytes of a round's texts whose trigrams a task counts.
+SHARD_BYTES = 6_000_000
 #: Weights that a task packs together.
 PACK_WEIGHTS = 250_000
 #: Keys of a block that travel as one row.
@@ -185,9 +186,38 @@ def training_documents(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return own.where(F.pmod(F.xxhash64("_digest"), F.lit(4)) != 0)
 
 
-def trigram_counts(texts: DataFrame, numbers: dict[str, int], k: int, rounds: int, *by: str) -> DataFrame:
-    """l (the language's number), a, b, c, n: counts of the trigrams of round k, by word keys, dealt by the columns ``by``.
-    Each block is counted where it is."""
+def packed_trigrams(l: np.ndarray, words: list[np.ndarray], n: np.ndarray) -> bytes:
+    """Language numbers, the three word keys and counts of some trigrams."""
+    return shrunk(b"".join((np.array([len(n)], "<u4").tobytes(), planes(l.astype("<i4")), *[planes(x.astype("<u8")) for x in words], planes(n.astype("<i8")))))
+
+
+def unpacked_trigrams(data: bytes) -> list[np.ndarray]:
+    """[l, a, b, c, n]"""
+    view = whole_again(data)
+    n = int(np.frombuffer(view, "<u4", 1)[0])
+    edges = np.cumsum([4, 4 * n, 8 * n, 8 * n, 8 * n])
+    return [joined(view[at:], kind, n) for at, kind in zip(edges.tolist(), ("<i4", "<u8", "<u8", "<u8", "<i8"))]
+
+
+def counted(l: np.ndarray, words: list[np.ndarray], n: np.ndarray, pair: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """(key of the pair, l, words, n) of each different trigram in the order of the keys; pair: the first word's place."""
+    grams = spark_hash(*words)
+    by = np.argsort(grams)
+    edges = np.flatnonzero(np.diff(grams[by], prepend=~grams[by[:1]]) != 0)
+    at, n = by[edges], np.add.reduceat(n[by], edges) if len(by) else n
+    words = [x[at] for x in words]
+    key = spark_hash(*words[pair : pair + 2])
+    by = np.argsort(key)
+    return key[by], l[at[by]], [x[by] for x in words], n[by]
+
+
+def trigram_counts(model: Model, k: int, pair: int, finish: Callable[..., pa.RecordBatch], kinds: str) -> DataFrame:
+    """What ``finish`` makes of the trigrams of round k, dealt by a pair of their words (the first two, 0, or the last, 1):
+    it gets the first place of each pair, and l, (a, b, c), n of all trigrams, those of one pair together.
+
+    Each block is counted where it is, and packed for equal parts of the pairs' hash space; a task counts such a part.
+    """
+    numbers, rounds, shards = model.numbers, model.rounds, model.shards
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,15 +227,70 @@ def trigram_counts(texts: DataFrame, numbers: dict[str, int], k: int, rounds: in
                 real[first] = real[first + 1] = False
                 at = np.flatnonzero(real)
                 at = at[round_of(c[at - 1], rounds) == k]
-                grams = spark_hash(c[at - 2], c[at - 1], c[at])
-                by = np.argsort(grams)
-                grams = grams[by]
-                edges = np.flatnonzero(np.concatenate(([len(by) > 0], grams[1:] != grams[:-1])))
-                at, n = at[by[edges]], np.diff(np.append(edges, len(by)))
                 of = np.array([numbers[x] for x in langs], np.int32)[np.searchsorted(first, at, side="right") - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(of), *[pa.array(c[at - i].view(np.int64)) for i in (2, 1, 0)], pa.array(n)], names=["l", "a", "b", "c", "n"])
+                key, of, words, n = counted(of, [c[at - 2], c[at - 1], c[at]], np.ones(len(at), np.int64), pair)
+                cuts = np.searchsorted(shard_of(key, shards), np.arange(shards + 1)).tolist()
+                some = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
+                out = [packed_trigrams(of[i:j], [x[i:j] for x in words], n[i:j]) for i, j in ((cuts[s], cuts[s + 1]) for s in some)]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(out, pa.binary())], names=["shard", "packed"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = -1, []
+
+        def made() -> Iterator[pa.RecordBatch]:
+            l, *words, n = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
+            key, l, words, n = counted(l, words, n, pair)
+            out = finish(np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0), l, words, n)
+            for at in range(0, out.num_rows, ROW_KEYS):
+                yield out.slice(at, ROW_KEYS)
 
-    return texts.mapInArrow(run, "l int, a long, b long, c long, n long").repartition(*by).groupBy("l", "a", "b", "c").agg(F.sum("n").alias("n"))
+        for batch in batches:
+            for shard, one in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if parts and shard != now:
+                    yield from made()
+                now = shard
+                parts.append(unpacked_trigrams(one.as_py()))
+        if parts:
+            yield from made()
+
+    dealt = model.texts.mapInArrow(run, "shard int, packed binary").repartitionById(shards, "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(merge, kinds)
+
+
+def bigram_counts(model: Model, k: int) -> DataFrame:
+    """l, b, c, n of the bigrams of round k (see Model.bigrams), and for each task and language a row of these with s: how many
+    trigrams were counted once, twice, 3, 4 and more than 2 times, the sum of the counts, the trigrams."""
+    starts = np.array([mark_key(START, x) for x in model.numbers], np.uint64)
+
+    def finish(first: np.ndarray, l: np.ndarray, words: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+        many = np.where(np.isin(words[1][first], starts), np.add.reduceat(n, first), np.diff(np.append(first, len(n))))
+        told = {x: n[l == x] for x in np.unique(l).tolist()}
+        s = [[*[int((x == i).sum()) for i in (1, 2, 3, 4)], int((x > 2).sum()), int(x.sum()), len(x)] for x in told.values()]
+        none = pa.nulls(len(s), pa.int64())
+        two = [pa.array(l[first]), *[pa.array(x[first].view(np.int64)) for x in words[1:]], pa.array(many), pa.nulls(len(first), pa.list_(pa.int64()))]
+        more = [pa.array(list(told), pa.int32()), none, none, none, pa.array(s, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(two, more)], names=["l", "b", "c", "n", "s"])
+
+    return trigram_counts(model, k, 1, finish, "l int, b long, c long, n long, s array<long>")
+
+
+def context_shares(model: Model, k: int) -> DataFrame:
+    """l, a, b, c, n of the trigrams of round k, whether it is the one that stands for (a, b), g3 (the mass that (a, b)
+    leaves) and x (the discounted share, by g3)."""
+    d3 = np.array([row[3] for row in model.table])
+
+    def finish(first: np.ndarray, l: np.ndarray, words: list[np.ndarray], n: np.ndarray) -> pa.RecordBatch:
+        many = np.diff(np.append(first, len(n)))
+        total = np.add.reduceat(n, first).astype(np.float64)
+        mass = sum(d3[l[first], i] * np.add.reduceat(x.astype(np.int64), first) for i, x in enumerate((n == 1, n == 2, n > 2)))
+        g3, stands = np.repeat(mass / total, many), np.zeros(len(n), bool)
+        stands[first] = True
+        x = (n - d3[l, np.minimum(n, 3) - 1]) / np.repeat(total, many) / g3
+        columns = [pa.array(l), *[pa.array(w.view(np.int64)) for w in words], pa.array(n), pa.array(stands), pa.array(g3.astype(np.float32)), pa.array(x.astype(np.float32))]
+        return pa.RecordBatch.from_arrays(columns, names=["l", "a", "b", "c", "n", "first", "g3", "x"])
+
+    return trigram_counts(model, k, 0, finish, "l int, a long, b long, c long, n long, first boolean, g3 float, x float")
 
 
 def counts_of_counts(counts: DataFrame) -> dict[int, tuple[int, ...]]:
@@ -251,25 +336,21 @@ class Model:
     table: list[tuple]
     base: dict[str, float]
     rounds: int
+    shards: int
 
     def told(self) -> DataFrame:
         kinds = "l int, d1 array<double>, d2 array<double>, d3 array<double>, total1 double, base double"
         return F.broadcast(self.words.sparkSession.createDataFrame(self.table, kinds))  # a row for each language
 
-    def bigrams(self, c3: DataFrame, *more: Column) -> DataFrame:
+    def bigrams(self, c3: DataFrame) -> DataFrame:
         """l, b, c, n: different left neighbours; bigrams at a text's start keep their own counts, as nothing varies before them."""
         starts = F.col("b").isin([signed(mark_key(START, x)) for x in self.numbers])
-        return c3.groupBy("l", "b", "c").agg(F.when(starts, F.sum("n")).otherwise(F.count(F.lit(1))).alias("n"), *more)
+        return c3.groupBy("l", "b", "c").agg(F.when(starts, F.sum("n")).otherwise(F.count(F.lit(1))).alias("n"))
 
     def weights(self, k: int) -> tuple[DataFrame, list[DataFrame]]:
         """(k, w: the weights of the n-grams of round k; tables to drop after use). Bigrams' and contexts' keys differ."""
-        told, n = self.told(), F.col("n")
-        context = Window.partitionBy("l", "a", "b")
-        c3 = trigram_counts(self.texts, self.numbers, k, self.rounds, "a", "b")
-        c3 = c3.select("*", F.sum("n").over(context).alias("total"), *[F.sum((x).cast("int")).over(context).alias(f"n{i}") for i, x in ((1, n == 1), (2, n == 2), (3, n > 2))], (F.min("c").over(context) == F.col("c")).alias("first"))
-        c3 = c3.join(told.select("l", "d3"), "l").withColumn("g3", left_mass(3))
-        c3 = c3.select("l", "a", "b", "c", "n", "first", F.col("g3").cast("float").alias("g3"), (discounted(3) / F.col("total") / F.col("g3")).cast("float").alias("x"))
-        c3 = write_table(c3, "trigrams")
+        told = self.told()
+        c3 = write_table(context_shares(self, k), "trigrams")
         c2 = write_table(self.bigrams(c3), "bigrams")
         of_b = contexts(c2, F.col("b")).join(told, "l")
         of_b = write_table(of_b.select("b", "total", left_mass(2).alias("g2")), "left")
@@ -310,21 +391,24 @@ def signed(x: int) -> int:
 def weigh(texts: DataFrame, langs: list[str], rounds: int | None = None) -> Model:
     """The model of the texts (lang, text): every round is counted once for what all rounds need of it."""
     rounds = rounds or ROUNDS
-    model = Model(texts, texts, {x: k for k, x in enumerate(langs)}, [], {}, rounds)
+    spark = texts.sparkSession
+    with tidy(spark):
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(spark.sparkContext.defaultParallelism, -(-size // (rounds * SHARD_BYTES)))
+    model = Model(texts, texts, {x: k for k, x in enumerate(langs)}, [], {}, rounds, shards)
     s2, s3 = ({k: np.zeros(7, np.int64) for k in range(len(langs))} for _ in range(2))
     parts = []
-    n = F.col("n")
-    seen = [*[F.count_if(n == i).alias(f"n{i}") for i in (1, 2, 3, 4)], F.count_if(n > 2).alias("n5"), F.sum(n).alias("n6"), F.count(F.lit(1)).alias("n7")]
     for k in range(rounds):
-        # trigrams are dealt by their bigram: each bigram tells how often its trigrams were counted once, twice ..
-        c2 = write_table(model.bigrams(trigram_counts(texts, model.numbers, k, rounds, "b", "c"), *seen), "bigrams")
+        # trigrams are dealt by their bigram: each task tells how often its trigrams were counted once, twice ..
+        both = write_table(bigram_counts(model, k), "bigrams")
+        c2 = both.where("s IS NULL")
         with tidy(texts.sparkSession):
-            of3 = {r[0]: tuple(r)[1:] for r in c2.groupBy("l").agg(*[F.sum(f"n{i}") for i in range(1, 8)]).collect()}
+            of3 = {r[0]: tuple(r)[1:] for r in both.where("s IS NOT NULL").groupBy("l").agg(*[F.sum(F.col("s")[i]) for i in range(7)]).collect()}
         for s, found in ((s2, counts_of_counts(c2)), (s3, of3)):
             for x, own in found.items():
                 s[x] += own
         parts.append(write_table(c2.groupBy("l", F.col("c").alias("k")).agg(F.count(F.lit(1)).alias("n")), "words"))
-        drop_tables(c2)
+        drop_tables(both)
     model.words = write_table(reduce(DataFrame.union, parts).groupBy("l", "k").agg(F.sum("n").alias("n")), "words")
     drop_tables(*parts)
     s1 = counts_of_counts(model.words)

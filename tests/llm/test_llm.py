@@ -359,6 +359,49 @@ def test_classifier_trains_every_language_on_all_its_trusted_text(spark, monkeyp
         assert np.allclose(-total / (n + 1), list(brute_kneser_ney(train, mine)), rtol=1e-4)
 
 
+def test_classifier_counts_trigrams_in_packed_shards(spark, monkeypatch):
+    """Trigrams are dealt in packs, never row by row, and counted with their contexts as brute force does."""
+    monkeypatch.setattr(ngram, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(ngram, "SHARD_BYTES", 150)
+    rng = random.Random(12)
+    rows = [(x, " ".join(rng.choice("abcde") for _ in range(rng.randrange(1, 40)))) for x in ("en", "fr") * 40]
+    model = ngram.weigh(spark.createDataFrame(rows, "lang string, text string"), ["en", "fr"], 2)
+    assert model.shards > spark.sparkContext.defaultParallelism
+    key = lambda x, w: ngram.signed(ngram.mark_key(b" <s>" if w == "<" else b" </s>", x) if w in "<>" else int(ngram.word_keys([x], [w.encode()])[0][0]))
+    want = Counter()
+    for x, text in rows:
+        w = [key(x, c) for c in ("<", "<", *text.split(), ">")]
+        want.update((model.numbers[x], *w[i : i + 3]) for i in range(len(w) - 2))
+    contexts, got, pairs, told = {}, {}, {}, np.zeros((2, 7), int)
+    for (l, a, b, _), n in want.items():
+        contexts.setdefault((a, b), []).append(n)
+    stands = Counter()
+    for k in range(2):
+        shares, both = ngram.context_shares(model, k), ngram.bigram_counts(model, k)
+        for plan in (x._jdf.queryExecution().executedPlan().toString() for x in (shares, both)):
+            assert plan.count("Exchange") == 1 and not re.search("Aggregate|Window|Join", plan)
+        for r in shares.collect():
+            got[r.l, r.a, r.b, r.c] = r.n
+            own, d3 = contexts[r.a, r.b], model.table[r.l][3]
+            g3 = sum(d3[min(n, 3) - 1] for n in own) / sum(own)
+            assert np.isclose(r.g3, g3) and np.isclose(r.x, (r.n - d3[min(r.n, 3) - 1]) / sum(own) / g3, rtol=1e-5)
+            stands[r.a, r.b] += r.first
+        for r in both.collect():
+            if r.s is None:
+                pairs[r.l, r.b, r.c] = r.n
+            else:
+                told[r.l] += r.s
+    starts = {key(x, "<") for x in ("en", "fr")}
+    assert got == want and set(stands.values()) == {1} and len(stands) == len(contexts)
+    left = Counter()
+    for (l, _, b, c), n in want.items():
+        left[l, b, c] += n if b in starts else 1
+    assert pairs == left
+    for l in (0, 1):
+        own = [n for t, n in want.items() if t[0] == l]
+        assert told[l].tolist() == [*[own.count(i) for i in (1, 2, 3, 4)], sum(n > 2 for n in own), sum(own), len(own)]
+
+
 def test_classifier_deals_ngrams_of_a_part_of_the_texts_at_a_time(spark, monkeypatch):
     """Every text is dealt in one part of each round, so that no part has more than its share of the n-grams on disk."""
     monkeypatch.setattr(ngram, "ROUNDS", 2)
