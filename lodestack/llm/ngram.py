@@ -10,7 +10,8 @@ summed up by document. No part of the model is held by the driver or whole by a
 
 All counts are taken over every trusted document but the quarter that thresholds come from. Trigrams are counted, weighed
 and joined in ROUNDS by their middle word: contexts (a, b) and lower orders (b, c) of a trigram lie in its round. So
-what is on disk at one time is one round's n-grams; texts are read again in each round, which costs no disk. A round's
+what is on disk at one time is one round's n-grams; texts are read again in each round, which costs no disk. Blocks count
+their trigrams and pack them for equal parts of the hash space of their pairs of words, where tasks count them by sorting. A round's
 weights are packed once into shards of the hash space. Its document n-grams are packed by block (keys once each, with
 the documents that hold them) and dealt to these shards for one of PARTS of the texts after the other, so that what is on
 disk is a part's n-grams, and no text is hashed twice in a round; shards are equal parts of the hash space, so no n-gram's frequency makes one task
